@@ -29,9 +29,8 @@ def normalize(text: Column, lex: Lexicon = ARABIC) -> Column:
 
 def strip_honorifics(text: Column, lex: Lexicon = ARABIC) -> Column:
     """The normalised text without any leading honorifics; one that is the whole text stays."""
-    forms = "|".join(sorted(lex.honorifics, key=len, reverse=True))
     flag = "(?i)" if lex is not ARABIC else ""
-    return F.trim(F.regexp_replace(normalize(text, lex), f"{flag}^(?:(?:{forms}) +)+", ""))
+    return F.trim(F.regexp_replace(normalize(text, lex), f"{flag}^(?:(?:{lex.folded_honorifics()}) +)+", ""))
 
 
 def clean_candidate(text: Column, lex: Lexicon = ARABIC) -> Column:

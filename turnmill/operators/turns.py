@@ -28,8 +28,7 @@ class CueFinder:
         self.stop, self.filler = re.compile(lex.stop_after), re.compile(lex.filler)
         self.fold = str.maketrans(lex.fold_from, lex.fold_to)
         self.marks, self.foreign = (re.compile(p) if p else None for p in (lex.diacritics, lex.foreign))
-        forms = "|".join(sorted(lex.honorifics, key=len, reverse=True))
-        self.honorifics = re.compile(rf"^(?:(?:{forms}) +)+", 0 if lex is ARABIC else re.IGNORECASE)
+        self.honorifics = re.compile(rf"^(?:(?:{lex.folded_honorifics()}) +)+", 0 if lex is ARABIC else re.IGNORECASE)
 
     def clean(self, name: str) -> str:
         strip = lambda s: _SPACES.sub(" ", s).strip(self.lex.strip)
