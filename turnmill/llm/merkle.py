@@ -103,7 +103,7 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, per_bucket: int) ->
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"))
     n = ids.count()
     cuts = min(MOST_BUCKETS, max(1, -(-n // per_bucket)))
-    bounds = sorted(set(ids.agg(F.percentile_approx("k", [F.lit(i / cuts) for i in range(1, cuts)], 10_000)).first()[0])) if cuts > 1 else []
+    bounds = sorted(set(ids.agg(F.percentile_approx("k", [i / cuts for i in range(1, cuts)], 10_000)).first()[0])) if cuts > 1 else []
     k = F.coalesce("doc_id", F.lit(-(1 << 63)))
     bucket = lambda c: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x >= c)) if bounds else F.lit(0)
     first = ids.withColumn("bucket", bucket(F.col("k")).cast("int")).groupBy("bucket").agg(F.max("k").alias("k")).collect()  # one row a bucket

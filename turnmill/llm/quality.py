@@ -51,7 +51,7 @@ def gram_counts(docs: DataFrame, bins: int) -> DataFrame:
                     totals[1] += n
         for kind in (0, 1):
             at = np.flatnonzero(totals[kind])
-            yield pa.RecordBatch.from_arrays([pa.array([bool(kind)] * len(at)), pa.array(at, pa.int32()), pa.array(totals[kind][at], pa.int64())], ["target", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([bool(kind)] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(totals[kind][at], pa.int64())], ["target", "bin", "n"])
 
     partial = docs.select("text", "target").mapInArrow(run, "target boolean, bin int, n long")
     return partial.groupBy("target", "bin").agg(F.sum("n").alias("n"))
