@@ -40,7 +40,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if a count shows at most ``limit`` rows, no hint (a shuffled join) otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def hash_key(*parts: Column | str) -> Column:
@@ -60,24 +60,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps; each round is written to the shared folder, and the loop
     ends when a round changes no edge. No edge list, label or group is ever collected.
     """
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, few: bool) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return pairs.join(least, "u")
+        return pairs.join(F.broadcast(least) if few else least, "u")
 
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = saved(e, "edges")
-    while True:
+    e = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    tally = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
+    was = e.agg(tally).first()[0]
+    while was.n:
+        few = was.n <= BROADCAST_ROWS // 2
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = star(large)
+        large = star(both, few).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = star(large, few)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = saved(small.where("u <> v").distinct(), "edges")
-        tally = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
-        same = e.agg(tally).first()[0] == after.agg(tally).first()[0]
-        e = after
-        if same:
+        e = saved(small.where("u <> v").distinct(), "edges")
+        now = e.agg(tally).first()[0]
+        if now == was:
             break
+        was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

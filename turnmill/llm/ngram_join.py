@@ -17,9 +17,9 @@ from turnmill.llm.common import components, saved, small_or_shuffled
 WORDS, LEAST = 5, 80
 #: Tokens (shingles) whose hash is in this first share of the hash space have their documents counted and stand
 #: first in the global order; those of more than FREQUENT documents, and all uncounted ones, enter as combinations.
-COUNTED, FREQUENT = 0.3, 64
+COUNTED, FREQUENT = 0.3, 16
 #: Shingles of one block of a group; larger groups are compared block against block.
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 REMEMBER = 500_000
 M1, M2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,29 +63,76 @@ def longs(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def set_id(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, n, cid, low): each row's shingle count, the id of its shingle set, and its counted tokens.
+    """(doc_id, n, cid, low, hot, uid): each row's shingle count, the id of its set, and its counted tokens.
 
-    A set that the same task has met before gets no tokens again: a copy is counted and searched once.
+    A set that the same task has met before gets no tokens again: a copy is counted and searched once. hot has the
+    tokens that more than FREQUENT sets of one task hold: they are frequent for sure, so a task sends a token's
+    documents on only while they are few, and a very common token meets in no task. A task keeps its tokens, 2.4
+    bytes a word of its input split.
     """
     top = np.uint64(int(COUNTED * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(), set()
+        rows: list[tuple] = []
+        lows: list[np.ndarray] = []
         for batch in batches:
-            ns, cids, lows = [], [], []
-            for text in batch.column(1):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingler.of(text.as_py())
-                cid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                ns.append(len(s))
-                cids.append(cid)
-                lows.append(None if cid in met or len(s) < 2 else longs(s[: np.searchsorted(s, top)]))
-                if len(met) < 2_000_000:
-                    met.add(cid)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), pa.array(lows, pa.list_(pa.int64()))], ["doc_id", "n", "cid", "low"])
+                cid = set_id(s)
+                again = cid in met or len(s) < 2
+                met.add(cid)
+                rows.append((doc_id, len(s), cid, again))
+                lows.append(s[:0] if again else s[: np.searchsorted(s, top)])
+        every, count = np.unique(np.concatenate(lows) if lows else np.array([], np.uint64), return_counts=True)
+        common = every[count > FREQUENT]
+        for i in range(0, len(rows), 2000):
+            part, parts = rows[i : i + 2000], lows[i : i + 2000]
+            hot = [np.isin(x, common, kind="sort") if len(common) else np.zeros(len(x), bool) for x in parts]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()),
+                pa.array([None if r[3] else longs(x[~h]) for r, x, h in zip(part, parts, hot, strict=True)], pa.list_(pa.int64())),
+                pa.array([longs(x[h]) for x, h in zip(parts, hot, strict=True)], pa.list_(pa.int64())),
+            ], ["doc_id", "n", "cid", "low", "hot"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, n long, cid long, low array<long>, hot array<long>").withColumn("uid", F.monotonically_increasing_id())
+
+
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """(uid, token, often): the counted tokens of more than one set, and whether they are frequent."""
+    tokens = rows.where("low IS NOT NULL").select("uid", F.explode("low").alias("token"))
+    marks = rows.select(F.explode("hot").alias("token")).distinct().select(F.lit(None).cast("long").alias("uid"), "token")
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n long, cid long, low array<long>").withColumn("uid", F.monotonically_increasing_id())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids, keys, known = [], [], []
+        for batch in batches:
+            keys.append(batch.column(1).to_numpy())
+            known.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            uids.append(batch.column(0).fill_null(-1).to_numpy())
+        if not keys:
+            return
+        uid, key, is_row = np.concatenate(uids), np.concatenate(keys), np.concatenate(known)
+        order = np.argsort(key, kind="stable")
+        uid, key, is_row = uid[order], key[order], is_row[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(first, len(key)))
+        marked = np.add.reduceat(~is_row, first) > 0
+        often = np.repeat(marked | (count > FREQUENT), count)
+        at = np.flatnonzero(is_row & np.repeat(count > 1, count))
+        for i in range(0, len(at), 50_000):
+            some = at[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(key[some]), pa.array(often[some])], ["uid", "token", "often"])
+
+    return tokens.unionByName(marks).repartition("token").mapInArrow(run, "uid long, token long, often boolean")
 
 
 def survivors(rows: DataFrame) -> DataFrame:
@@ -94,21 +141,18 @@ def survivors(rows: DataFrame) -> DataFrame:
     In the global order the tokens of one document come first. A set with more of them than it may miss of a
     partner, n - ceil(0.8 n), has no partner and is left out here.
     """
-    tokens = rows.where("low IS NOT NULL").select("uid", F.explode("low").alias("token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    shared = tokens.join(several, "token").groupBy("uid").agg(
-        F.count("*").alias("n_shared"), F.collect_list(F.when(F.col("docs") <= FREQUENT, F.col("token"))).alias("mid"), F.collect_list(F.when(F.col("docs") > FREQUENT, F.col("token"))).alias("often")
-    )
-    own = rows.where("low IS NOT NULL").select("uid", "cid", "doc_id", "n", F.size("low").alias("n_low"))
+    shared = shared_tokens(rows).groupBy("uid").agg(F.collect_list(F.when(~F.col("often"), F.col("token"))).alias("mid"), F.collect_list(F.when(F.col("often"), F.col("token"))).alias("often"))
+    own = rows.where("low IS NOT NULL").select("uid", "cid", "doc_id", "n", F.size("low").alias("n_low"), "hot")
     may_miss = F.col("n") - F.floor((F.col("n") * LEAST + 99) / 100)
-    alive = own.join(shared, "uid", "left").where(F.col("n_low") - F.coalesce("n_shared", F.lit(0)) < may_miss + 1)
     empty = F.array().cast("array<long>")
-    first = F.min_by(F.struct("doc_id", F.coalesce("mid", empty).alias("mid"), F.coalesce("often", empty).alias("often")), "uid")
+    alive = own.join(shared, "uid", "left").withColumns({"mid": F.coalesce("mid", empty), "often": F.coalesce("often", empty)})
+    alive = alive.where(F.col("n_low") - F.size("mid") - F.size("often") < may_miss + 1)
+    first = F.min_by(F.struct("doc_id", "mid", F.concat("often", "hot").alias("often")), "uid")
     return alive.groupBy("cid").agg(first.alias("x")).select("cid", "x.doc_id", "x.mid", "x.often")
 
 
-def signatures(s: np.ndarray, mid: np.ndarray, often: np.ndarray, counted: int) -> np.ndarray:
-    """Keys of which any two sets with Jaccard similarity of 0.8 share one.
+def signatures(s: np.ndarray, mid: np.ndarray, often: np.ndarray, counted: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(tokens, combinations, tokens after them): keys of which any two sets with Jaccard similarity of 0.8 share one.
 
     The order is: tokens of one document, rarer counted tokens, frequent counted ones, the uncounted, each by
     hash. The prefix is extended until the tokens that a partner must lack exceed those it may lack: a single
@@ -116,16 +160,16 @@ def signatures(s: np.ndarray, mid: np.ndarray, often: np.ndarray, counted: int)
     Rarer tokens are indexed by themselves, the others by pairs within their part. The number of parts hangs on
     the size's band, and a set near the upper end of its band is indexed for the next one too.
     """
-    n = len(s)
-    need = n - -(-n * LEAST // 100) + 1 - (counted - len(mid) - len(often))
+    n, own = len(s), counted - len(mid) - len(often)
+    need = n - -(-n * LEAST // 100) + 1 - own
     mid = np.sort(mid)
     if need <= 0 or n < 2:
-        return s[:0]
+        return s[:0], s[:0], n
     if len(mid) >= need:
-        return mixed(mid[:need])
+        return mid[:need], s[:0], n - own - need
     need -= len(mid)
     rest = np.concatenate([np.sort(often), s[counted:]])
-    keys = [mixed(mid)]
+    keys = [s[:0]]
     for band in {int(math.log2(n)), int(math.log2(n * 100 // LEAST))}:
         parts = np.uint64(1 << max(0, band - 4))
         part = (rest & (parts - np.uint64(1))).astype(np.int64)
@@ -144,34 +188,80 @@ def signatures(s: np.ndarray, mid: np.ndarray, often: np.ndarray, counted: int)
                 i, j = np.triu_indices(len(group), 1)
                 a, b = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
                 keys.append(mixed(mixed(a + np.uint64(band + 1)) * STEP + b))
-    return np.concatenate(keys)
+    return mid, np.unique(np.concatenate(keys)), n - own - len(mid)
+
+
+def those_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The texts of ``named`` (cid, doc_id, ...): ids choose the rows, so that only chosen texts are moved."""
+    ids = small_or_shuffled(named.select(F.col("doc_id").alias("id")).distinct())
+    named = named.withColumnRenamed("doc_id", "of")
+    chosen = texts_of(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return chosen.join(named, F.col("doc_id").eqNullSafe(F.col("of"))).drop("doc_id")
 
 
 def indexed(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """(cid, n, s, keys) of the surviving sets, from their texts."""
+    """(cid, doc_id, n, rest, single, pairs) of the surviving sets, from their texts."""
     top = np.uint64(int(COUNTED * 2**64))
+    schema = "cid long, doc_id long, n long, rest long, single array<long>, pairs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, met = Shingler(), set()
         for batch in batches:
             out: list[tuple] = []
-            for text, cid, mid, often in zip(*batch.columns, strict=True):
+            for text, cid, doc_id, mid, often in zip(*batch.columns, strict=True):
+                cid = cid.as_py()
                 s = shingler.of(text.as_py())
-                if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == cid.as_py():
+                if cid not in met and set_id(s) == cid:
+                    met.add(cid)
                     mid, often = (np.array(x.as_py(), np.int64).view(np.uint64) for x in (mid, often))
-                    keys = np.unique(signatures(s, mid, often, int(np.searchsorted(s, top))))
-                    out.append((cid.as_py(), len(s), longs(s), longs(keys)))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["cid", "n", "s", "keys"])
+                    single, pairs, rest = signatures(s, mid, often, int(np.searchsorted(s, top)))
+                    out.append((cid, doc_id.as_py(), len(s), rest, longs(single), longs(pairs)))
+            kinds = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["cid", "doc_id", "n", "rest", "single", "pairs"])
+
+    return those_of(docs, alive).select("text", "cid", F.col("of").alias("doc_id"), "mid", "often").mapInArrow(run, schema)
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = small_or_shuffled(alive.withColumnRenamed("doc_id", "of"), 20_000)  # rows of a few kB at most
-    found = found.join(named, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "cid", "mid", "often")
-    return found.mapInArrow(run, "cid long, n long, s array<long>, keys array<long>").dropDuplicates(["cid"])
+
+def candidates(index: DataFrame) -> DataFrame:
+    """(a, b): edges that connect any two sets which may be similar enough.
+
+    Two sets that share rarer tokens are met pair by pair: at most FREQUENT sets hold such a token. What they share
+    up to the end of one's indexed tokens, and all that is left of it, bounds their overlap; pairs that can't reach
+    4/9 of both sizes, which is a similarity of 0.8, are dropped. Sets that share a combination are joined by a
+    star to the smallest, whatever their number.
+    """
+    met = index.select("cid", F.explode("single").alias("token")).groupBy("token").agg(F.array_sort(F.collect_set("cid")).alias("ids")).where(F.size("ids") > 1)
+    later = lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = met.select(F.inline(F.flatten(F.transform("ids", later)))).groupBy("a", "b").agg(F.count("*").alias("common"))
+    sizes = small_or_shuffled(index.select("cid", "n", "rest"))
+    side = lambda c: sizes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("rest").alias(f"rest_{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("9 * (common + greatest(rest_a, rest_b)) >= 4 * (n_a + n_b)")
+    pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * LEAST)
+    keys = index.select("cid", F.explode("pairs").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+    stars = keys.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    return pairs.select("a", "b").unionByName(stars)
+
+
+def members(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(root, blocks, cid, s): the shingle sets of ``groups`` (cid, doc_id, root, blocks), from their texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, met = Shingler(), set()
+        for batch in batches:
+            out: list[tuple] = []
+            for text, cid, root, blocks in zip(*batch.columns, strict=True):
+                s = shingler.of(text.as_py())
+                if cid.as_py() not in met and set_id(s) == cid.as_py():
+                    met.add(cid.as_py())
+                    out.append((root.as_py(), blocks.as_py(), cid.as_py(), longs(s)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["root", "blocks", "cid", "s"])
+
+    return those_of(docs, groups).select("text", "cid", "root", "blocks").mapInArrow(run, "root long, blocks long, cid long, s array<long>")
 
 
 def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None) -> list[tuple[int, int]]:
-    """Links (a, b) that join the sets of ``left`` (with those of ``right``) into the same components as all links do.
+    """(set, root) that join the sets of ``left`` (with those of ``right``) into the same components as all links do.
 
     An index from shingles to sets counts each set's overlaps with all others at once.
     """
@@ -189,7 +279,6 @@ def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
             parent[i] = i = parent[parent[i]]
         return i
 
-    links = []
     for i in range(n_left if right is not None else len(sets)):
         mine = token[begin[i] : begin[i + 1]]
         first, count = starts[mine], starts[mine + 1] - starts[mine]
@@ -201,44 +290,51 @@ def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
             a, b = root(i), root(j)
             if a != b:
                 parent[b] = a
-                links.append((sets[i][0], sets[j][0]))
-    return links
+    least: dict[int, int] = {}
+    for i in range(len(sets)):
+        least[root(i)] = min(sets[i][0], least.get(root(i), sets[i][0]))
+    return [(cid, least[root(i)]) for i, (cid, _) in enumerate(sets) if root(i) != i or least[root(i)] != cid]
 
 
-def linked(index: DataFrame) -> DataFrame:
-    """(a, b): links between sets, enough of them to connect whatever the links of similarity 0.8 and more connect."""
-    keys = index.select("cid", F.explode("keys").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = keys.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = saved(components(stars), "groups")
-    members = index.select("cid", "n", "s").join(groups, F.col("cid") == F.col("node")).drop("node")
-    sizes = groups.join(index.select("cid", "n"), F.col("cid") == F.col("node")).groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).withColumnRenamed("root", "of")
-    members = members.join(sizes, F.col("root") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+def linked(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(node, root): the components of the sets with links; a set without links is absent or its own root.
+
+    Sets that candidates connect, directly or through others, form a group. A group is compared whole, large ones
+    block against block, so no pair of candidates is missed. A group of one block is settled where it is
+    compared; the blocks of larger ones are joined by their links.
+    """
+    grouped = small_or_shuffled(saved(components(candidates(index)).withColumnRenamed("node", "cid"), "grouped"))
+    groups = saved(index.select("cid", "doc_id", "n").join(grouped, "cid"), "groups")
+    sizes = saved(groups.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), "sizes")
+    groups = groups.join(small_or_shuffled(sizes), "root").select("cid", "doc_id", "root", "blocks")
+    found = members(docs, groups).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     meet = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = members.select("root", "cid", "s", "block", meet).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block"), "cid", "s")
+    dealt = found.select("root", "blocks", "cid", "s", "block", meet).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "s", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
+        now, sides, alone = None, ([], []), True
 
         def done() -> pa.RecordBatch:
             left, right = sides
-            same = now is None or now[1] == now[2]
-            found = compare(left, None if same else right) if len(left) + len(right) > 1 and left else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            found = compare(left, None if now[1] == now[2] else right) if len(left) + len(right) > 1 and left else []
+            return pa.RecordBatch.from_arrays([*[pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], pa.array([alone] * len(found), pa.bool_())], ["a", "b", "last"])
 
         for batch in batches:
             flat = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             bounds = np.concatenate([[0], np.cumsum(batch.column(5).value_lengths().to_numpy(zero_copy_only=False))])
-            for k, (root, i, j, block, cid) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+            for k, (root, i, j, block, cid, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 6)), strict=True)):
                 if (root, i, j) != now:
                     if now is not None:
                         yield done()
-                    now, sides = (root, i, j), ([], [])
+                    now, sides, alone = (root, i, j), ([], []), blocks == 1
                 sides[block != i].append((cid, flat[bounds[k] : bounds[k + 1]]))
         if now is not None:
             yield done()
 
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+    pairs = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long, last boolean")
+    pairs = saved(pairs, "links")
+    settled = pairs.where("last").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return settled.unionByName(components(pairs.where("NOT last")))
 
 
 def connected(docs: DataFrame) -> DataFrame:
@@ -256,12 +352,10 @@ def connected(docs: DataFrame) -> DataFrame:
     rows = saved(described(docs), "sets")
     alive = saved(survivors(rows), "alive")
     index = saved(indexed(docs, alive), "index")
-    found = saved(components(linked(index)), "components")
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    joined = found.join(classes, F.col("node") == F.col("cid")).drop("node")
-    label = joined.groupBy("root").agg(F.min("least").alias("label"))
-    labels = joined.join(label, "root").select("cid", "label")
-    classes = saved(classes.join(labels, "cid", "left").select("cid", F.coalesce("label", "least").alias("label")), "labels")
+    found = small_or_shuffled(saved(linked(docs, index).withColumnRenamed("node", "cid"), "components"))
+    classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(found, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "classes")
+    label = saved(classes.groupBy("root").agg(F.min("least").alias("label"), F.count("*").alias("k")).where("k > 1").drop("k"), "labels")
+    classes = classes.join(small_or_shuffled(label), "root", "left").select("cid", F.coalesce("label", "least").alias("label"))
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid")
     out = own.join(classes, "cid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"))
