@@ -17,6 +17,9 @@ FOLDS = 5
 #: Weight of the penalty on the sum of absolute weights.
 L1 = 1e-3
 WORD = re.compile(r"[^\W_]+")
+#: A word is tried if so many times as large a share of the toxic documents hold it as of the others, and so many
+#: standard errors more.
+LIFT, ERRORS = 1.5, 3.0
 
 
 @dataclass(frozen=True)
@@ -74,8 +77,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
 
     The class prior is the share of toxic rows among all labelled training rows. The fit is over at most
     ``max_toxic`` toxic and ``max_unlabelled`` other documents, those with the smallest seeded hashes, and over the
-    words that at least ``LEAST_TOXIC`` of these toxic documents hold, ``MAX_WORDS`` at most; words in so few of
-    them that their largest pull, prior times share, is within the penalty can't gain weight and are left out. Labels of 0 enter
+    words that at least ``LEAST_TOXIC`` of these toxic documents hold, and a clearly larger share of them than of
+    the others (``LIFT``, ``ERRORS``), ``MAX_WORDS`` at most. Labels of 0 enter
     as unlabelled text and in the prior. Without a toxic row every score is the prior's.
     """
     kept = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -95,8 +98,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
 
     sample = known.join(F.broadcast(picked), "doc_id").select("toxic", "text")  # the pick is bounded by the two limits
     sample = sample.mapInArrow(worded, "toxic int, words array<string>").persist()
-    top = sample.where("toxic = 1").select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= max(LEAST_TOXIC, L1 * min(n_toxic, max_toxic) / prior))
-    vocabulary = [r.word for r in top.orderBy(F.desc("count"), "word").limit(MAX_WORDS).collect()]
+    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_p, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
+    other = (F.col("n") - F.col("p")) / n_u
+    likely = counts.where((F.col("p") >= LEAST_TOXIC) & (F.col("p") / n_p >= LIFT * other + ERRORS * F.sqrt(other * (1 - other) / n_p) + L1 / prior))
+    vocabulary = [r.word for r in likely.orderBy(F.desc("p"), "word").limit(MAX_WORDS).collect()]
     number = {word: i for i, word in enumerate(vocabulary)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
