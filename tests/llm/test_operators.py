@@ -301,6 +301,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {r.doc_id for r in rows if not r.predicted}
 
 
+@pytest.mark.parametrize(("n", "every_nth"), [(12_000, 200), (40_000, 1_000)])
+def test_rare_toxic_class_is_learnt(spark, n, every_nth):
+    """0.5 % and 0.1 % toxic rows: the penalty and the choice of words follow the prior."""
+    rng = random.Random(12)
+    bad = [f"insult{k}" for k in range(30)]
+    texts = [f"{prose(rng, 12)} {' '.join(rng.sample(bad, 4)) if i % every_nth == 7 else ''}" for i in range(n)]
+    truth = {i for i in range(n) if i % every_nth == 7}
+    rows = toxicity.toxicity_scores(documents(spark, texts), labels(spark, [(i, 1, int(i in truth)) for i in range(n)])).collect()
+    caught = {r.doc_id for r in rows if r.predicted}
+    assert len(caught & truth) >= 0.9 * len(truth)
+    assert len(caught - truth) <= 0.1 * len(truth)
+    assert {r.doc_id for r in rows if r.held_out and r.predicted} & truth
+
+
 def test_held_out_labels_are_never_learnt(spark):
     texts = [f"w{i} w{i % 7} badword" if i % 3 == 0 else f"w{i} w{i % 7} fine" for i in range(300)]
     marks = [(i, 1, int(i % 3 == 0)) for i in range(300)]

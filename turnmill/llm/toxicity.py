@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 #: Documented bounds of the training sample (rows) and of the vocabulary (words).
 MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS, LEAST_TOXIC = 6_000, 12_000, 50_000, 3
 FOLDS = 5
-#: Weight of the penalty on the sum of absolute weights.
-L1 = 1e-3
+#: Weight of the penalty on the sum of absolute weights, as a multiple of the class prior: the gradients that it stands
+#: against shrink with the prior, so a word is picked by its shares alone, however rare the toxic class is.
+PENALTY = 9e-3
 WORD = re.compile(r"[^\W_]+")
 #: A word is tried if so many times as large a share of the toxic documents hold it as of the others, and so many
 #: standard errors more.
@@ -39,13 +40,14 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def nnpu(toxic: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], n_words: int, prior: float, epochs: int = 150, rate: float = 0.1, l1: float = L1) -> tuple[np.ndarray, float]:
+def nnpu(toxic: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], n_words: int, prior: float, epochs: int = 150, rate: float = 0.1, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the class-prior-corrected risk, by Adam with a proximal step for sparseness.
 
     Each side is (word numbers, row starts). The risk is prior * E_toxic[l(+)] + max(0, E_other[l(-)] - prior *
     E_toxic[l(-)]) with the logistic loss; while the second part is below 0, its gradient alone is followed
-    upwards, which keeps the risk of the unlabelled rows from going negative.
+    upwards, which keeps the risk of the unlabelled rows from going negative. The penalty is ``penalty`` * prior.
     """
+    l1, longest = penalty * prior, 100 / prior
     w, b = np.zeros(n_words), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
 
@@ -67,7 +69,7 @@ def nnpu(toxic: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarr
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         moved = np.append(w, b) - step * m / (1 - 0.9**t)
-        w = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - l1 * np.minimum(step[:-1], 1e3), 0)
+        w = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - l1 * np.minimum(step[:-1], longest), 0)
         b = float(moved[-1])
     return w, b
 
@@ -102,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
     n_p, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
     other = (F.col("n") - F.col("p")) / n_u
-    likely = counts.where((F.col("p") >= LEAST_TOXIC) & (F.col("p") / n_p >= LIFT * other + ERRORS * F.sqrt(other * (1 - other) / n_p) + L1 / prior))
+    likely = counts.where((F.col("p") >= LEAST_TOXIC) & (F.col("p") / n_p >= LIFT * other + ERRORS * F.sqrt(other * (1 - other) / n_p)))
     vocabulary = [r.word for r in likely.orderBy(F.desc("p"), "word").limit(MAX_WORDS).collect()]
     number = {word: i for i, word in enumerate(vocabulary)}
 
@@ -126,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
         to[used] = np.arange(len(used))
         narrow = [(to[words][(on := to[words] >= 0)], np.concatenate([[0], np.cumsum(on)])[starts]) for words, starts in sides]
         w[:] = 0
-        w[used], b = nnpu(*narrow, len(used), prior, epochs=600, l1=0.0)  # and their weights are fitted without it
+        w[used], b = nnpu(*narrow, len(used), prior, epochs=600, penalty=0.0)  # and their weights are fitted without it
     return Model({word: float(w[i]) for word, i in number.items() if w[i]}, b)
 
 
