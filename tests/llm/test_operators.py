@@ -315,6 +315,16 @@ def test_rare_toxic_class_is_learnt(spark, n, every_nth):
     assert {r.doc_id for r in rows if r.held_out and r.predicted} & truth
 
 
+@pytest.mark.parametrize("max_toxic", [60, 6_000])
+def test_scores_are_shares_whatever_the_number_of_toxic_rows(spark, max_toxic):
+    """A word of 80 % of the toxic and 20 % of the clean documents at a prior of 0.3 means 24 of 38."""
+    rng = random.Random(13)
+    toxic = [rng.random() < 0.3 for _ in range(4000)]
+    texts = [f"plain {'maybe' if rng.random() < (0.8 if t else 0.2) else 'text'}" for t in toxic]
+    model = toxicity.train(documents(spark, texts), labels(spark, [(i, 1, int(t)) for i, t in enumerate(toxic)]), max_toxic=max_toxic)
+    assert abs(model.score("plain maybe") - 24 / 38) < 0.12
+
+
 def test_held_out_labels_are_never_learnt(spark):
     texts = [f"w{i} w{i % 7} badword" if i % 3 == 0 else f"w{i} w{i % 7} fine" for i in range(300)]
     marks = [(i, 1, int(i % 3 == 0)) for i in range(300)]

@@ -78,10 +78,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
     """A model from the confirmed toxic rows and unlabelled text, both outside the held-out fold.
 
     The class prior is the share of toxic rows among all labelled training rows. The fit is over at most
-    ``max_toxic`` toxic and ``max_unlabelled`` other documents, those with the smallest seeded hashes, and over the
-    words that at least ``LEAST_TOXIC`` of these toxic documents hold, and a clearly larger share of them than of
-    the others (``LIFT``, ``ERRORS``), ``MAX_WORDS`` at most. Labels of 0 enter
-    as unlabelled text and in the prior. Without a toxic row every score is the prior's.
+    ``max_toxic`` toxic and ``max_unlabelled`` unlabelled documents, those with the smallest seeded hashes, and over
+    the words that at least ``LEAST_TOXIC`` of these toxic documents hold, and a clearly larger share of them than
+    of the clean ones (``LIFT``, ``ERRORS``), ``MAX_WORDS`` at most. The unlabelled are drawn from all training
+    documents, the toxic ones included, so that they hold the prior's share of them as the risk assumes; the clean
+    documents' share of a word is theirs less what the toxic ones bring. Labels of 0 enter as unlabelled text and
+    in the prior. Without a toxic row every score is the prior's.
     """
     kept = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = kept.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
@@ -90,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
     by_hash = lambda df, most: df.orderBy(order, "doc_id").limit(most)
     known = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     positives = by_hash(kept.where("toxic > 0").select("doc_id"), max_toxic)
-    others = by_hash(known.select("doc_id").join(positives, "doc_id", "left_anti"), max_unlabelled)
+    others = by_hash(known.select("doc_id"), max_unlabelled)
     picked = positives.withColumn("toxic", F.lit(1)).unionByName(others.withColumn("toxic", F.lit(0)))
 
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_p, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
-    other = (F.col("n") - F.col("p")) / n_u
+    other = F.greatest(F.lit(0.0), (F.col("n") - F.col("p")) / n_u - prior * F.col("p") / n_p) / (1 - prior)
     likely = counts.where((F.col("p") >= LEAST_TOXIC) & (F.col("p") / n_p >= LIFT * other + ERRORS * F.sqrt(other * (1 - other) / n_p)))
     vocabulary = [r.word for r in likely.orderBy(F.desc("p"), "word").limit(MAX_WORDS).collect()]
     number = {word: i for i, word in enumerate(vocabulary)}
