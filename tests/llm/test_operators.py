@@ -130,6 +130,19 @@ def test_ngram_join_finds_the_components_of_all_pairs(spark, block, monkeypatch)
     assert sorted(kept) == sorted({c for _, c in want.values()})
 
 
+def test_one_of_each_component_stays_whatever_its_ids(spark):
+    """Null and repeated ids: different texts stay, near copies go, the clean text under a copy's id too stays."""
+    rng = random.Random(10)
+    base = [prose(rng, 60, 4000) for _ in range(8)]
+    near = [f"{b} tail" for b in base]
+    pairs = [(None, base[0]), (None, base[1]), (None, near[1]), (None, base[2]), (3, base[3]), (7, near[3]), (7, base[4]), (8, base[5]), (8, base[6]), (None, near[6]), (9, base[7]), (9, base[7]), (None, None), (5, ""), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 0.5, 1, "x") for i, t in pairs], SCHEMA).repartition(3)
+    rows = [(r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect()]
+    want = [(None, base[0]), (None, base[2]), (3, base[3]), (7, base[4]), (8, base[5]), (8, base[6]), (9, base[7]), (None, None), (5, ""), (6, " ")]
+    assert sorted((r for r in rows if r[1] not in (base[1], near[1])), key=repr) == sorted(want, key=repr)
+    assert len(rows) == len(want) + 1  # and one of the two near copies without an id
+
+
 def test_frequent_tokens_of_one_task_are_known_everywhere(spark):
     """More sets than FREQUENT share their counted tokens: pairs are found by combinations alone."""
     rng = random.Random(9)

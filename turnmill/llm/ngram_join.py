@@ -68,11 +68,13 @@ def set_id(s: np.ndarray) -> int:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, text, tk): tk, the hash of the text, names a row together with its id, which may be null or repeat."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cid, low, hot, uid): each row's shingle count, the id of its set, and its counted tokens.
+    """(doc_id, tk, n, cid, low, hot, uid): each row's shingle count, the id of its set, and its counted tokens.
 
     A set that the same task has met before gets no tokens again: a copy is counted and searched once. hot has the
     tokens that more than FREQUENT sets of one task hold: they are frequent for sure, so a task sends a token's
@@ -86,12 +88,12 @@ def described(docs: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         lows: list[np.ndarray] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, tk in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 s = shingler.of(text.as_py())
                 cid = set_id(s)
                 again = cid in met or len(s) < 2
                 met.add(cid)
-                rows.append((doc_id, len(s), cid, again))
+                rows.append((doc_id, tk, len(s), cid, again))
                 lows.append(s[:0] if again else s[: np.searchsorted(s, top)])
         every, count = np.unique(np.concatenate(lows) if lows else np.array([], np.uint64), return_counts=True)
         common = every[count > FREQUENT]
@@ -99,12 +101,12 @@ def described(docs: DataFrame) -> DataFrame:
             part, parts = rows[i : i + 2000], lows[i : i + 2000]
             hot = [np.isin(x, common, kind="sort") if len(common) else np.zeros(len(x), bool) for x in parts]
             yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()),
-                pa.array([None if r[3] else longs(x[~h]) for r, x, h in zip(part, parts, hot, strict=True)], pa.list_(pa.int64())),
+                *[pa.array([r[k] for r in part], pa.int64()) for k in range(4)],
+                pa.array([None if r[4] else longs(x[~h]) for r, x, h in zip(part, parts, hot, strict=True)], pa.list_(pa.int64())),
                 pa.array([longs(x[h]) for x, h in zip(parts, hot, strict=True)], pa.list_(pa.int64())),
-            ], ["doc_id", "n", "cid", "low", "hot"])
+            ], ["doc_id", "tk", "n", "cid", "low", "hot"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n long, cid long, low array<long>, hot array<long>").withColumn("uid", F.monotonically_increasing_id())
+    return texts_of(docs).mapInArrow(run, "doc_id long, tk long, n long, cid long, low array<long>, hot array<long>").withColumn("uid", F.monotonically_increasing_id())
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -136,19 +138,19 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """(cid, doc_id, mid, often): the sets that may have a partner, with their counted tokens of several documents.
+    """(cid, doc_id, tk, mid, often): the sets that may have a partner, with their counted tokens of several documents.
 
     In the global order the tokens of one document come first. A set with more of them than it may miss of a
     partner, n - ceil(0.8 n), has no partner and is left out here.
     """
     shared = shared_tokens(rows).groupBy("uid").agg(F.collect_list(F.when(~F.col("often"), F.col("token"))).alias("mid"), F.collect_list(F.when(F.col("often"), F.col("token"))).alias("often"))
-    own = rows.where("low IS NOT NULL").select("uid", "cid", "doc_id", "n", F.size("low").alias("n_low"), "hot")
+    own = rows.where("low IS NOT NULL").select("uid", "cid", "doc_id", "tk", "n", F.size("low").alias("n_low"), "hot")
     may_miss = F.col("n") - F.floor((F.col("n") * LEAST + 99) / 100)
     empty = F.array().cast("array<long>")
     alive = own.join(shared, "uid", "left").withColumns({"mid": F.coalesce("mid", empty), "often": F.coalesce("often", empty)})
     alive = alive.where(F.col("n_low") - F.size("mid") - F.size("often") < may_miss + 1)
-    first = F.min_by(F.struct("doc_id", "mid", F.concat("often", "hot").alias("often")), "uid")
-    return alive.groupBy("cid").agg(first.alias("x")).select("cid", "x.doc_id", "x.mid", "x.often")
+    first = F.min_by(F.struct("doc_id", "tk", "mid", F.concat("often", "hot").alias("often")), "uid")
+    return alive.groupBy("cid").agg(first.alias("x")).select("cid", "x.doc_id", "x.tk", "x.mid", "x.often")
 
 
 def signatures(s: np.ndarray, mid: np.ndarray, often: np.ndarray, counted: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -192,34 +194,34 @@ def signatures(s: np.ndarray, mid: np.ndarray, often: np.ndarray, counted: int)
 
 
 def those_of(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The texts of ``named`` (cid, doc_id, ...): ids choose the rows, so that only chosen texts are moved."""
-    ids = small_or_shuffled(named.select(F.col("doc_id").alias("id")).distinct())
-    named = named.withColumnRenamed("doc_id", "of")
-    chosen = texts_of(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return chosen.join(named, F.col("doc_id").eqNullSafe(F.col("of"))).drop("doc_id")
+    """The texts of ``named`` (cid, doc_id, tk, ...): ids and text hashes choose the rows, so that only chosen texts are moved."""
+    ids = small_or_shuffled(named.select(F.col("doc_id").alias("id"), F.col("tk").alias("id_tk")).distinct())
+    named = named.withColumnsRenamed({"doc_id": "of", "tk": "of_tk"})
+    chosen = texts_of(docs).join(ids, (F.col("tk") == F.col("id_tk")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return chosen.join(named, (F.col("tk") == F.col("of_tk")) & F.col("doc_id").eqNullSafe(F.col("of"))).drop("doc_id", "of_tk")
 
 
 def indexed(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """(cid, doc_id, n, rest, single, pairs) of the surviving sets, from their texts."""
+    """(cid, doc_id, tk, n, rest, single, pairs) of the surviving sets, from their texts."""
     top = np.uint64(int(COUNTED * 2**64))
-    schema = "cid long, doc_id long, n long, rest long, single array<long>, pairs array<long>"
+    schema = "cid long, doc_id long, tk long, n long, rest long, single array<long>, pairs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(), set()
         for batch in batches:
             out: list[tuple] = []
-            for text, cid, doc_id, mid, often in zip(*batch.columns, strict=True):
+            for text, cid, doc_id, tk, mid, often in zip(*batch.columns, strict=True):
                 cid = cid.as_py()
                 s = shingler.of(text.as_py())
                 if cid not in met and set_id(s) == cid:
                     met.add(cid)
                     mid, often = (np.array(x.as_py(), np.int64).view(np.uint64) for x in (mid, often))
                     single, pairs, rest = signatures(s, mid, often, int(np.searchsorted(s, top)))
-                    out.append((cid, doc_id.as_py(), len(s), rest, longs(single), longs(pairs)))
-            kinds = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["cid", "doc_id", "n", "rest", "single", "pairs"])
+                    out.append((cid, doc_id.as_py(), tk.as_py(), len(s), rest, longs(single), longs(pairs)))
+            kinds = [*[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["cid", "doc_id", "tk", "n", "rest", "single", "pairs"])
 
-    return those_of(docs, alive).select("text", "cid", F.col("of").alias("doc_id"), "mid", "often").mapInArrow(run, schema)
+    return those_of(docs, alive).select("text", "cid", F.col("of").alias("doc_id"), "tk", "mid", "often").mapInArrow(run, schema)
 
 
 def candidates(index: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def candidates(index: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(root, blocks, cid, s): the shingle sets of ``groups`` (cid, doc_id, root, blocks), from their texts."""
+    """(root, blocks, cid, s): the shingle sets of ``groups`` (cid, doc_id, tk, root, blocks), from their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(), set()
         for batch in batches:
@@ -304,9 +306,9 @@ def linked(docs: DataFrame, index: DataFrame) -> DataFrame:
     compared; the blocks of larger ones are joined by their links.
     """
     grouped = small_or_shuffled(saved(components(candidates(index)).withColumnRenamed("node", "cid"), "grouped"))
-    groups = saved(index.select("cid", "doc_id", "n").join(grouped, "cid"), "groups")
+    groups = saved(index.select("cid", "doc_id", "tk", "n").join(grouped, "cid"), "groups")
     sizes = saved(groups.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), "sizes")
-    groups = groups.join(small_or_shuffled(sizes), "root").select("cid", "doc_id", "root", "blocks")
+    groups = groups.join(small_or_shuffled(sizes), "root").select("cid", "doc_id", "tk", "root", "blocks")
     found = members(docs, groups).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     meet = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = found.select("root", "blocks", "cid", "s", "block", meet).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "s", "blocks")
@@ -338,11 +340,13 @@ def linked(docs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def connected(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): every row with its component of the 0.8 similarity join.
+    """(doc_id, n_shingles, component_id, class_id, text_key, root_id): every row with its component of the 0.8 join.
 
     A text's set is its distinct 5-word shingles (A-Z lower-cased; words between blanks x20 and x09 to x0D), of
     fewer words the whole sequence. Documents link when 100 * intersection >= 80 * union; component_id is the
     smallest doc_id that links reach, the document's own included. Copies share a class_id and are joined once.
+    root_id is a component's own key, which no other one has, whatever ids its members have; it is null for texts
+    without words. text_key is the text's hash.
 
     Nulls: a null or wordless text has 0 shingles and no link; a null doc_id never is a component's id unless no
     member has one. Rows that repeat an id are nodes of their own and may lie in different components. Other
@@ -355,16 +359,26 @@ def connected(docs: DataFrame) -> DataFrame:
     found = small_or_shuffled(saved(linked(docs, index).withColumnRenamed("node", "cid"), "components"))
     classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(found, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "classes")
     label = saved(classes.groupBy("root").agg(F.min("least").alias("label"), F.count("*").alias("k")).where("k > 1").drop("k"), "labels")
-    classes = classes.join(small_or_shuffled(label), "root", "left").select("cid", F.coalesce("label", "least").alias("label"))
-    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid")
+    classes = classes.join(small_or_shuffled(label), "root", "left").select("cid", "root", F.coalesce("label", "least").alias("label"))
+    own = rows.select("doc_id", "tk", F.col("n").alias("n_shingles"), "cid")
     out = own.join(classes, "cid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"), F.col("tk").alias("text_key"), F.col("root").alias("root_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id. Identical rows of it stay one row."""
-    keep = connected(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component: that of the smallest (doc_id, text hash), null ids last.
+
+    Components are told apart by their own key, not by ids: different texts under one id, or without an id, stay
+    if they lie in different components. Identical rows with words are one component; rows without words have no
+    partner and all stay.
+    """
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    keep = connected(docs).where("n_shingles > 0").groupBy("root_id").agg(order.alias("x")).select(F.col("x.doc_id").alias("keep_id"), F.col("x.text_key").alias("keep_key"))
+    text = F.coalesce("text", F.lit(""))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    mine = docs.where(worded).withColumn("keep_text", F.xxhash64(text))
+    mine = mine.join(keep, (F.col("keep_text") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return mine.dropDuplicates(["doc_id", "keep_text"]).drop("keep_text").unionByName(docs.where(~worded))
 
 
 ORACLE = r"""
