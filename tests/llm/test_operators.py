@@ -168,6 +168,18 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(documents(spark, texts), benchmark(spark, items)).collect()) == [3, 4]
 
 
+def test_leaks_without_an_id_are_found_and_their_clean_neighbours_stay(spark):
+    rng = random.Random(15)
+    items = [prose(rng, 20, 3000), prose(rng, 30, 3000)]
+    clean = [prose(rng, 50, 3000) for _ in range(2)]
+    rows = [(None, f"x {items[0]} y"), (None, f"{items[1]} z"), (None, f"two words {items[1]}"), (None, clean[0]), (4, f"x y {items[0]}"), (4, clean[1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.start, r.inter, r.union) for r in decontaminate.find_leaks(docs, benchmark(spark, items)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 0, 1, 16, 16), (None, 1, 0, 26, 26), (None, 1, 2, 26, 26), (4, 0, 2, 16, 16)], key=repr)
+    kept = [(r.doc_id, r.text) for r in decontaminate.drop_leaks(docs, benchmark(spark, items)).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, clean[0]), (4, clean[1]), (None, None)], key=repr)
+
+
 def test_leaks_by_brute_force_over_all_windows(spark):
     """Every window whose bag is similar enough and whose fingerprint is within the radius, from plain loops."""
     rng = random.Random(6)

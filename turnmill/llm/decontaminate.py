@@ -59,10 +59,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     so no pair within the radius is lost; the bags then decide. start counts words from 0; of equally good windows
     the first is given.
 
-    Nulls: documents or items without words leak nothing. A null doc_id is a document of its own; rows that repeat
-    an id are searched one by one and reported once for each id. Items with one id are one item for each text.
-    Other columns are ignored; empty tables give no rows. Only built-in expressions run on the rows.
+    Nulls: documents or items without words leak nothing. A null doc_id is a document of its own for each text; rows
+    that repeat an id are searched one by one and reported once for each id. Items with one id are one item for each
+    text. Other columns are ignored; empty tables give no rows. Only built-in expressions run on the rows.
     """
+    leaks = window_leaks(docs, items, least)
+    best = F.max_by(F.struct("start", "len", "inter", "union"), F.struct(F.col("inter") / F.col("union"), -F.col("start")))
+    leaks = leaks.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("tk")).alias("own"), "item_id").agg(best.alias("b"))
+    return leaks.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.len").alias("n_words"), F.col("b.inter").alias("inter"), F.col("b.union").alias("union"))
+
+
+def window_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, tk, item_id, start, len, inter, union) of all windows that leak; tk is the hash of the text."""
     its = items.select("item_id", words_of("text").alias("w")).where(F.size("w") > 0).distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", "w", F.size("w").alias("len"))
     its = saved(its.withColumn("k", F.least("len", F.lit(WORDS))), "items")
     sizes = sorted(r.k for r in its.select("k").distinct().collect())  # 5 values at most
@@ -86,9 +94,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     near = small_or_shuffled(starts.withColumnsRenamed({"doc_id": "hit_id", "tk": "hit_tk"}), 200_000)
     found = texts.join(near, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tk") == F.col("hit_tk"))).drop("hit_id", "hit_tk")
     found = found.withColumn("h", shingles("w", F.col("k"))).select("doc_id", "tk", "len", "k", "h", F.explode("starts").alias("start"))
-    windows = saved(found.select("doc_id", "tk", "len", "start", F.slice("h", F.col("start") + 1, F.col("len") - F.col("k") + 1).alias("hs")).dropDuplicates(["doc_id", "tk", "len", "start"]), "windows")
+    windows = saved(found.select("doc_id", "tk", "len", "start", F.slice("h", F.col("start") + 1, F.col("len") - F.col("k") + 1).alias("hs")).dropDuplicates(["doc_id", "tk", "len", "start"]).withColumn("win", F.monotonically_increasing_id()), "windows")
 
-    key = ["doc_id", "tk", "len", "start"]
+    key = ["win", "len"]  # joins on the nullable doc_id would lose the documents without one
     prints = fingerprints(windows.select(*key, F.explode("hs").alias("h")), key)
     flips = [0, *[1 << b for b in range(WIDTH)]]
     probes = fingerprints(bags, ["item", "item_id", "len"]).select("item", "item_id", "len", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), F.inline(block_values("fp")))
@@ -98,19 +106,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*key, "n", "item", "item_id", "item_n").distinct()
 
     counts = bags.groupBy("item", "h").agg(F.count("*").alias("of_item"))
-    bag = windows.join(met, key).select(*key, "n", "item", "item_id", "item_n", F.explode("hs").alias("h")).groupBy(*key, "n", "item", "item_id", "item_n", "h").agg(F.count("*").alias("of_window"))
+    bag = windows.select(*key, "hs").join(met, key).select(*key, "n", "item", "item_id", "item_n", F.explode("hs").alias("h")).groupBy(*key, "n", "item", "item_id", "item_n", "h").agg(F.count("*").alias("of_window"))
     same = bag.join(small_or_shuffled(counts), ["item", "h"]).groupBy(*key, "n", "item", "item_id", "item_n").agg(F.sum(F.least("of_item", "of_window")).alias("inter"))
     union = F.col("n") + F.col("item_n") - F.col("inter")
     leaks = same.withColumn("union", union).where(F.col("inter") * 100 >= F.col("union") * least)
-    best = F.max_by(F.struct("start", "len", "inter", "union"), F.struct(F.col("inter") / F.col("union"), -F.col("start")))
-    return leaks.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.len").alias("n_words"), F.col("b.inter").alias("inter"), F.col("b.union").alias("union"))
+    return windows.select("win", "doc_id", "tk", "start").join(small_or_shuffled(leaks.select("win", "item_id", "len", "inter", "union")), "win").drop("win")
 
 
 def spark_empty(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, inter long, union long")
+    return docs.sparkSession.createDataFrame([], "doc_id long, tk long, item_id long, start int, len int, inter long, union long")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item."""
-    leaked = find_leaks(docs, items).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(small_or_shuffled(leaked), F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    """``docs`` without the rows that leak an item; other texts under the same id, or without one, stay."""
+    leaked = window_leaks(docs, items).select(F.col("doc_id").alias("leak_id"), F.col("tk").alias("leak_tk")).distinct()
+    return docs.join(small_or_shuffled(leaked), (F.xxhash64("text") == F.col("leak_tk")) & F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
