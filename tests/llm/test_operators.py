@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -350,6 +351,73 @@ def test_scores_are_shares_whatever_the_number_of_toxic_rows(spark, max_toxic):
     assert abs(model.score("plain maybe") - 24 / 38) < 0.12
 
 
+def plain_nnpu(toxic, other, n_words, prior, prior_error, epochs, rate, l1, l2):
+    """The learner from its definition: dense rows, one word and one row at a time."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    loss = lambda z: max(z, 0) + math.log1p(math.exp(-abs(z)))
+    mean = lambda x: sum(x) / len(x)
+    spread = lambda x: sum((a - mean(x)) ** 2 for a in x) / len(x)
+    w, m, v, best = [0.0] * n_words, [0.0] * n_words, [0.0] * n_words, (math.inf, None, None)
+    for t in range(1, epochs + 1):
+        s_p, s_u = ([sum(w[k] for k in row) for row in side] for side in (toxic, other))
+        low, high = -60.0, 60.0
+        for _ in range(100):
+            b = (low + high) / 2
+            low, high = (b, high) if mean([sigmoid(s + b) for s in s_u]) < prior else (low, b)
+        lost_p, lost_u = [loss(s + b) for s in s_p], [loss(s + b) for s in s_u]
+        negative = mean(lost_u) - prior * mean(lost_p)
+        error = math.sqrt(spread(lost_u) / len(other) + prior**2 * spread(lost_p) / len(toxic) + (mean(lost_p) * prior_error) ** 2)
+        sound = negative >= -toxicity.ERRORS * error
+        risk = prior * mean([loss(-s - b) for s in s_p]) + negative + prior * (l1 * sum(w) + l2 / 2 * sum(x * x for x in w))
+        if sound and risk < best[0]:
+            best = (risk, list(w), b)
+        for k in range(n_words):
+            rise = sum(sigmoid(s + b) for row, s in zip(other, s_u, strict=True) if k in row) / len(other) - prior * sum(sigmoid(s + b) for row, s in zip(toxic, s_p, strict=True) if k in row) / len(toxic)
+            g = rise + prior * sum(sigmoid(s + b) - 1 for row, s in zip(toxic, s_p, strict=True) if k in row) / len(toxic) + prior * (l1 + l2 * w[k]) if sound else -rise
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            w[k] = min(max(w[k] - rate * m[k] / (1 - 0.9**t) / (math.sqrt(v[k] / (1 - 0.999**t)) + 1e-8 * prior), 0), toxicity.MOST_ODDS - math.log(prior / (1 - prior)))
+    return best[1], best[2]
+
+
+def test_learner_is_that_of_its_plain_form():
+    rng = random.Random(14)
+    row = lambda p: sorted({k for k in range(6) if rng.random() < p[k]})
+    toxic = [row([0.7, 0.5, 0.1, 0.3, 0.0, 0.4]) for _ in range(30)]
+    other = [row([0.7, 0.5, 0.1, 0.3, 0.0, 0.4] if rng.random() < 0.1 else [0.0, 0.05, 0.1, 0.3, 0.2, 0.0]) for _ in range(150)]
+    side = lambda rows: (np.array([k for r in rows for k in r], np.int64), np.cumsum([0, *map(len, rows)]))
+    for prior, error, l1, l2 in ((0.12, 0.02, 0.0, 1e-3), (0.3, 0.0, 9e-3, 0.0)):
+        w, b = toxicity.nnpu(side(toxic), side(other), 6, prior, error, epochs=60, l1=l1, l2=l2)
+        want_w, want_b = plain_nnpu(toxic, other, 6, prior, error, 60, 0.1, l1, l2)
+        assert np.allclose(w, want_w, atol=1e-6)
+        assert abs(b - want_b) < 1e-6
+        assert b <= math.log(prior / (1 - prior))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ten_toxic_rows_leave_clean_documents_alone(spark, seed):
+    """Few toxic rows: the empty text scores the prior at most, and clean rows aren't flagged for words met by chance."""
+    rng = random.Random(seed)
+    bad = [f"insult{k}" for k in range(6)]
+    texts = [f"{prose(rng, rng.randint(5, 300), 3000)} {' '.join(rng.sample(bad, 3)) if i % 10 == 3 else ''}" for i in range(240)]
+    marks = [(i, 1, int(i % 10 == 3)) for i in range(124)]
+    docs = documents(spark, [*texts, "", None])
+    rows = toxicity.toxicity_scores(docs, labels(spark, marks)).collect()
+    clean = [r for r in rows if r.doc_id % 10 != 3 or r.doc_id >= 240]
+    assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    assert [r.predicted for r in rows if r.doc_id in (240, 241)] == [0, 0]
+    assert sum(r.predicted for r in rows if r.doc_id % 10 == 3 and r.doc_id < 240) >= 18
+    assert toxicity.drop_toxic(docs, labels(spark, marks)).columns == docs.columns
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_clean_rows_of_the_tables_stay(spark, sf):
+    docs, marks = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity_scores(docs, marks).join(marks, "doc_id").where("toxic = 0").collect()
+    for side in (True, False):
+        of_side = [r.predicted for r in rows if r.held_out == side]
+        assert sum(of_side) <= 0.05 * len(of_side)
+
+
 def test_held_out_labels_are_never_learnt(spark):
     texts = [f"w{i} w{i % 7} badword" if i % 3 == 0 else f"w{i} w{i % 7} fine" for i in range(300)]
     marks = [(i, 1, int(i % 3 == 0)) for i in range(300)]

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 #: Documented bounds of the training sample (rows) and of the vocabulary (words).
 MAX_TOXIC, MAX_UNLABELLED, MAX_WORDS, LEAST_TOXIC = 6_000, 12_000, 50_000, 3
 FOLDS = 5
-#: Weight of the penalty on the sum of absolute weights, as a multiple of the class prior: the gradients that it stands
-#: against shrink with the prior, so a word is picked by its shares alone, however rare the toxic class is.
-PENALTY = 9e-3
+#: Weights of the penalties on the sum of weights (while words are picked) and on half the sum of their squares (while
+#: the picked ones are fitted), as multiples of the class prior: the gradients that they stand against shrink with
+#: the prior, so a word is judged by its shares alone, however rare the toxic class is.
+PICK, KEEP = 9e-3, 1e-3
+#: No word alone takes a text from the prior to odds of more than e to this.
+MOST_ODDS = 4.0
 WORD = re.compile(r"[^\W_]+")
-#: A word is tried if so many times as large a share of the toxic documents hold it as of the others, and so many
-#: standard errors more.
-LIFT, ERRORS = 1.5, 3.0
+#: A word is tried if so many times as large a share of the toxic documents hold it as of the others.
+LIFT = 1.5
+#: Standard errors by which an estimate may be on the wrong side by chance.
+ERRORS = 2.0
 
 
 @dataclass(frozen=True)
@@ -40,38 +44,59 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def nnpu(toxic: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], n_words: int, prior: float, epochs: int = 150, rate: float = 0.1, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the class-prior-corrected risk, by Adam with a proximal step for sparseness.
+def tied_bias(sums: np.ndarray, prior: float) -> float:
+    """The bias at which the mean score of rows with these sums of weights is the prior, by bisection."""
+    low, high = -40.0 - float(sums.max(initial=0.0)), 40.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.mean(1 / (1 + np.exp(-np.clip(sums + mid, -40, 40)))) < prior else (low, mid)
+    return (low + high) / 2
 
-    Each side is (word numbers, row starts). The risk is prior * E_toxic[l(+)] + max(0, E_other[l(-)] - prior *
-    E_toxic[l(-)]) with the logistic loss; while the second part is below 0, its gradient alone is followed
-    upwards, which keeps the risk of the unlabelled rows from going negative. The penalty is ``penalty`` * prior.
+
+def negative_part(toxic: np.ndarray, other: np.ndarray, prior: float, prior_error: float) -> tuple[float, float]:
+    """E_other[l(-)] - prior * E_toxic[l(-)] of the margins, l being the logistic loss, and its standard error."""
+    p, u = np.logaddexp(0, toxic), np.logaddexp(0, other)
+    error = np.sqrt(u.var() / len(u) + prior**2 * p.var() / len(p) + (p.mean() * prior_error) ** 2)
+    return float(u.mean() - prior * p.mean()), float(error)
+
+
+def nnpu(toxic: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], n_words: int, prior: float, prior_error: float = 0.0, epochs: int = 200, rate: float = 0.1, l1: float = 0.0, l2: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights, none below 0 or above what ``MOST_ODDS`` allows, and the bias of least class-prior-corrected risk, by proximal Adam steps.
+
+    Each side is (word numbers, row starts). The risk is prior * E_toxic[l(+)] plus ``negative_part``, plus ``l1`` *
+    prior times the sum of the weights and ``l2`` * prior / 2 times that of their squares. The negative part of a
+    true risk is never below 0: where its estimate is, by more than ``ERRORS`` standard errors, chance was fitted, and
+    its gradient alone is followed upwards. The bias is tied to the weights: the mean score of the unlabelled rows
+    is the prior, as at the least of the risk, so it can't drift, and a text without a known word scores the prior
+    at most. The iterate of least risk among those that aren't below 0 so far is returned, not the last one.
     """
-    l1, longest = penalty * prior, 100 / prior
-    w, b = np.zeros(n_words), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
+    w, most = np.zeros(n_words), MOST_ODDS - float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(n_words), np.zeros(n_words)
+    best = (np.inf, w, float(np.log(prior / (1 - prior))))
 
-    def margins(side: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def sums(side: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         words, starts = side
-        sums = np.concatenate([[0.0], np.cumsum(w[words])])
-        return b + sums[starts[1:]] - sums[starts[:-1]]
+        total = np.concatenate([[0.0], np.cumsum(w[words])])
+        return total[starts[1:]] - total[starts[:-1]]
 
     def pulled(side: tuple[np.ndarray, np.ndarray], g: np.ndarray) -> np.ndarray:
         words, starts = side
-        return np.append(np.bincount(words, np.repeat(g, np.diff(starts)), n_words), g.sum())
+        return np.bincount(words, np.repeat(g, np.diff(starts)), n_words)
 
     for t in range(1, epochs + 1):
-        p, u = (1 / (1 + np.exp(-np.clip(margins(s), -30, 30))) for s in (toxic, other))
-        n_p, n_u = max(1, len(p)), max(1, len(u))
-        negative = -np.log1p(-u + 1e-12).sum() / n_u + prior * np.log1p(-p + 1e-12).sum() / n_p
-        down = pulled(other, u / n_u) - pulled(toxic, prior * p / n_p)
-        grad = pulled(toxic, prior * (p - 1) / n_p) + down if negative >= 0 else -down
+        s_p, s_u = sums(toxic), sums(other)
+        b = tied_bias(s_u, prior)
+        negative, error = negative_part(s_p + b, s_u + b, prior, prior_error)
+        sound = negative >= -ERRORS * error
+        risk = prior * float(np.logaddexp(0, -s_p - b).mean()) + negative + prior * float(l1 * w.sum() + l2 / 2 * (w @ w))
+        if sound and risk < best[0]:
+            best = (risk, w.copy(), b)
+        p, u = (1 / (1 + np.exp(-np.clip(s + b, -40, 40))) for s in (s_p, s_u))
+        down = pulled(other, u / len(u)) - pulled(toxic, prior * p / len(p))
+        grad = pulled(toxic, prior * (p - 1) / len(p)) + down + prior * (l1 + l2 * w) if sound else -down
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        moved = np.append(w, b) - step * m / (1 - 0.9**t)
-        w = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - l1 * np.minimum(step[:-1], longest), 0)
-        b = float(moved[-1])
-    return w, b
+        w = np.clip(w - rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8 * prior), 0, most)
+    return best[1], best[2]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED, seed: int = 5) -> Model:
@@ -80,57 +105,70 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
     The class prior is the share of toxic rows among all labelled training rows. The fit is over at most
     ``max_toxic`` toxic and ``max_unlabelled`` unlabelled documents, those with the smallest seeded hashes, and over
     the words that at least ``LEAST_TOXIC`` of these toxic documents hold, and a clearly larger share of them than
-    of the clean ones (``LIFT``, ``ERRORS``), ``MAX_WORDS`` at most. The unlabelled are drawn from all training
-    documents, the toxic ones included, so that they hold the prior's share of them as the risk assumes; the clean
-    documents' share of a word is theirs less what the toxic ones bring. Labels of 0 enter as unlabelled text and
-    in the prior. Without a toxic row every score is the prior's.
+    of the clean ones: ``LIFT`` times, and by so much that no word of this many would reach it by chance (the
+    likelihood ratio of two shares against one is above the number of words), ``MAX_WORDS`` at most. The unlabelled are drawn
+    from all training documents, the toxic ones included, so that they hold the prior's share of them as the risk
+    assumes. The clean documents' share of a word is that of the unlabelled ones which aren't confirmed as toxic,
+    less what toxic ones among them bring by the prior, of which a standard error is spared. Labels of 0 enter as unlabelled text and in the prior. Without a toxic row, or without a word that
+    is clear enough, every score is the prior.
     """
     kept = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = kept.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
     prior = (n_toxic + 0.5) / (n + 1)
+    error = float(np.sqrt(prior * (1 - prior) / (n + 1)))
     order = F.xxhash64("doc_id", F.lit(seed))
     by_hash = lambda df, most: df.orderBy(order, "doc_id").limit(most)
     known = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     positives = by_hash(kept.where("toxic > 0").select("doc_id"), max_toxic)
     others = by_hash(known.select("doc_id"), max_unlabelled)
-    picked = positives.withColumn("toxic", F.lit(1)).unionByName(others.withColumn("toxic", F.lit(0)))
+    confirmed = kept.where("toxic > 0").select("doc_id", F.lit(2).alias("kind"))
+    others = others.join(confirmed, "doc_id", "left").select("doc_id", F.coalesce("kind", F.lit(0)).alias("kind"))
+    picked = positives.withColumn("kind", F.lit(1)).unionByName(others)  # 1: the toxic side, 0 and 2: the unlabelled one
 
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [sorted(set(WORD.findall(t.as_py().lower()))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["toxic", "words"])
-
-    sample = known.join(F.broadcast(picked), "doc_id").select("toxic", "text")  # the pick is bounded by the two limits
-    sample = sample.mapInArrow(worded, "toxic int, words array<string>").persist()
-    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n_p, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
-    other = F.greatest(F.lit(0.0), (F.col("n") - F.col("p")) / n_u - prior * F.col("p") / n_p) / (1 - prior)
-    likely = counts.where((F.col("p") >= LEAST_TOXIC) & (F.col("p") / n_p >= LIFT * other + ERRORS * F.sqrt(other * (1 - other) / n_p)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["kind", "words"])
+
+    sample = known.join(F.broadcast(picked), "doc_id").select("kind", "text")  # the pick is bounded by the two limits
+    sample = sample.mapInArrow(worded, "kind int, words array<string>").persist()
+    sizes = {r.kind: r["count"] for r in sample.groupBy("kind").count().collect()}
+    n_p, n_free, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0)), max(1, sizes.get(0, 0) + sizes.get(2, 0))
+    counts = sample.select("kind", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 0).alias("u")).persist()
+    hidden = max(0.0, prior * n_u - sizes.get(2, 0))  # toxic rows among those that aren't confirmed
+    tried, n_c = max(2, counts.count()), max(1.0, n_free - hidden)
+    share = F.col("p") / n_p
+    clean = F.greatest(F.lit(0.0), F.col("u") - hidden * share + F.least(F.sqrt(hidden * share), hidden * share))
+    of_clean, of_both = F.least(F.lit(1.0), clean / n_c), F.least(F.lit(1.0), (F.col("p") + clean) / (n_p + n_c))
+    times_log = lambda n, x: F.when(n > 0, n * F.log(x)).otherwise(0.0)
+    fit = lambda k, n, x: times_log(k, x) + times_log(n - k, F.greatest(F.lit(1e-12), 1 - x))
+    clear = fit(F.col("p"), F.lit(n_p), share) + fit(clean, F.lit(n_c), of_clean) - fit(F.col("p"), F.lit(n_p), of_both) - fit(clean, F.lit(n_c), of_both)
+    likely = counts.where((F.col("p") >= LEAST_TOXIC) & (share >= LIFT * of_clean) & (clear >= float(np.log(tried))))
     vocabulary = [r.word for r in likely.orderBy(F.desc("p"), "word").limit(MAX_WORDS).collect()]
+    counts.unpersist()
     number = {word: i for i, word in enumerate(vocabulary)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[number[w] for w in ws.as_py() or () if w in number] for ws in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["kind", "at"])
 
-    found = sample.mapInArrow(numbered, "toxic int, at array<int>").toArrow()
+    found = sample.mapInArrow(numbered, "kind int, at array<int>").toArrow()
     sample.unpersist()
     sides = []
-    for kind in (1, 0):
-        rows = [r.as_py() for t, r in zip(found.column("toxic"), found.column("at"), strict=True) if t.as_py() == kind]
+    for kinds in ((1,), (0, 2)):
+        rows = [r.as_py() for t, r in zip(found.column("kind"), found.column("at"), strict=True) if t.as_py() in kinds]
         rows.sort()  # the order of rows, and with it every sum, doesn't hang on the partitions
         sides.append((np.array([i for r in rows for i in r], np.int64), np.cumsum([0, *map(len, rows)])))
     w, b = np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior)))
-    if len(sides[0][1]) > 1:
-        w, b = nnpu(sides[0], sides[1], len(vocabulary), prior)  # the penalty picks the words
+    if all(len(starts) > 1 for _, starts in sides) and vocabulary:
+        w, b = nnpu(*sides, len(vocabulary), prior, error, l1=PICK)  # the penalty on the sum picks the words
         used = np.flatnonzero(w > 0)
         to = np.full(len(vocabulary), -1)
         to[used] = np.arange(len(used))
         narrow = [(to[words][(on := to[words] >= 0)], np.concatenate([[0], np.cumsum(on)])[starts]) for words, starts in sides]
         w[:] = 0
-        w[used], b = nnpu(*narrow, len(used), prior, epochs=600, penalty=0.0)  # and their weights are fitted without it
+        w[used], b = nnpu(*narrow, len(used), prior, error, epochs=600, l2=KEEP)  # and their weights are fitted without it
     return Model({word: float(w[i]) for word, i in number.items() if w[i]}, b)
 
 
@@ -156,8 +194,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; same columns, order of columns kept."""
     model = train(docs, labels)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return texts.fillna("").map(model.score)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
 
-    return docs.where(score("text") < 0.5)
+    return docs.where(score(F.col("text").cast("string")) < 0.5)
