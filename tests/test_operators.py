@@ -1,6 +1,7 @@
 """Operators against brute force, and the cases of FIXTURES.md in own words."""
 
 import datetime
+import itertools
 import random
 from difflib import SequenceMatcher
 
@@ -202,6 +203,200 @@ def test_date_chain_confirms_and_contradicts(spark):
     assert "| confirmed | 3 |" in sittings.report(chain(spark, manifest, bodies))
 
 
+def plain_verdict(date, gates):
+    """The rule in words: hard failures first, then soft ones, then the number of passes of any kind."""
+    if date is None:
+        return "no_date"
+    failed = {g for g, state in gates.items() if state == "fail"}
+    passed = sum(state == "pass" for state in gates.values())
+    if failed & {"recurrence", "sequence", "collision"}:
+        return "conflict"
+    if failed:
+        return "soft_flag" if passed else "conflict"
+    return {0: "unverifiable", 1: "single_witness"}.get(passed, "confirmed")
+
+
+def test_verdicts_of_all_states(spark):
+    rows = [(None if k % 50 == 0 else DAY(2015, 1, 1), *states) for k, states in enumerate(itertools.product(("pass", "fail", "na"), repeat=6))]
+    df = spark.createDataFrame(rows, "date date, " + ", ".join(f"{g} string" for g in sittings.GATES))
+    got = df.select("*", sittings.verdict(F.col("date"), {g: F.col(g) for g in sittings.GATES}).alias("verdict")).collect()
+    assert all(r.verdict == plain_verdict(r.date, {g: r[g] for g in sittings.GATES}) for r in got)
+
+
+def days(spark, *iso):
+    return spark.createDataFrame([(DAY.fromisoformat(d),) for d in iso], "day date")
+
+
+def flags(spark, rows, calendar=None):
+    m = spark.createDataFrame([(stem, f"{stem}.md", date, "body") for stem, date in rows], "doc_id string, md_file string, sitting_date string, date_source string")
+    tri = sittings.triangulated(m, calendar)
+    return {r.doc_id: r for r in tri.collect()}, tri
+
+
+def test_flags_of_dates(spark):
+    """Sequence, bounds, the calendar within its days, and years repaired within the window, ends included."""
+    rows = [("2015-2016__1", "2015-10-06"), ("2015-2016__2", "2015-10-13"), ("2015-2016__3", "2013-10-20"), ("2015-2016__4", "2015-10-20"), ("2015-2016__5", ""), ("2010-2011__1", "2010-11-02"), ("junk", "2015-10-07"), ("2015-10-27__9", "2015-10-27")]
+    cal = days(spark, "2015-10-06", "2015-10-13", "2015-10-20")
+    got, _ = flags(spark, rows, cal)
+    assert got["2015-2016__3"].date_flag == "repaired_year" and got["2015-2016__3"].suggested_date == DAY(2015, 10, 20)  # the window's own end
+    assert [got[f"2015-2016__{k}"].date_flag for k in (1, 2, 4, 5)] == ["ok", "ok", "ok", "conflict:no_date"]
+    assert (got["2010-2011__1"].date_flag, got["2010-2011__1"].in_marsad) == ("ok", None)  # the calendar doesn't cover it
+    assert (got["junk"].date_flag, got["junk"].in_marsad) == ("soft:not_marsad_plenary", False)
+    assert got["2015-10-27__9"].date_flag == "soft:not_marsad_plenary"
+    none, _ = flags(spark, rows)
+    assert none["junk"].date_flag == "ok_unverifiable" and none["2015-2016__3"].date_flag == "conflict:seq_break+out_of_period"
+    empty, _ = flags(spark, rows, days(spark))
+    assert {k: r.date_flag for k, r in empty.items()} == {k: r.date_flag for k, r in none.items()}
+
+
+def test_conflicts_are_resolved_in_order(spark):
+    rows = [("2015-2016__1", "2015-10-06"), ("2015-2016__2", "2011-10-13"), ("2015-2016__3", "2015-10-20"), ("2015-2016__4", ""), ("2015-2016__5", "2015-10-20"), ("2015-2016__6", ""), ("2015-2016__7", "2015-11-03"), ("2015-2016__8", "")]
+    cal = days(spark, "2015-10-06", "2015-10-20", "2015-10-27", "2015-11-03", "2016-02-01", "2016-09-15")
+    _, tri = flags(spark, rows, cal)
+    bodies = spark.createDataFrame([("2015-2016__2", "1/1/2015 14/10/2015\n13/10/2015 13/10/2015"), ("2015-2016__8", "9/9/2016")], "doc_id string, body string")
+    got = {r.doc_id: r for r in sittings.resolved(tri, bodies, cal).collect()}
+    r = got["2015-2016__2"]
+    assert (r.resolved_date, r.resolution, r.candidates, r.in_marsad) == (DAY(2015, 10, 13), "text_window(n=2)", "2015-10-13;2015-10-14", False)
+    assert (got["2015-2016__4"].resolved_date, got["2015-2016__4"].resolution) == (DAY(2015, 10, 20), "squeeze")
+    assert (got["2015-2016__6"].resolved_date, got["2015-2016__6"].resolution, got["2015-2016__6"].in_marsad) == (DAY(2015, 10, 27), "marsad_unique", True)
+    # an open window ends with the period: of the days after the last anchor one is left, the text's is outside
+    assert (got["2015-2016__8"].resolved_date, got["2015-2016__8"].resolution) == (DAY(2016, 2, 1), "marsad_unique")
+    final = {r.doc_id: (r.final_date, r.date_source, r.date_flag, r.flag_raw) for r in sittings.merged(tri, sittings.resolved(tri, bodies, cal)).collect()}
+    assert final["2015-2016__2"] == (DAY(2015, 10, 13), "text_window", "repaired", "conflict:seq_break+out_of_period")
+    assert final["2015-2016__1"] == (DAY(2015, 10, 6), "body", "verified_marsad", "ok")
+
+
+def test_gates_say_what_they_read(spark):
+    far = "x" * 41
+    bodies = [("2015-10-06__1", "يوم الثلاثاء 6 أكتوبر 2015\n6/10/2015"), ("2015-10-13__2", f"يوم الاثنين {far} 2015\nيوم الثلاثاء 2015\n13/10/2015 14/10/2015 14/10/2015 14/10/2015"), ("2015-10-20__3", "يوم الاثنين 2015 و 7 محرم 1437")]
+    manifest = [(k, f"{k}.md", k[:10], "name") for k, _ in bodies]
+    got = {r.doc_id: r for r in chain(spark, manifest, bodies).collect()}
+    assert (got["2015-10-06__1"].weekday, got["2015-10-06__1"].recurrence, got["2015-10-06__1"].evidence) == ("pass", "pass", "weekday:الثلاثاء; recurrence:mode=2015-10-06x2")
+    r = got["2015-10-13__2"]  # the first weekday has no date behind it, and later ones aren't asked
+    assert (r.weekday, r.recurrence, r.verdict, r.evidence, r.suggested_date) == ("na", "na", "confirmed", "recurrence:mode=2015-10-14x3", None)
+    r = got["2015-10-20__3"]
+    assert (r.weekday, r.hijri, r.verdict) == ("fail", "pass", "soft_flag")
+    assert r.evidence.startswith("weekday:الاثنين; hijri:7 محرم 1437->2015-10-")
+    rows = sittings.gated(*[spark.createDataFrame([], s) for s in ("doc_id string, source_file string, final_date date, date_source string, period string, series string, seq int", "doc_id string, body string")])
+    assert rows.count() == 0
+    lines = [r.line for r in sittings.report_lines(chain(spark, manifest, bodies)).collect()]
+    assert lines[1] == "Total sittings: **3**" and "| soft_flag | 1 |" in lines and lines[-1].startswith("| 2015-10-20__3 | 2015-10-20 | name | ✗ | ✓ |")
+
+
+def test_noise(spark):
+    noisy = ["", " ", "- 12 -", "12/13", "ab", "صفحة 12", "صفحة 12\n\n345", "\u00a0\u2003x", "12\u2011\u0640 3", "##  ", "مداولات مجلس"]
+    clean = ["abc", "صفحة 12 ثم", "صفحة 12\nكلام آخر هنا", "1 a 2", "مداولات مجلسنا"]
+    got = values(spark, [(t,) for t in noisy + clean], "t string", n=T.is_noise(F.col("t"), ARABIC))
+    assert [r.n for r in got] == [True] * len(noisy) + [False] * len(clean)
+
+
+@pytest.mark.parametrize(("number", "text", "name"), [
+    (0, "نعطي الكلمة الآن إلى السيدة سامية علي، شكرا", "السيدة سامية علي"), (0, "الكلمه للسيد منير سالم.", "منير سالم"), (0, "الكلمة لمنير سالم", "منير سالم"), (1, "نقطة نظام للسيد أحمد سالم", "أحمد سالم"),
+    (2, "تفضّل يا سيدي عمر الزين", "عمر الزين"), (2, "فلتتفضل السيدة ليلى منصور", "ليلى منصور"), (3, "السيد عمر الزين، تفضل", "عمر الزين"), (4, "شكرًا، السيدة ريم سالم خمس دقائق.", "ريم سالم"), (4, "شكرا جزيلا، للسيد نور فرج", "نور فرج"),
+    (5, "وسيتفضل الآن السيد كمال فرج", "كمال فرج"), (5, "ليتفضل كمال فرج", "كمال فرج"), (6, "سنستمع الآن إلى السيد كمال فرج", "كمال فرج"), (6, "نستمع للسيد كمال فرج", "كمال فرج"), (7, "ننتقل الآن إلى السيدة ليلى منصور", "ليلى منصور"),
+    (8, "السيدة صفية سالم أربع دقائق", "صفية سالم"), (8, "السيد نور فرج له دقيقتان", "نور فرج"), (9, "السؤال الشفاهي الثاني من قبل السيد نور فرج", "نور فرج"), (10, "يدافع عن هذا المقترح السيد نور فرج", "نور فرج"),
+    (11, "والرأي المخالف للسيدة ليلى منصور", "ليلى منصور"), (12, "تفضلوا السيد نور فرج", "نور فرج"), (13, "ويتولى الدفاع عنه الأستاذة ليلى منصور", "ليلى منصور"), (14, "وتتولى الأستاذة ليلى منصور الدفاع عن هذا", "ليلى منصور"),
+    (15, "من له رأي معارض؟ السيدة ليلى منصور.", "ليلى منصور"),
+])
+def test_each_cue(number, text, name):
+    f = turns.finder(ARABIC)
+    found = [text[slice(*m.span("name"))].strip() for m in f.cues[number].finditer(text.translate(f.spell))]
+    assert found == [name]
+
+
+@pytest.mark.parametrize("text", ["تفضلت السيدة", "لا نستمع إلى بعضنا", "نمر إلى التصويت", "السيد نور فرج دقيقة", "شكرا للسيد نور فرج", "الكلام لا ينتهي", "السيد نور فرج يدافع", "يتولى رئيس اللجنة", "؟ ثم السيد نور"])
+def test_what_is_no_cue(text):
+    assert turns.finder(ARABIC).last(text) is None
+
+
+def test_turns_are_linked_to_the_roster(spark, tmp_path):
+    head = "قال رئيس الجلسة ما يلي عن جدول الأعمال"
+    said = "شكرا سيدي الرئيس أريد أن أتحدث عن مشكل الماء"
+    cues = ["الكلمة للسيدة سامية حمودة علي", "الكلمة لوزير المالية", "الكلمة للسيد حمدان القرمطي", "الكلمة لسامي"]
+    body = "\n\n".join([head, *[x for c in cues for x in (c, said)], "رفعت الجلسة على الساعة الثامنة"])
+    (tmp_path / "2015-11-19__N_09.md").write_text(body, encoding="utf-8")
+    docs = corpus.markdown(spark, str(tmp_path))
+    pars = paragraphs.stitched(paragraphs.paragraphs(paragraphs.lines(docs, "source_file", "body"), "source_file"), "source_file")
+    roster = spark.createDataFrame([("7", "سامية حمودة علي", "2014-2019", "Samia", "حزب", "تونس"), ("8", "سامي الفتيتي", "2014-2019", "Sami", "", ""), ("9", "سامية حمودة علي", "2019-2024", "Other", "", "")], "mp_id string, name string, period string, name_transliterated string, party string, district string")
+    aliases = spark.createDataFrame([("سامي", "8", "سامي الفتيتي", 3, "anchor")], "variant_norm string, mp_id string, roster_name string, n_occurrences int, source string")
+    out = linking.linked_turns(turns.extract_turns(pars, docs), roster, aliases).orderBy("speech_index")
+    assert tuple(out.columns) == tables.TURN_FIELDS
+    rows = out.collect()
+    assert [(r.speaker_type, r.mp_id, r.needs_review) for r in rows] == [("mp", "7", ""), ("office_or_role", "", "1"), ("unmatched_candidate", "", "1"), ("mp", "8", "")]
+    first, office, stranger, alias = rows
+    assert (first.mp_name_ar, first.mp_name_transliterated, first.mp_party_ar, first.mp_district_ar) == ("سامية حمودة علي", "Samia", "حزب", "تونس")
+    assert (first.assignment_method, first.assignment_confidence, first.speaker_role) == ("handoff_window:p0:exact_period_roster", "1.00", "")
+    assert (office.speaker_role, office.assignment_method, office.assignment_confidence) == ("وزير المالية", "handoff_window:p0:office_or_role_not_mp", "0.50")
+    assert (stranger.mp_name_ar, stranger.assignment_confidence) == ("", "0.00")
+    assert alias.assignment_method == "handoff_window:p0:alias_table"
+    assert [(r.speech_id[-4:], r.block_type, r.evidence_text, r.text) for r in rows] == [(f"000{k}", "speech", c, said) for k, c in enumerate(cues, 1)]
+    assert linking.speech_only(out).count() == 4
+    audit = turns.coverage(pars, out).first()
+    assert (audit.substantive, audit.covered, audit.openers, audit.openers_covered) == (9, 4, 4, 4)
+    assert [r.speech_id for r in review.sample_rows(out, n=2, least_words=3).collect()] == sorted(r.speech_id for r in review.sample_rows(out, n=2, least_words=3).collect())
+
+
+def test_names_of_files(spark):
+    stems = ["PV_2015-3-9_N_11", "seance_7.12.2016_suite", "2024-02-7_-_6_N_-_32", "07_08_01-2025_N_-_30", "x_2015-13-40", "72"]
+    two = D.two_day_sitting(F.col("s"))
+    got = values(spark, [(x,) for x in stems], "s string", d=D.date_in_name(F.col("s")), tag=D.source_tag(F.col("s")), first=two["date"], no=two["session"])
+    assert [r.d for r in got] == ["2015-03-09", "2016-12-07", "2024-02-07", "2025-01-08", None, None]
+    assert [r.tag for r in got] == ["PV_11", "seance_suite", "6_32", "07_30", "x", "72"]
+    assert [(r.first, r.no) for r in got[2:4]] == [("2024-02-06", "N32"), ("2025-01-07", "N30")]
+    assert got[0].first is None
+    body = "في 3 ماي 2016 ثم يوم الاثنين 24 جويلية 2017"
+    got = values(spark, [(body,), ("في 3 ماي 2016",), ("لا شيء",)], "b string", d=D.banner_date(F.col("b")))
+    assert [r.d for r in got] == ["2017-07-24", "2016-05-03", None]
+
+
+def test_blocks_without_furniture_and_imprint(spark):
+    long = "ك" * 70
+    text = f"head\n\n{long}\n\n{'م' * 45}\n\n12\n\nprint one\n\nab\n\nprint two"
+    got = curation.healed(spark.createDataFrame([(1, text)], "doc_id long, text string"), furniture="^head$", imprint="^print", single=40).first()
+    assert (got.n_blocks, got.text) == (1, f"{long} {'م' * 45}")
+    got = values(spark, [("a<!-- page 3 col R -->b![x](y.png)c",)], "t string", t=T.without_marks(F.col("t")))
+    assert got[0].t == "a\nbc"
+
+
+def test_places_of_files_and_translations(spark):
+    manifest = spark.createDataFrame([("a", "a.md"), ("b", "b.md"), ("c", "c.md")], "doc_id string, source_file string")
+    files = spark.createDataFrame([("a.md", "/two/a.md"), ("a.md", "/one/x/a.md"), ("b.md", "/two/b.md"), ("c.md", "/three/c.md")], "source_file string, path string")
+    assert {r.doc_id: r.path for r in corpus.paths_of(manifest, files, ["/one/", "/two/"]).collect()} == {"a": "/one/x/a.md", "b": "/two/b.md", "c": None}
+    pars = spark.createDataFrame([("a.md", 1), ("a.md", 4), ("b.md", 1)], "source_file string, start_line int")
+    cached = spark.createDataFrame([("a.md", 4, "x"), ("a.md", 1, " "), ("a.md", 9, "y")], "source_file string, line int, text string")
+    assert {r.source_file: (r.paragraphs, r.translated) for r in review.translated_counts(pars, cached).collect()} == {"a.md": (2, 1), "b.md": (1, 0)}
+    added = F.array(F.struct(F.lit(3).alias("line"), F.lit("x").alias("text")), F.struct(F.lit(5).alias("line"), F.lit("y").alias("text")))
+    more = review.with_addition(added, F.struct(F.lit(9).alias("line"), F.lit("z").alias("text")))
+    got = values(spark, [(1,)], "k int", less=review.without_addition(added, F.lit(3)), more=more, same=review.with_addition(added, F.struct(F.lit(5).alias("line"), F.lit("z").alias("text"))))[0]
+    assert ([x.line for x in got.less], [x.line for x in got.more], [x.text for x in got.same]) == ([5], [3, 5, 9], ["x", "y"])
+    rows = spark.createDataFrame([("b", 3), ("a", 3), ("c", 7)], "variant_norm string, n_occurrences int")
+    assert [r.variant_norm for r in linking.alias_rows(rows).collect()] == ["c", "a", "b"]
+
+
+def test_running_totals(spark):
+    rng = random.Random(3)
+    keys = rng.sample(range(10**9), 400)
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, v long").repartition(5)
+    order = sorted(keys)
+    want = {k: sum(j % 7 for j in order[:i]) for i, k in enumerate(order)}
+    assert {r.k: r.earlier for r in curation.running_totals(df, "k", "v", ranges=16).collect()} == want
+
+
+def test_logistic_coefficients_are_those_of_plain_irls(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 2))
+    y = (rng.random(800) < 1 / (1 + np.exp(-(0.4 + x @ np.array([1.2, -0.7]))))).astype(float)
+    design, b = np.column_stack([np.ones(800), x]), np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ b))
+        b += np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]), design.T @ (y - p))
+    errors = np.sqrt(np.diag(np.linalg.inv(design.T @ (design * (p * (1 - p))[:, None]))))
+    df = spark.createDataFrame([(float(t), *map(float, r)) for t, r in zip(y, x, strict=True)], "y double, a double, b double")
+    got = {r["term"]: r for r in statistics.glm(df, "y", ["a", "b"], "binomial")}
+    for name, want, error in zip(("(Intercept)", "a", "b"), b, errors, strict=True):
+        assert abs(got[name]["estimate"] - want) < 1e-4 and abs(got[name]["std_error"] - error) < 1e-3
+
+
 def test_missing_calendar_is_empty(spark, tmp_path):
     assert corpus.calendar(spark, str(tmp_path / "none.txt")).count() == 0
     (tmp_path / "days.txt").write_text("2014-01-07\njunk\n2014-02-31\n")

@@ -122,3 +122,40 @@ def dates_in_line(line: Column, months: dict[str, int] = L.GREGORIAN_MONTHS) ->
 
     both = F.concat(found(worded, lambda m: F.try_element_at(number, m).cast("string")), found(numeric, lambda m: m))
     return F.filter(both, lambda x: x.isNotNull())
+
+
+def _found(text: Column, pattern: str, *groups: int) -> list[Column]:
+    return [F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in groups]
+
+
+def date_in_name(stem: Column) -> Column:
+    """The ISO date in a file's name: year first, else day first; null where neither has a month and a day in range."""
+    y, m, d = _found(stem, r"(20\d{2})[-_.](\d{1,2})[-_.](\d{1,2})", 1, 2, 3)
+    d2, m2, y2 = _found(stem, r"(\d{1,2})[-_.](\d{1,2})[-_.](20\d{2})", 1, 2, 3)
+    return F.coalesce(loose_date(y, m, d), loose_date(y2, m2, d2))
+
+
+def two_day_sitting(stem: Column) -> Column:
+    """(date, session, source) of a name that carries both days of a sitting and its number, dated by the first day; else null."""
+    y, m, a, b, n = _found(stem, r"^(\d{4})-(\d{2})-_?(\d{1,2})[-_]+(\d{1,2})_N[-_]+(\d+)$", 1, 2, 3, 4, 5)
+    a2, b2, m2, y2, n2 = _found(stem, r"^(\d{1,2})[-_]+(\d{1,2})_(\d{2})-(\d{4})_N[-_]+(\d+)$", 1, 2, 3, 4, 5)
+    first = F.least(F.coalesce(a, a2).cast(_INT), F.coalesce(b, b2).cast(_INT))
+    date = F.concat_ws("-", F.coalesce(y, y2), F.coalesce(m, m2), F.lpad(first.cast("string"), 2, "0"))
+    return F.when(F.coalesce(n, n2).isNotNull(), F.struct(date.alias("date"), F.concat(F.lit("N"), F.coalesce(n, n2)).alias("session"), F.lit("multiday_first_day_min").alias("source")))
+
+
+def source_tag(stem: Column) -> Column:
+    """A file's name without its dates, and without copy marks (N, n or No before a number); words joined by underscores."""
+    bare = F.regexp_replace(F.regexp_replace(stem, r"20\d{2}[-_.]\d{1,2}[-_.]\d{1,2}", " "), r"\d{1,2}[-_.]\d{1,2}[-_.]20\d{2}", " ")
+    words = F.filter(F.split(bare, r"[^0-9A-Za-z]+"), lambda w: w != "")
+    kept = F.filter(words, lambda w, i: ~(w.isin("N", "n", "No") & F.coalesce(F.get(words, i + 1).rlike(r"^\d+$"), F.lit(False))))
+    return F.array_join(kept, "_")
+
+
+def banner_date(body: Column) -> Column:
+    """The ISO date of a sitting's opening banner: after the word for day and a weekday, else the first day, month name and year at all."""
+    names, number = _words({m: n for m, n in L.GREGORIAN_MONTHS.items() if m in L.BANNER_MONTHS})
+    text, date = fold(body), rf"(\d{{1,2}})\s+({names})\s+(20\d\d)"
+    strict, loose = (_found(text, p, 1, 2, 3) for p in (rf"يوم\s+\S+\s+{date}", date))
+    d, m, y = (F.when(strict[0].isNotNull(), a).otherwise(b) for a, b in zip(strict, loose, strict=True))
+    return loose_date(y, F.try_element_at(number, m).cast("string"), d)

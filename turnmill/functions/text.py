@@ -13,8 +13,25 @@ def java(pattern: str) -> str:
     return "(?U)" + pattern.replace("(?P<", "(?<")
 
 
+#: White space as Python has it, for Java: the Unicode class and the four separators that it lacks.
+BLANKS = r"(?U)[\s\x1c-\x1f]"
+
+
 def compact(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, BLANKS + "+", " "))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def folded(text: Column, lex: Lexicon) -> Column:
+    """The text as the lexicon's patterns have it, letter for letter."""
+    return F.translate(text, lex.spell_from, lex.spell_to) if lex.spell_from else text
+
+
+def matches(text: Column, pattern: str, lex: Lexicon) -> Column:
+    return folded(text, lex).rlike(java(pattern))
 
 
 def word_count(text: Column) -> Column:
@@ -36,28 +53,30 @@ def strip_honorifics(text: Column, lex: Lexicon = ARABIC) -> Column:
 def clean_candidate(text: Column, lex: Lexicon = ARABIC) -> Column:
     """A name as captured: stripped, cut at the first stop word, without filler words."""
     strip = lambda c: F.btrim(F.regexp_replace(c, r"(?U)\s+", " "), F.lit(lex.strip))
-    cut = F.split(strip(F.replace(text, F.lit("#"), F.lit(" "))), java(lex.stop_after), 2)[0]
+    name = strip(F.replace(text, F.lit("#"), F.lit(" ")))
+    cut = F.left(name, F.length(F.split(folded(name, lex), java(lex.stop_after), 2)[0]))
     return strip(F.regexp_replace(cut, java(lex.filler), " "))
 
 
 def is_office(text: Column, lex: Lexicon = ARABIC) -> Column:
     words = F.split(F.lower(strip_honorifics(text, lex)), " ")
-    return text.rlike(java(lex.office)) | F.arrays_overlap(words, F.array(*map(F.lit, lex.title_words)))
+    return matches(text, lex.office, lex) | F.arrays_overlap(words, F.array(*map(F.lit, lex.title_words)))
 
 
 def is_noise(text: Column, lex: Lexicon = ARABIC) -> Column:
-    """Empty, shorter than 3 characters, digits and slashes only, or furniture on every line."""
-    bare = F.trim(text)
-    return (bare == "") | (F.length(bare) < 3) | bare.rlike(r"(?U)^[\d\s/]+$") | F.forall(F.split(bare, "\n"), lambda x: F.trim(x).rlike(java(lex.noise_line)))
+    """Shorter than 3 characters, nothing but digits, slashes, hyphens and stretches, or furniture on every line that isn't blank."""
+    c, lines = compact(text), F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    furniture = F.forall(lines, lambda x: (stripped(x) == "") | matches(stripped(x), lex.noise_line, lex))
+    return (F.length(c) < 3) | c.rlike(r"(?U)^[\d\s/\u2011\u0640-]+$") | furniture
 
 
 def is_substantive(text: Column, lex: Lexicon = ARABIC) -> Column:
-    return ~is_noise(text, lex) & ((word_count(text) >= 3) | text.rlike(java(lex.openers)))
+    return ~is_noise(text, lex) & ((word_count(text) >= 3) | matches(stripped(text), lex.openers, lex))
 
 
 def is_plain_boundary(text: Column, lex: Lexicon = ARABIC) -> Column:
     """A boundary by its own form; a usable cue, the other kind, is found by the cue detector."""
-    c = compact(text)
+    c = folded(compact(text), lex)
     return (
         (c == "") | c.rlike(java(lex.section)) | F.left(c, F.lit(250)).rlike(java(lex.report)) | c.rlike(java(lex.vote_start))
         | c.rlike(java(r"^\s*" + lex.adjourn)) | c.rlike(java(lex.resume)) | c.rlike(java(lex.vote_result))
@@ -66,12 +85,12 @@ def is_plain_boundary(text: Column, lex: Lexicon = ARABIC) -> Column:
 
 def is_procedural(text: Column, lex: Lexicon = ARABIC) -> Column:
     c = compact(text)
-    hits, words = F.regexp_count(c, F.lit(java(lex.procedural))), word_count(c)
+    hits, words = F.regexp_count(folded(c, lex), F.lit(java(lex.procedural))), word_count(c)
     return ((hits >= 1) & (words <= 30)) | ((hits >= 3) & (words <= 60))
 
 
 def block_type(text: Column, lex: Lexicon = ARABIC) -> Column:
-    c = compact(text)
+    c = folded(compact(text), lex)
     return (
         F.when(F.left(c, F.lit(350)).rlike(java(lex.report)), "committee_report_or_rapporteur")
         .when(F.left(c, F.lit(300)).rlike(java(lex.vote_or_article)), "vote_or_article")
@@ -79,9 +98,11 @@ def block_type(text: Column, lex: Lexicon = ARABIC) -> Column:
     )
 
 
-def truncate_at(text: Column, marker: str) -> Column:
+def truncate_at(text: Column, marker: str, lex: Lexicon | None = None) -> Column:
     """Cut at the end of the line in which ``marker`` first matches, trailing blanks dropped; without a match as it is."""
-    return F.when(text.rlike(marker), F.rtrim(F.regexp_extract(text, rf"(?s)^(.*?(?:{marker})[^\n]*)", 1))).otherwise(text)
+    seen = folded(text, lex) if lex else text
+    upto = F.length(F.regexp_extract(seen, rf"(?s)^(.*?(?:{marker})[^\n]*)", 1))
+    return F.when(seen.rlike(marker), F.regexp_replace(F.left(text, upto), r"(?U)[\s\x1c-\x1f]+$", "")).otherwise(text)
 
 
 def ellipsis(text: Column, most: int = 130) -> Column:
@@ -95,3 +116,8 @@ def file_stem(name: Column) -> Column:
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def without_marks(text: Column) -> Column:
+    """Without the page marks and images that text recognition leaves."""
+    return F.regexp_replace(F.regexp_replace(text, r"<!--\s*page\s+\d+\s+col\s+[RLS]\s*-->", "\n"), r"!\[[^\]]*\]\([^)]*\)", "")

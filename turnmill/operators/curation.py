@@ -29,35 +29,38 @@ def carried_forward(rows: DataFrame, key: str, order: list[str], value: Column,
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _heals(before: str, after: str, heading, shortest: int = 60, single: int = 30) -> bool:
+def _heals(before: str, after: str, heading, shortest: int, single: int) -> bool:
     last = before.rsplit("\n", 1)[-1].rstrip()
     first = after.lstrip()
     lone = "\n" not in after and len(after.strip()) < single
     return len(last) >= shortest and last[-1:].isalpha() and first[:1].isalpha() and not heading(first) and not lone
 
 
-def healed(docs: DataFrame, key: str = "doc_id", text: str = "text", heading: str = r"^(?:#|\d+[.)])", scan: int = 60, gap: int = 2, least: int = 2, imprint: str | None = None) -> DataFrame:
+def healed(docs: DataFrame, key: str = "doc_id", text: str = "text", heading: str = r"^(?:#|\d+[.)])", scan: int = 60, gap: int = 2, least: int = 2, imprint: str | None = None, furniture: str | None = None, shortest: int = 60, single: int = 30) -> DataFrame:
     """(key, text, n_blocks): blocks (between blank lines) that break off in mid-sentence are joined with the next.
 
-    A block goes on if its last line is long, ends in a letter without a stop, and the next begins with a letter
-    and is neither heading nor a lone short line. ``imprint`` cuts a tail of printer's lines: found backwards
-    over ``scan`` blocks at most, ``gap`` others apart, ``least`` of them. A fold by document, in Arrow batches.
+    Blocks that ``furniture`` matches go first. ``imprint`` then cuts a tail of printer's lines: found backwards over
+    ``scan`` blocks at most, ``gap`` others apart, ``least`` of them, blocks of under 4 characters counting too. A
+    block goes on if its last line has ``shortest`` characters, ends in a letter without a stop, and the next begins
+    with a letter and is neither heading nor one line of under ``single`` characters. A fold by document, in Arrow
+    batches.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        is_heading, is_imprint = re.compile(heading).match, re.compile(imprint).search if imprint else None
+        is_heading, is_imprint, is_furniture = (re.compile(p).search if p else None for p in (heading, imprint, furniture))
         for batch in batches:
             texts, counts = [], []
             for t in batch.column(1):
                 out: list[str] = []
-                for block in (b for b in re.split(r"\n\s*\n", t.as_py() or "") if b.strip()):
-                    if out and _heals(out[-1], block, is_heading):
+                blocks = [b for b in re.split(r"\n\s*\n", t.as_py() or "") if b.strip() and not (is_furniture and is_furniture(b))]
+                if is_imprint:
+                    blocks = without_imprint(blocks, lambda b: len(b.strip()) < 4 or is_imprint(b), scan, gap, least)
+                for block in blocks:
+                    if out and _heals(out[-1], block, is_heading, shortest, single):
                         out[-1] += " " + block.lstrip()
                     else:
                         out.append(block)
-                if is_imprint:
-                    out = without_imprint(out, is_imprint, scan, gap, least)
                 texts.append("\n\n".join(out))
                 counts.append(len(out))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], [key, text, "n_blocks"])
@@ -76,3 +79,17 @@ def without_imprint(blocks: list[str], matches, scan: int = 60, gap: int = 2, le
             if misses > gap:
                 break
     return blocks[:cut] if hits >= least else blocks
+
+
+def running_totals(rows: DataFrame, key: str, value: str, ranges: int = 512) -> DataFrame:
+    """Adds ``earlier``: the sum of ``value`` over the rows of smaller ``key`` (unique, a number).
+
+    Keys are cut into ranges at their quantiles; each range is summed on its own, and only one sum a range, of at
+    most ``ranges``, stands in global order.
+    """
+    cuts = sorted(set(rows.stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    ranged = rows.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key).cast("double"))) if cuts else F.lit(0))
+    sums = ranged.groupBy("range").agg(F.sum(value).alias("of_range"))
+    sums = sums.select("range", F.coalesce(F.sum("of_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("within", within).join(F.broadcast(sums), "range").withColumn("earlier", F.col("before") + F.col("within")).drop("range", "within", "before")

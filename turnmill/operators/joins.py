@@ -19,3 +19,9 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int)
     b = right.withColumn("cell", cells(F.col("r_lo"), F.col("r_hi"), width))
     first = F.floor(F.greatest("lo", "r_lo") / width).cast("long")
     return a.join(b, [*keys, "cell"]).where((F.col("r_hi") >= F.col("lo")) & (F.col("r_lo") <= F.col("hi")) & (F.col("cell") == first)).drop("cell")
+
+
+def first_of(choices: dict[str, Column], none: str = "none") -> list[Column]:
+    """(origin, value) of the first choice that isn't null, after outer joins."""
+    origin = F.coalesce(*[F.when(v.isNotNull(), k) for k, v in choices.items()], F.lit(none))
+    return [origin.alias("origin"), F.coalesce(*choices.values()).alias("value")]

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import text as T
 from turnmill.functions.lexicon import ARABIC, FUZZY_LEAST, FUZZY_RULES, Lexicon
+from turnmill.sources.tables import TURN_FIELDS
+from turnmill.storage import saved
 
+#: Members linked with less confidence are to be reviewed.
+REVIEW_BELOW = 0.78
 #: Rosters of at most this many rows are broadcast; larger ones are joined by period with a shuffle.
 ROSTER_ROWS = 200_000
 
@@ -31,6 +35,36 @@ def unique_match(cands: DataFrame, dim: DataFrame, on: Column, method: str, conf
     return hits.where("n = 1").select("cand_id", "mp_id", F.lit(method).alias("method"), "confidence")
 
 
+def subsequence_match(cands: DataFrame, dim: DataFrame, method: str, confidence: float) -> DataFrame:
+    """As ``unique_match``, for candidates of two words or more that a name holds in their order.
+
+    A name that holds them has the first of them, so both sides meet by period and word.
+    """
+    words = lambda c: F.split(F.col(c), " ")
+    named = dim.select("*", F.explode(F.array_distinct(words("name_norm"))).alias("name_word"))
+    many = cands.where(F.size(words("cand_norm")) >= 2)
+    first = F.col("name_word") == F.split(F.col("cand_norm"), " ")[0]
+    return unique_match(many, named, first & subsequence(words("cand_norm"), words("name_norm")), method, confidence)
+
+
+def alias_match(cands: DataFrame, aliases: DataFrame, dim: DataFrame) -> DataFrame:
+    """(cand_id, mp_id, method, confidence): candidates by their alias, if its person has one row in the candidate's period."""
+    known = sized(aliases.groupBy("variant_norm").agg(F.min("mp_id").alias("alias_mp")))
+    return unique_match(cands.join(known, cands.cand_norm == known.variant_norm), dim, F.col("alias_mp") == F.col("mp_id"), "alias_table", 0.9)
+
+
+def leaders(rows: DataFrame, key: str, score: str, order: list) -> DataFrame:
+    """The row of the greatest score of each key, with ``second``, the next score, 0 if there is none."""
+    w = Window.partitionBy(key).orderBy(F.desc(score), *order)
+    return rows.withColumn("second", F.coalesce(F.lead(score).over(w), F.lit(0).cast(rows.schema[score].dataType))).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def dominant(votes: DataFrame, key: str, value: str, first: str, factor: float) -> DataFrame:
+    """(key, value, n): of the counted votes (key, value, n, first) the winner, if it is alone or leads the next by a factor; the first seen of equals."""
+    top = leaders(votes, key, "n", [first])
+    return top.where((F.col("second") == 0) | (F.col("n") >= factor * F.col("second"))).select(key, value, "n")
+
+
 def ratio(a: str, b: str) -> Column:
     """The share of matching characters in longest-common-block order, as the standard library counts it."""
     @F.pandas_udf("double")
@@ -48,8 +82,7 @@ def fuzzy_match(cands: DataFrame, dim: DataFrame, rules=FUZZY_RULES, least: floa
     short, long = F.least(F.length("name_norm"), F.length("cand_norm")), F.greatest(F.length("name_norm"), F.length("cand_norm"))
     pairs = cands.join(dim, (cands.period == dim.roster_period) & (2 * short >= least * (short + long)))
     scored = pairs.withColumn("ratio", ratio("cand_norm", "name_norm")).where(F.col("ratio") >= least)
-    w = Window.partitionBy("cand_id").orderBy(F.desc("ratio"), "mp_id")
-    top = scored.withColumn("second", F.coalesce(F.lead("ratio").over(w), F.lit(0.0))).withColumn("r", F.row_number().over(w)).where("r = 1")
+    top = leaders(scored, "cand_id", "ratio", ["mp_id"])
     conf = F.lit(None).cast("double")
     for low, margin, c in reversed(rules):
         conf = F.when((F.col("ratio") >= low) & (F.col("ratio") - F.col("second") >= margin), c).otherwise(conf)
@@ -69,19 +102,18 @@ def link(candidates: DataFrame, roster: DataFrame, aliases: DataFrame | None = N
     cands = cands.withColumn("full_norm", T.normalize(F.col("candidate"), lex))
     dim = roster.select("mp_id", F.col("period").alias("roster_period"), T.normalize(F.col("name"), lex).alias("name_norm")).where("name_norm <> ''")
     dim = sized(dim)
-    todo, found = cands.where("cand_norm <> ''"), None
-    words = lambda c: F.split(F.col(c), " ")
+    cands = saved(cands, "candidates")
     tiers = [
         lambda c: unique_match(c, dim, c.cand_norm == dim.name_norm, "exact_period_roster", F.when(F.col("cand_norm") == F.col("full_norm"), 1.0).otherwise(0.95)),
         lambda c: unique_match(c, dim, F.contains(c.cand_norm, dim.name_norm), "roster_name_contained_in_candidate", 0.9),
-        lambda c: unique_match(c, dim, (F.size(words("cand_norm")) >= 2) & subsequence(words("cand_norm"), words("name_norm")), "candidate_tokens_in_roster_name", 0.9),
+        lambda c: subsequence_match(c, dim, "candidate_tokens_in_roster_name", 0.9),
     ]
     if aliases is not None:
-        known = sized(aliases.select("variant_norm", F.col("mp_id").alias("alias_mp")).dropDuplicates(["variant_norm"]))
-        tiers.append(lambda c: unique_match(c.join(known, c.cand_norm == known.variant_norm), dim, F.col("alias_mp") == F.col("mp_id"), "alias_table", 0.9))
+        tiers.append(lambda c: alias_match(c, aliases, dim))
     tiers.append(lambda c: fuzzy_match(c, dim))
-    for tier in tiers:
-        hit = tier(todo)
+    todo, found = cands.where("cand_norm <> ''"), None
+    for tier in tiers:  # each tier's hits are written, so that none is computed again for those after it
+        hit = saved(tier(todo), "tier")
         found = hit if found is None else found.unionByName(hit)
         todo = todo.join(hit.select("cand_id"), "cand_id", "left_anti")
     out = cands.join(found, "cand_id", "left")
@@ -108,9 +140,7 @@ def mined_aliases(linked: DataFrame, roster: DataFrame, order: str, lex: Lexicon
     norm = T.strip_honorifics(F.col("candidate"), lex)
     names = linked.withColumn("variant_norm", norm).where((F.size(F.split("variant_norm", " ")) >= 2) & ~T.is_office(F.col("candidate"), lex))
     votes = names.where("speaker_type = 'mp'").groupBy("variant_norm", "mp_id").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    w = Window.partitionBy("variant_norm").orderBy(F.desc("n"), "first")
-    anchors = votes.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("n").over(w)).where("r = 1 AND (next IS NULL OR n >= 3 * next)")
-    anchors = anchors.select("variant_norm", "mp_id", F.col("n").alias("n_occurrences"), F.lit("anchor").alias("source"))
+    anchors = dominant(votes, "variant_norm", "mp_id", "first", 3).select("variant_norm", "mp_id", F.col("n").alias("n_occurrences"), F.lit("anchor").alias("source"))
     period = names.groupBy("variant_norm").agg(F.min_by("period", order).alias("period"), F.count("*").alias("n_occurrences"))
     owned = roster.select("mp_id", "period", F.explode(F.array_distinct(F.split(T.normalize(F.col("name"), lex), " "))).alias("word")).where(F.length("word") >= 3)
     owners = owned.groupBy("period", "word").agg(F.count_distinct("mp_id").alias("k"), F.min("mp_id").alias("mp_id")).where("k = 1").drop("k")
@@ -120,3 +150,36 @@ def mined_aliases(linked: DataFrame, roster: DataFrame, order: str, lex: Lexicon
     both = anchors.unionByName(mined.select("variant_norm", "mp_id", "n_occurrences", F.lit("distinctive_token").alias("source")))
     names_of = roster.groupBy("mp_id").agg(F.min("name").alias("roster_name"))
     return both.join(names_of, "mp_id", "left").select("variant_norm", "mp_id", "roster_name", "n_occurrences", "source")
+
+
+def alias_rows(aliases: DataFrame, order: str = "variant_norm") -> DataFrame:
+    """The alias table as it is written: the most frequent first, then by ``order``."""
+    return aliases.orderBy(F.desc("n_occurrences"), order)
+
+
+def linked_turns(turns: DataFrame, roster: DataFrame, aliases: DataFrame | None = None, lex: Lexicon = ARABIC) -> DataFrame:
+    """The turns of ``extract_turns`` with their speakers: all columns of ``TURN_FIELDS``, in order.
+
+    ``roster``: mp_id, name, period, and name_transliterated, party and district where there are any. What isn't known
+    is an empty string, as in the files; assignment_method is cue and tier, assignment_confidence text with two
+    decimals, needs_review "1" unless the speaker is a member with a confidence of 0.78 or more.
+    """
+    extra = {"name": "mp_name_ar", "name_transliterated": "mp_name_transliterated", "party": "mp_party_ar", "district": "mp_district_ar"}
+    have = [c for c in extra if c in roster.columns]
+    people = roster.groupBy(F.col("mp_id").alias("person"), F.col("period").alias("person_period")).agg(F.min(F.struct(*have)).alias("about"))
+    cues = turns.withColumnsRenamed({"speaker_target_clean": "candidate", "legislature_period": "period", "assignment_method": "cue_method"})
+    rows = link(cues, roster, aliases, lex)
+    rows = rows.join(sized(people), (F.col("mp_id") == F.col("person")) & (F.col("period") == F.col("person_period")), "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    sure = (F.col("speaker_type") == "mp") & (F.col("assignment_confidence") >= REVIEW_BELOW)
+    made = {
+        "legislature_period": text("period"), "speaker_target_clean": F.col("candidate"), "mp_id": text("mp_id"), "year_start": text("year_start"), "year_end": text("year_end"), "inferred_date": text("inferred_date"),
+        "speaker_role": F.when(F.col("speaker_type") == "office_or_role", F.col("candidate")).otherwise(""), "assignment_method": F.concat_ws(":", "cue_method", "assignment_method"),
+        "assignment_confidence": F.format_string("%.2f", "assignment_confidence"), "needs_review": F.when(sure, "").otherwise("1"),
+    } | {v: text(f"about.{k}") if k in have else F.lit("") for k, v in extra.items()}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in TURN_FIELDS])
+
+
+def speech_only(turns: DataFrame) -> DataFrame:
+    """The turns that are speech, by their block type."""
+    return turns.where(F.col("block_type").isin("speech", "speech_like"))

@@ -41,7 +41,7 @@ def stitched(pars: DataFrame, key: str = "doc_id", lex: Lexicon = ARABIC) -> Dat
     before it dangles.
     """
     w = Window.partitionBy(key).orderBy("par")
-    clean = pars.where(~T.is_noise(F.col("text"), lex)).withColumn("dangles", F.col("text").rlike(T.java(lex.dangling)))
+    clean = pars.where(~T.is_noise(F.col("text"), lex)).withColumn("dangles", T.matches(F.col("text"), lex.dangling, lex))
     marked = islands(clean.withColumn("starts", ~F.coalesce(F.lag("dangles").over(w), F.lit(False))), key, "par", F.col("starts"))
     merged = marked.groupBy(key, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), joined(key, "par", "text", " ").alias("text"))
     return merged.select(key, F.col("island").alias("par"), "start_line", "end_line", "text")

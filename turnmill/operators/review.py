@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import first_filled
+from turnmill.operators import joins
 
 REVIEW = "struct<sourceFile:string,decisions:map<string,string>,additionalHandoffs:array<struct<line:int,note:string,text:string,createdAt:string>>>"
 DECISIONS = ("accepted", "rejected")
@@ -53,10 +54,33 @@ def with_addition(additional: Column, entry: Column) -> Column:
     return F.when(F.exists(additional, lambda x: x["line"] == entry["line"]), additional).otherwise(F.concat(additional, F.array(entry)))
 
 
+def without_addition(additional: Column, line: Column) -> Column:
+    """The list without the entry of that line."""
+    return F.filter(additional, lambda x: x["line"] != line)
+
+
+def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys aren't among ``done``."""
+    return rows.join(done.select(*keys), keys, "left_anti")
+
+
+def translated_counts(pars: DataFrame, cached: DataFrame) -> DataFrame:
+    """(source_file, paragraphs, translated): how many paragraphs (source_file, start_line) have a cached text that isn't blank."""
+    have = cached.where(F.trim("text") != "").select("source_file", F.col("line").alias("start_line"), F.lit(1).alias("done")).distinct()
+    return pars.join(have, ["source_file", "start_line"], "left").groupBy("source_file").agg(F.count("*").alias("paragraphs"), F.count("done").alias("translated"))
+
+
+def sample_rows(turns: DataFrame, n: int = 50, seed: str = "20260704", least_words: int = 20) -> DataFrame:
+    """``n`` turns of at least ``least_words`` words and with text, drawn by a hash of seed and id, in order of date and id."""
+    fit = turns.where((F.coalesce(F.col("word_count").try_cast("int"), F.lit(0)) >= least_words) & (F.trim("text") != ""))
+    drawn = fit.orderBy(F.md5(F.concat(F.col("speech_id"), F.lit(f"-{seed}")).cast("binary")), "speech_id").limit(n)
+    return drawn.orderBy("inferred_date", "speech_id")
+
+
 def translation_ranges(pars: DataFrame, wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """Paragraphs (source_file, start_line, end_line, text) that touch ``wanted`` (lo, hi) and aren't in ``cached`` (source_file, line)."""
     near = pars.join(F.broadcast(wanted) if wanted.limit(100_001).count() <= 100_000 else wanted, "source_file").where("end_line >= lo AND start_line <= hi")
-    return near.join(cached.withColumnRenamed("line", "start_line"), ["source_file", "start_line"], "left_anti")
+    return pending(near, cached.withColumnRenamed("line", "start_line"), ["source_file", "start_line"])
 
 
 def reply_lines(reply: DataFrame, expected: DataFrame) -> DataFrame:
@@ -108,10 +132,15 @@ def manifest(files: DataFrame, events: DataFrame, translations: DataFrame) -> Da
     return rows.select("source_file", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("t", F.lit(False)).alias("has_translation"))
 
 
-def speech_containing(speeches: DataFrame, points: DataFrame) -> DataFrame:
-    """``points`` (source_file, line) with the first speech whose lines hold the point."""
-    inside = points.join(speeches.select("source_file", "speech_id", "start_line", "end_line"), "source_file").where("line BETWEEN start_line AND end_line")
-    return inside.groupBy("source_file", "line").agg(F.min_by("speech_id", "start_line").alias("speech_id"))
+def speech_containing(speeches: DataFrame, points: DataFrame, width: int = 200) -> DataFrame:
+    """``points`` (source_file, line) with the first speech whose lines hold the point; of those that start together the least id.
+
+    Both sides meet in cells of ``width`` lines, so a long file isn't held against all its speeches.
+    """
+    at = points.select("source_file", "line", F.col("line").alias("lo"), F.col("line").alias("hi")).distinct()
+    spans = speeches.select("source_file", "speech_id", F.col("start_line").alias("r_lo"), F.col("end_line").alias("r_hi"))
+    inside = joins.overlapping(at, spans, ["source_file"], width)
+    return inside.groupBy("source_file", "line").agg(F.min(F.struct("r_lo", "speech_id")).alias("first")).select("source_file", "line", F.col("first.speech_id").alias("speech_id"))
 
 
 def first_with_events(rows: DataFrame) -> DataFrame:

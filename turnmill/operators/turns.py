@@ -15,6 +15,7 @@ from turnmill.functions import dates as D
 from turnmill.functions import text as T
 from turnmill.functions.lexicon import ARABIC, Lexicon
 from turnmill.operators.paragraphs import joined
+from turnmill.operators.review import speech_containing
 
 CUE = "struct<raw:string,clean:string,start:int,end:int,method:string>"
 _SPACES = re.compile(r"\s+")
@@ -26,13 +27,15 @@ class CueFinder:
     def __init__(self, lex: Lexicon) -> None:
         self.lex, self.cues = lex, lex.compiled()
         self.stop, self.filler = re.compile(lex.stop_after), re.compile(lex.filler)
-        self.fold = str.maketrans(lex.fold_from, lex.fold_to)
+        self.fold, self.spell = str.maketrans(lex.fold_from, lex.fold_to), str.maketrans(lex.spell_from, lex.spell_to)
         self.marks, self.foreign = (re.compile(p) if p else None for p in (lex.diacritics, lex.foreign))
         self.honorifics = re.compile(rf"^(?:(?:{lex.folded_honorifics()}) +)+", 0 if lex is ARABIC else re.IGNORECASE)
 
     def clean(self, name: str) -> str:
         strip = lambda s: _SPACES.sub(" ", s).strip(self.lex.strip)
-        return strip(self.filler.sub(" ", self.stop.split(strip(name.replace("#", " ")), maxsplit=1)[0]).strip())
+        name = strip(name.replace("#", " "))
+        end = self.stop.search(name.translate(self.spell))  # a letter for a letter: places are the same
+        return strip(self.filler.sub(" ", name[: end.start()] if end else name))
 
     def bare(self, name: str) -> str:
         s = (self.marks.sub("", name) if self.marks else name).translate(self.fold)
@@ -41,12 +44,14 @@ class CueFinder:
 
     def last(self, text: str) -> tuple | None:
         """Of the usable matches the one that starts last; of those that start together the lowest pattern."""
-        found = [(m.start(), -i, m) for i, p in enumerate(self.cues) for m in p.finditer(text)]
+        folded = text.translate(self.spell)
+        found = [(m.start(), -i, m) for i, p in enumerate(self.cues) for m in p.finditer(folded)]
         for _, i, m in sorted(found, key=lambda x: x[:2], reverse=True):
-            clean = self.clean(m.group("name"))
+            raw = text[slice(*m.span("name"))]
+            clean = self.clean(raw)
             bare = self.bare(clean)
             if clean and bare not in self.lex.no_names and not bare.startswith(self.lex.no_name_starts) and 2 <= len(bare) and len(bare.split()) <= 7:
-                return m.group("name").strip(), clean, m.start(), m.end(), f"handoff_window:p{-i}"
+                return raw.strip(), clean, m.start(), m.end(), f"handoff_window:p{-i}"
         return None
 
 
@@ -74,7 +79,7 @@ def with_cues(rows: DataFrame, text: str = "text", lex: Lexicon = ARABIC) -> Dat
 
 def starts_speech(text: Column, boundary: Column, lex: Lexicon = ARABIC) -> Column:
     c = T.compact(text)
-    return (c != "") & (c.rlike(T.java(lex.openers)) | c.rlike(T.java(lex.titled_start)) | ((T.word_count(c) >= 10) & ~boundary))
+    return (c != "") & (T.matches(c, lex.openers, lex) | T.matches(c, lex.titled_start, lex) | ((T.word_count(c) >= 10) & ~boundary))
 
 
 def turn_members(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -169,12 +174,12 @@ def extract_turns(pars: DataFrame, files: DataFrame, lex: Lexicon = ARABIC) -> D
     flagged = found.select(
         "source_file", "par", "start_line", "end_line", "text", "tail", F.col("cue").alias("c"), F.col("cue").isNotNull().alias("cue"),
         F.coalesce(F.col("cue").isNotNull() & starts_speech(F.col("tail"), tail_bnd, lex), F.lit(False)).alias("starts"),
-        F.coalesce(F.regexp_like("tail", adj), F.lit(False)).alias("tadj"), T.is_substantive(F.col("text"), lex).alias("sub"),
-        (T.is_plain_boundary(F.col("text"), lex) | F.col("cue_inside")).alias("bnd"), F.regexp_like("text", adj).alias("adj"),
+        F.coalesce(F.regexp_like(T.folded(F.col("tail"), lex), adj), F.lit(False)).alias("tadj"), T.is_substantive(F.col("text"), lex).alias("sub"),
+        (T.is_plain_boundary(F.col("text"), lex) | F.col("cue_inside")).alias("bnd"), F.regexp_like(T.folded(F.col("text"), lex), adj).alias("adj"),
     )
     rows = members(flagged.withColumn("body_tail", F.col("tail")).withColumn("tail", F.col("starts")), "source_file", "par")
     body = flagged.select("source_file", "par", "start_line", "end_line", "text", F.col("tail").alias("tail_text"))
-    parts = rows.join(body, ["source_file", "par"]).withColumn("part", T.truncate_at(F.when(F.col("from_tail"), F.col("tail_text")).otherwise(F.col("text")), T.java(lex.adjourn)))
+    parts = rows.join(body, ["source_file", "par"]).withColumn("part", T.truncate_at(F.when(F.col("from_tail"), F.col("tail_text")).otherwise(F.col("text")), T.java(lex.adjourn), lex))
     turns = parts.groupBy("source_file", "turn", "cue_at").agg(
         F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("from_tail").alias("from_tail"), joined("source_file", "par", "part", "\n\n").alias("text")
     )
@@ -189,6 +194,22 @@ def extract_turns(pars: DataFrame, files: DataFrame, lex: Lexicon = ARABIC) -> D
     )
 
 
+def coverage(pars: DataFrame, turns: DataFrame, lex: Lexicon = ARABIC, width: int = 200) -> DataFrame:
+    """(source_file, substantive, covered, openers, openers_covered) of paragraphs (source_file, start_line, end_line, text).
+
+    A paragraph is covered if a turn's lines hold its first line. The shares of covered substantive paragraphs and
+    of covered openers (those that start as speeches do) are what an audit reads.
+    """
+    text = F.col("text")
+    marked = pars.select("source_file", "start_line", T.is_substantive(text, lex).alias("sub"), T.matches(T.stripped(text), lex.openers, lex).alias("opener"))
+    held = speech_containing(turns, marked.select("source_file", F.col("start_line").alias("line")), width)
+    seen = marked.join(held.select("source_file", F.col("line").alias("start_line"), F.lit(True).alias("held")), ["source_file", "start_line"], "left")
+    inside = F.col("held").isNotNull()
+    return seen.groupBy("source_file").agg(
+        F.count_if(F.col("sub")).alias("substantive"), F.count_if(F.col("sub") & inside).alias("covered"), F.count_if(F.col("opener")).alias("openers"), F.count_if(F.col("opener") & inside).alias("openers_covered")
+    )
+
+
 def longest_run(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """(keys, order, value, on): whether a row lies on the longest run of values that never fall, in order.
 

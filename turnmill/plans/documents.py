@@ -11,7 +11,7 @@ from turnmill.operators import curation, paragraphs
 from turnmill.registry import query, table
 
 LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
-NOISE = r"(trim(line) = '' OR len(trim(line)) < 3 OR regexp_matches(trim(line), '^[\d\s/]+$') OR regexp_matches(trim(line), '^([Pp]age\s+\d+|\d{3,}|##\s+)\s*$'))"
+NOISE = r"(len(trim(regexp_replace(line, '\s+', ' ', 'g'))) < 3 OR regexp_full_match(trim(regexp_replace(line, '\s+', ' ', 'g')), '[\d\s/\x{2011}\x{0640}-]+') OR regexp_matches(trim(line), '^([Pp]age\s+\d+|\d{3,}|##\s+)\s*$'))"
 WORDS = r"len(regexp_extract_all({}, '\S+'))"
 
 

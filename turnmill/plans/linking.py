@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.functions.lexicon import ENGLISH
-from turnmill.operators import linking
+from turnmill.functions import dates as D
+from turnmill.functions import text as T
+from turnmill.functions.lexicon import ENGLISH, Lexicon
+from turnmill.operators import joins, linking, review, sittings, turns
 from turnmill.registry import query, table
 
 DIM = "dim AS (SELECT p_brand AS roster_period, p_name AS name, count(*) AS n, min(p_partkey) AS mp_id FROM part WHERE p_size <= 10 GROUP BY 1, 2)"
@@ -49,16 +53,19 @@ def subsequence_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     names = parts.select(F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("t")).distinct()
     words = parts.select(F.array(F.col("p_type"), F.element_at(F.split("p_name", " "), -1)).alias("w")).distinct()
-    return words.join(linking.sized(names), linking.subsequence(F.col("w"), F.col("t"))).groupBy(F.array_join("w", " ").alias("words")).agg(F.count("*").alias("n"))
+    by_word = names.select("t", F.explode(F.array_distinct("t")).alias("word"))  # a name that holds the words has the first
+    return words.join(by_word, (F.col("w")[0] == F.col("word")) & linking.subsequence(F.col("w"), F.col("t"))).groupBy(F.array_join("w", " ").alias("words")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT s_suppkey AS cand_id, n_nationkey AS mp_id FROM supplier JOIN (SELECT n_nationkey, upper(n_name) AS variant FROM nation) a ON a.n_nationkey = s_nationkey
 JOIN (SELECT r_regionkey FROM region WHERE r_regionkey < 3) p ON p.r_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = s_nationkey)""")
 def alias_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by alias to a nation, if that nation sits in one of the periods (here regions 0 to 2)."""
-    s, n, r = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").where("r_regionkey < 3")
-    found = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey, "left_semi")
-    return found.select(F.col("s_suppkey").alias("cand_id"), F.col("n_nationkey").alias("mp_id"))
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    named = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("cand_id"), F.upper("n_name").alias("cand_norm"), F.lit("r").alias("period"))
+    known = n.select(F.upper("n_name").alias("variant_norm"), F.col("n_nationkey").alias("mp_id"))
+    people = n.where("n_regionkey < 3").select(F.col("n_nationkey").alias("mp_id"), F.lit("r").alias("roster_period"))
+    return linking.alias_match(named, known, people).select("cand_id", "mp_id")
 
 
 @query()
@@ -74,6 +81,34 @@ def cascade_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link(names, roster(spark, sf_dir), lex=ENGLISH)
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, Lexicon]:
+    """Lines of all documents as paragraphs of dated files, the files, a roster, and a lexicon in which a line's first article hands over to the two words after it."""
+    lex = replace(ENGLISH, cues=(r"^(?:The|Der|Le|El) (?P<name>\w+ \w+)",), openers=r"^(?:Of|Is|Et|Des|Las)\b")
+    name = F.format_string("%d-03-01__%d.md", (2010 + F.col("doc_id") % 14).cast("int"), "doc_id")
+    rows = table(spark, sf_dir, "documents").select(name.alias("source_file"), "text")
+    pars = rows.select("source_file", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("source_file", (F.col("pos") + 1).alias("par"), (F.col("pos") + 1).alias("start_line"), (F.col("pos") + 1).alias("end_line"), "text")
+    pars = pars.where(~T.is_noise(F.col("text"), lex))
+    word = F.regexp_extract("text", r"(?U)^(?:The|Der|Le|El) (\w+ \w+)", 1)
+    meta = D.file_meta(F.col("source_file"))
+    people = pars.select(word.alias("name"), D.legislature(meta["inferred_date"], meta["year_start"]).alias("period")).where("name <> ''").distinct()
+    people = people.where(F.md5("name") < "c").select(F.xxhash64("name").alias("mp_id"), "name", "period", F.upper("name").alias("name_transliterated"))
+    return pars, rows.select("source_file").distinct(), people, lex
+
+
+@query()
+def turns_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn table with its speakers, all of its columns."""
+    pars, files, people, lex = spoken(spark, sf_dir)
+    return linking.linked_turns(turns.extract_turns(pars, files, lex), people, lex=lex)
+
+
+@query()
+def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-C: how many substantive lines and speech openers the turns of each file hold."""
+    pars, files, _, lex = spoken(spark, sf_dir)
+    return turns.coverage(pars, turns.extract_turns(pars, files, lex).select("source_file", "speech_id", "start_line", "end_line"), lex)
+
+
 @query("""WITH w AS (SELECT source, unnest(string_split(text, ' ')) AS word FROM documents)
 SELECT word, min(source) AS source FROM w GROUP BY word HAVING count(DISTINCT source) = 1""")
 def sole_owner_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,18 +124,17 @@ def left_merge_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, labels, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "customer")
     rich = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
     rows = o.join(labels, o.o_orderkey == labels.doc_id, "left").join(c, o.o_custkey == c.c_custkey, "left")
-    origin = F.when(F.col("toxic").isNotNull(), "labels").when(rich.isNotNull(), "customer").otherwise("none")
-    return rows.select("o_orderkey", origin.alias("origin"), F.coalesce(F.col("toxic").cast("double"), rich).alias("value"))
+    return rows.select("o_orderkey", *joins.first_of({"labels": F.col("toxic").cast("double"), "customer": rich}))
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity >= 50)")
 def calendar_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders on a day of the calendar."""
     days = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.to_date("l_shipdate").alias("day")).distinct()
-    return table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate")).join(days, "day", "left_semi").select("o_orderkey")
+    return sittings.on_calendar(table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate")), "day", days).select("o_orderkey")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a label."""
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return review.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from turnmill.operators import joins, paragraphs, review
 from turnmill.registry import query, table
+from turnmill.sources import corpus, tables
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of a JSON column."""
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", tables.parsed(F.col("props"), "k long")["k"].alias("k"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY conv_id")
@@ -41,12 +42,14 @@ def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlapping(left.withColumnRenamed("span", "a"), right, ["g"], 86_400).where("user_id <> other AND a < b").select("a", "b")
 
 
-@query(SPANS + " SELECT e.event_id, min(s.span) AS span FROM e JOIN s ON e.user_id = s.user_id AND e.lo BETWEEN s.lo AND s.hi WHERE e.event_type = 'click' GROUP BY 1")
+@query(SPANS + " SELECT e.event_id, min(struct_pack(lo := s.lo, span := s.span)).span AS span FROM e JOIN s ON e.user_id = s.user_id AND e.lo BETWEEN s.lo AND s.hi WHERE e.event_type = 'click' GROUP BY 1")
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first span of its user that holds a click."""
     points = table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", "event_id", F.unix_timestamp("ts").alias("at"))
-    inside = points.join(spans(spark, sf_dir), "user_id").where("at BETWEEN lo AND hi")
-    return inside.groupBy("event_id").agg(F.min("span").alias("span"))
+    speeches = spans(spark, sf_dir).select(F.col("user_id").alias("source_file"), F.col("span").alias("speech_id"), F.col("lo").alias("start_line"), F.col("hi").alias("end_line"))
+    points = points.withColumnsRenamed({"user_id": "source_file", "at": "line"})
+    found = review.speech_containing(speeches, points, width=86_400)
+    return points.join(found, ["source_file", "line"]).select("event_id", F.col("speech_id").alias("span"))
 
 
 @query("""WITH d AS (SELECT user_id, event_id AS line, CASE WHEN value > 50 THEN 'accepted' ELSE 'rejected' END AS decision FROM events WHERE event_type = 'purchase')
@@ -71,4 +74,5 @@ def review_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later entries of a name overwrite earlier ones, the same way each time."""
     rows = table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))
-    return rows.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.max_by("event_id", "ts").alias("event_id"))
+    last = corpus.by_name(rows.select("user_id", F.struct("ts", "event_id").alias("at")), "user_id", "at")
+    return last.select("user_id", F.col("at.ts").alias("last_ts"), F.col("at.event_id").alias("event_id"))

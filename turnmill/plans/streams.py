@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.registry import query
+from turnmill.storage import fresh_path
 from turnmill.streaming import turns
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """All that a stream gives for what is there now, through Parquet in the shared folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='turnmill-')}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stream")
     stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions.lexicon import ENGLISH
-from turnmill.operators import curation, paragraphs, turns
+from turnmill.operators import curation, linking, paragraphs, sittings, turns
 from turnmill.registry import query, table
 
 
@@ -16,8 +16,7 @@ from turnmill.registry import query, table
 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) GROUP BY user_id, island""")
 def islands_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a user's events that start at a sign-up."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "events").withColumn("island", F.sum((F.col("event_type") == "signup").cast("long")).over(w))
+    rows = paragraphs.islands(table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id")), "user_id", "at", F.col("event_type") == "signup")
     return rows.groupBy("user_id", "island").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
@@ -72,12 +71,11 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A continuous stream of conversations cut before each user turn; a segment may begin in an earlier one.
 
     The running number over the whole stream is that within a conversation plus all earlier conversations' sum;
-    only one row a conversation is put in global order.
+    ranges of conversations are summed apart.
     """
     rows = table(spark, sf_dir, "conversations")
     within = F.sum((F.col("role") == "user").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    earlier = F.coalesce(F.sum("users").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = rows.groupBy("conv_id").agg(F.sum((F.col("role") == "user").cast("long")).alias("users")).select("conv_id", earlier.alias("earlier"))
+    sums = curation.running_totals(rows.groupBy("conv_id").agg(F.sum((F.col("role") == "user").cast("long")).alias("users")), "conv_id", "users").select("conv_id", "earlier")
     return rows.withColumn("within", within).join(sums, "conv_id").groupBy("conv_id", (F.col("within") + F.col("earlier")).alias("seg")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
 
 
@@ -86,12 +84,17 @@ SELECT o_orderkey, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY seq RA
 def asof_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest anchors strictly before and after a row's own number; equal numbers don't count."""
     seq = F.floor(F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) / 2)
-    w = Window.partitionBy("o_custkey").orderBy("seq")
-    rows = table(spark, sf_dir, "orders").withColumn("seq", seq)
-    return rows.select("o_orderkey", F.max("o_orderdate").over(w.rangeBetween(Window.unboundedPreceding, -1)).alias("lo"), F.min("o_orderdate").over(w.rangeBetween(1, Window.unboundedFollowing)).alias("hi"))
+    rows = sittings.anchored(table(spark, sf_dir, "orders").withColumn("seq", seq), ["o_custkey"], "seq", F.col("o_orderdate"))
+    return rows.select("o_orderkey", F.col("window_lo").alias("lo"), F.col("window_hi").alias("hi"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT o_custkey, list(o_totalprice ORDER BY o_orderkey) AS v, list(o_orderkey ORDER BY o_orderkey) AS k FROM orders GROUP BY 1),
+dp AS (SELECT o_custkey, v, 1 AS i, [1] AS best, [0] AS prev FROM g UNION ALL
+SELECT o_custkey, v, i + 1, list_append(best, m + 1), list_append(prev, CASE WHEN m = 0 THEN 0 ELSE list_position(list_transform(range(1, i + 1), lambda j: v[j] <= v[i + 1] AND best[j] = m), true) END)
+FROM (SELECT *, CAST(coalesce(list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN v[j] <= v[i + 1] THEN best[j] END)), 0) AS INTEGER) AS m FROM dp WHERE i < len(v))),
+back AS (SELECT o_custkey, prev, CAST(list_position(best, list_max(best)) AS INTEGER) AS at FROM dp WHERE i = len(v) UNION ALL SELECT o_custkey, prev, CAST(prev[at] AS INTEGER) FROM back WHERE prev[at] > 0),
+o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS at FROM orders)
+SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, b.at IS NOT NULL AS "on" FROM o LEFT JOIN back b ON o.o_custkey = b.o_custkey AND o.at = b.at""")
 def lis_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which orders of a customer lie on the longest run of prices that never fall."""
     return turns.longest_run(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "o_totalprice")
@@ -106,25 +109,18 @@ def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.greedy_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text") + 12, 900)
 
 
-def first_seen_mode(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """(key, value, n): the most frequent value, of equals the one seen first."""
-    counts = df.groupBy(key, value).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
-    return counts.groupBy(key).agg(F.max_by(F.struct(value, "n"), F.struct("n", *[(-F.col(f"first.{c}").cast("double")).alias(f"o{i}") for i, c in enumerate(order)])).alias("m")).select(key, f"m.{value}", "m.n")
-
-
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2)
 SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS r FROM c) WHERE r = 1""")
 def mode_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: each user's most frequent event type, the earliest of equals."""
-    return first_seen_mode(table(spark, sf_dir, "events"), "user_id", "event_type", ["event_id"])
+    return sittings.most_common(table(spark, sf_dir, "events"), "user_id", "event_type", ["event_id"])
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice AS best, coalesce(second, 0) AS second, round(o_totalprice - coalesce(second, 0), 2) AS margin FROM (SELECT *, row_number() OVER w AS r, lead(o_totalprice) OVER w AS second FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE r = 1 AND o_totalprice - coalesce(second, 0) >= 1000""")
 def top2_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose largest order leads by a margin."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    top = table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("o_totalprice").over(w), F.lit(0.0))).where("r = 1 AND o_totalprice - second >= 1000")
+    top = linking.leaders(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"]).where("o_totalprice - second >= 1000")
     return top.select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("best"), "second", F.round(F.col("o_totalprice") - F.col("second"), 2).alias("margin"))
 
 
@@ -134,13 +130,11 @@ SELECT user_id, event_type, n FROM r WHERE r = 1 AND (n2 IS NULL OR n >= 1.3 * n
 def dominance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with a single type, or one that leads by a factor."""
     c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("f"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("n"), "f")
-    return c.withColumn("r", F.row_number().over(w)).withColumn("n2", F.lead("n").over(w)).where("r = 1 AND (n2 IS NULL OR n >= 1.3 * n2)").select("user_id", "event_type", "n")
+    return linking.dominant(c, "user_id", "event_type", "f", 1.3)
 
 
 @query("SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY CAST(o_orderdate AS DATE)) > 3 THEN 'fail' ELSE 'pass' END AS collision FROM orders")
 def collision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More than three on one date fail."""
-    rows = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
-    crowded = rows.groupBy("day").agg(F.count("*").alias("n"))
-    return rows.join(crowded, F.col("o_orderdate").isNotNull() & (rows.day == crowded.day)).select("o_orderkey", F.when(F.col("n") > 3, "fail").otherwise("pass").alias("collision"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return sittings.crowded(rows, "day").select("o_orderkey", "collision")

@@ -21,9 +21,16 @@ def markdown(spark: SparkSession, path: str, years: tuple[int, int] | None = YEA
     return files.select("source_file", "path", F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n").alias("body"))
 
 
-def by_name(files: DataFrame) -> DataFrame:
+def by_name(files: DataFrame, name: str = "source_file", path: str = "path") -> DataFrame:
     """One path for each name: of several the greatest."""
-    return files.groupBy("source_file").agg(F.max_by("path", "path").alias("path"))
+    return files.groupBy(name).agg(F.max(path).alias(path))
+
+
+def paths_of(manifest: DataFrame, files: DataFrame, folders: list[str]) -> DataFrame:
+    """The manifest (doc_id, source_file, ...) with the path of each file, of the first folder that has it; null if none has."""
+    place = F.coalesce(*[F.when(F.col("path").startswith(f), i) for i, f in enumerate(folders)], F.lit(len(folders)))
+    found = files.select("source_file", F.struct(place.alias("place"), "path").alias("at")).groupBy("source_file").agg(F.min("at").alias("at"))
+    return manifest.join(found.where(F.col("at.place") < len(folders)).select("source_file", F.col("at.path").alias("path")), "source_file", "left")
 
 
 def content_hashes(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:

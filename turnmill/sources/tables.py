@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of a turn table, in order.
@@ -40,5 +40,10 @@ def line_cache(files: DataFrame) -> DataFrame:
     return files.select("source_file", F.explode(cached).alias("k", "text")).select("source_file", F.col("k").try_cast("int").alias("line"), "text")
 
 
+def parsed(column: Column, schema: str) -> Column:
+    """JSON text by a schema; what is broken is null."""
+    return F.from_json(column, schema, {"mode": "PERMISSIVE"})
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
