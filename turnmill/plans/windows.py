@@ -92,9 +92,9 @@ def asof_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 dp AS (SELECT o_custkey, v, 1 AS i, [1] AS best, [0] AS prev FROM g UNION ALL
 SELECT o_custkey, v, i + 1, list_append(best, m + 1), list_append(prev, CASE WHEN m = 0 THEN 0 ELSE list_position(list_transform(range(1, i + 1), lambda j: v[j] <= v[i + 1] AND best[j] = m), true) END)
 FROM (SELECT *, CAST(coalesce(list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN v[j] <= v[i + 1] THEN best[j] END)), 0) AS INTEGER) AS m FROM dp WHERE i < len(v))),
-back AS (SELECT o_custkey, prev, CAST(list_position(best, list_max(best)) AS INTEGER) AS at FROM dp WHERE i = len(v) UNION ALL SELECT o_custkey, prev, CAST(prev[at] AS INTEGER) FROM back WHERE prev[at] > 0),
-o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS at FROM orders)
-SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, b.at IS NOT NULL AS "on" FROM o LEFT JOIN back b ON o.o_custkey = b.o_custkey AND o.at = b.at""")
+back AS (SELECT o_custkey, prev, CAST(list_position(best, list_max(best)) AS INTEGER) AS pos FROM dp WHERE i = len(v) UNION ALL SELECT o_custkey, prev, CAST(prev[pos] AS INTEGER) FROM back WHERE prev[pos] > 0),
+o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders)
+SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, b.pos IS NOT NULL AS "on" FROM o LEFT JOIN back b ON o.o_custkey = b.o_custkey AND o.pos = b.pos""")
 def lis_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which orders of a customer lie on the longest run of prices that never fall."""
     return turns.longest_run(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "o_totalprice")
