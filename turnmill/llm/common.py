@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Rows of at most a few longs each that may be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Counted bytes of a side that may be broadcast; larger sides are joined by a shuffle.
+BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
+    """The folder that the driver and all executors see. Where the session names none, a local session gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='turnmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,9 +42,27 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if a count shows at most ``limit`` rows, no hint (a shuffled join) otherwise."""
-    return F.broadcast(df) if df.count() <= limit else df
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def counted_bytes(df: DataFrame) -> int:
+    """Rows times 16 bytes a column, and the lengths of arrays of numbers (8 bytes an item) and of strings, by one aggregation."""
+    sizes = [F.sum(F.greatest(F.size(f.name), F.lit(0)).cast("long")) * 8 for f in df.schema if isinstance(f.dataType, ArrayType)]
+    sizes += [F.sum(F.octet_length(f.name).cast("long")) for f in df.schema if isinstance(f.dataType, StringType | BinaryType)]
+    rows, *more = df.agg(F.count("*"), *sizes).first()
+    return rows * 16 * len(df.columns) + sum(n or 0 for n in more)
+
+
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if its counted size is at most ``limit`` bytes, no hint (a shuffled join) otherwise."""
+    return F.broadcast(df) if counted_bytes(df) <= limit else df
 
 
 def hash_key(*parts: Column | str) -> Column:
@@ -58,7 +80,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node that the undirected edges reach. Nodes without edges aren't listed.
 
     Alternating large-star and small-star steps; each round is written to the shared folder, and the loop
-    ends when a round changes no edge. No edge list, label or group is ever collected.
+    ends when a round changes no edge. No edge list, label or group is ever collected. A node with very many
+    edges is a hot key of the star's join, whose other side has one row for it: adaptive execution splits it.
     """
     def star(pairs: DataFrame, few: bool) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -68,7 +91,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     tally = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
     was = e.agg(tally).first()[0]
     while was.n:
-        few = was.n <= BROADCAST_ROWS // 2
+        few = was.n * 64 <= BROADCAST_BYTES
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, few).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = star(large, few)
