@@ -12,15 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import components, saved, small_or_shuffled
+from turnmill.llm.common import components, free_names, saved, small_or_shuffled
 
 WORDS, LEAST = 5, 80
 #: Tokens (shingles) whose hash is in this first share of the hash space have their documents counted and stand
 #: first in the global order; those of more than FREQUENT documents, and all uncounted ones, enter as combinations.
 COUNTED, FREQUENT = 0.3, 16
 #: Shingles of one block of a group; larger groups are compared block against block.
-BLOCK = 2_000_000
-REMEMBER = 500_000
+BLOCK = 500_000
+#: Sets that one set links at once before they leave the index together.
+MANY = 32
+REMEMBER = 200_000
 M1, M2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,33 +267,60 @@ def members(docs: DataFrame, groups: DataFrame) -> DataFrame:
 def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None) -> list[tuple[int, int]]:
     """(set, root) that join the sets of ``left`` (with those of ``right``) into the same components as all links do.
 
-    An index from shingles to sets counts each set's overlaps with all others at once.
+    An index from shingles to sets counts each set's overlaps with all others at once. Where a set links ``MANY``
+    others, these need no links among each other: each is compared with the sets outside their component alone,
+    and all of them leave the index. So a group of near copies costs time with its size, not with its square.
     """
     sets = left + (right or [])
     n_left, sizes = len(left), np.array([len(s) for _, s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
-    _, token = np.unique(np.concatenate([s for _, s in sets]), return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    posts, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
+    values, token = np.unique(np.concatenate([s for _, s in sets]), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes)])
+    by_token = np.argsort(token, kind="stable")
     parent = list(range(len(sets)))
+    there = np.ones(len(sets), bool)  # in the index
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i in range(n_left if right is not None else len(sets)):
+    def index(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = by_token[of[owner[by_token]]]
+        return owner[order], np.concatenate([[0], np.cumsum(np.bincount(token[order], minlength=len(values)))])
+
+    def like(i: int, posts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The sets of the index that link with set i."""
         mine = token[begin[i] : begin[i + 1]]
         first, count = starts[mine], starts[mine + 1] - starts[mine]
         ends = np.cumsum(count)
-        others = posts[np.arange(ends[-1]) + np.repeat(first - ends + count, count)]
-        overlap = np.bincount(others, minlength=len(sets))
-        overlap[: n_left if right is not None else i + 1] = 0
-        for j in np.flatnonzero(100 * overlap >= LEAST * (sizes[i] + sizes - overlap)).tolist():
+        overlap = np.bincount(posts[np.arange(ends[-1]) + np.repeat(first - ends + count, count)], minlength=len(sets))
+        found = (overlap > 0) & (100 * overlap >= LEAST * (sizes[i] + sizes - overlap))
+        found[i] = False
+        return found
+
+    def join(i: int, others: np.ndarray) -> None:
+        for j in np.flatnonzero(others).tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[b] = a
+
+    full = index(there)
+    for i in range(len(sets) if right is None else n_left):
+        if not there[i]:
+            continue
+        met = like(i, *full)
+        join(i, met)
+        if met.sum() >= MANY:
+            rest = there & ~met
+            rest[i] = False
+            if rest.any():
+                outside = index(rest)
+                for j in np.flatnonzero(met).tolist():
+                    join(j, like(j, *outside))
+            there, full = rest, outside if rest.any() else full
+        else:
+            there[i] = False  # compared with all; it may stay in ``full`` until that is next made
     least: dict[int, int] = {}
     for i in range(len(sets)):
         least[root(i)] = min(sets[i][0], least.get(root(i), sets[i][0]))
@@ -373,12 +402,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     partner and all stay.
     """
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    keep = connected(docs).where("n_shingles > 0").groupBy("root_id").agg(order.alias("x")).select(F.col("x.doc_id").alias("keep_id"), F.col("x.text_key").alias("keep_key"))
+    keep_id, keep_key, mine_key = free_names(docs, "keep_id", "keep_key", "mine_key")
+    keep = connected(docs).where("n_shingles > 0").groupBy("root_id").agg(order.alias("x")).select(F.col("x.doc_id").alias(keep_id), F.col("x.text_key").alias(keep_key))
     text = F.coalesce("text", F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
-    mine = docs.where(worded).withColumn("keep_text", F.xxhash64(text))
-    mine = mine.join(keep, (F.col("keep_text") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return mine.dropDuplicates(["doc_id", "keep_text"]).drop("keep_text").unionByName(docs.where(~worded))
+    mine = docs.where(worded).withColumn(mine_key, F.xxhash64(text))
+    mine = mine.join(keep, (F.col(mine_key) == F.col(keep_key)) & F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi")
+    return mine.dropDuplicates(["doc_id", mine_key]).drop(mine_key).unionByName(docs.where(~worded))
 
 
 ORACLE = r"""
