@@ -1,6 +1,7 @@
 """Operators against brute force, and the cases of FIXTURES.md in own words."""
 
 import datetime
+import hashlib
 import itertools
 import random
 from difflib import SequenceMatcher
@@ -373,6 +374,43 @@ def test_places_of_files_and_translations(spark):
     assert [r.variant_norm for r in linking.alias_rows(rows).collect()] == ["c", "a", "b"]
 
 
+def test_sinks_come_back(spark, tmp_path):
+    docs = spark.createDataFrame([("2015-01-02__1", "a.pdf", "born", "2015-01-02", "one\n\ntwo"), ("2015-01-03__2", "b.pdf", None, "", "three")], "doc_id string, source_pdf string, engine string, sitting_date string, body string")
+    corpus.write_markdown(docs, str(tmp_path / "md"))
+    back = spark.read.text(str(tmp_path / "md"), wholetext=True)
+    assert {r.name: r.value.rstrip("\n").split("\n") for r in back.collect()}["2015-01-02__1"] == ["<!-- doc_id: 2015-01-02__1 -->", "<!-- source_pdf: a.pdf -->", "<!-- engine: born -->", "<!-- sitting_date: 2015-01-02 -->", "", "one", "", "two"]
+    lines = spark.createDataFrame([("a.md", 3, "x"), ("a.md", 12, 'y "z"'), ("b.md", 1, "")], "source_file string, line int, text string")
+    assert sorted(map(tuple, tables.line_cache(tables.cache_text(lines)).collect())) == sorted(map(tuple, lines.collect()))
+    assert tables.line_cache(spark.createDataFrame([("c.md", "{broken")], "source_file string, body string")).count() == 0
+    tables.write_json(lines, str(tmp_path / "json"))
+    assert sorted(map(tuple, spark.read.schema(lines.schema).json(str(tmp_path / "json")).collect())) == sorted(map(tuple, lines.collect()))
+    tables.write_csv(lines, str(tmp_path / "gz"), ["line", "text"], gzip=True)
+    assert tables.csv(spark, str(tmp_path / "gz")).count() == 3 and [p.name for p in (tmp_path / "gz").glob("*.csv.gz")]
+    (tmp_path / "x.pdf").write_bytes(b"pdf")
+    assert [r.md5 for r in corpus.content_hashes(spark, str(tmp_path)).collect()] == [hashlib.md5(b"pdf").hexdigest()]
+
+
+def test_views_of_turns(spark):
+    rows = [("a.md", "s1", "12", "T", "C", "mp", "N", "m:p0", "0.90", "said", 3, 9, "", "speech", 5, "words"), ("a.md", "s2", "", "T", "", "mp", "", "m:p0", "0.90", "said", 10, 12, "L", "speech", 5, "words")]
+    turn_rows = spark.createDataFrame(rows, "source_file string, speech_id string, evidence_line string, speaker_target_raw string, speaker_target_clean string, speaker_type string, mp_name_ar string, assignment_method string, assignment_confidence string, evidence_text string, start_line int, end_line int, mp_name_transliterated string, block_type string, word_count int, text string")
+    assert [(r.line, r.mp_name_ar) for r in review.events_view(turn_rows).orderBy("speech_id").collect()] == [(12, "N"), (0, "")]
+    assert [r.speaker for r in review.speeches_view(turn_rows).orderBy("speech_id").collect()] == ["N", "L"]
+    old = turn_rows.drop("speaker_type")
+    assert review.either(turn_rows.limit(0), old).count() == 2 and review.either(turn_rows, old).count() == 2
+    points = spark.createDataFrame([("a.md", 9), ("a.md", 11), ("a.md", 99), ("b.md", 9)], "source_file string, line int")
+    assert {(r.source_file, r.line): r.speech_id for r in review.speech_containing(turn_rows, points, width=4).collect()} == {("a.md", 9): "s1", ("a.md", 11): "s2"}
+    expected = spark.createDataFrame([("a.md", 1), ("a.md", 2), ("a.md", 3)], "source_file string, line int")
+    reply = spark.createDataFrame([("a.md", "1: one\n 3) three\nnoise\n9. nine")], "source_file string, reply string")
+    assert {r.line: r.text for r in review.reply_lines(reply, expected).collect()} == {1: "one", 2: "", 3: "three"}
+    assert [r.up for r in review.translated(expected, lambda frames: (f.assign(up=f.line * 2)[["up"]] for f in frames), "up long").orderBy("up").collect()] == [2, 4, 6]
+    cached = spark.createDataFrame([("a.md", 3)], "source_file string, line int")
+    pars = spark.createDataFrame([("a.md", 1, 2), ("a.md", 3, 3), ("a.md", 5, 7), ("a.md", 20, 21)], "source_file string, start_line int, end_line int")
+    wanted = spark.createDataFrame([("a.md", 2, 6)], "source_file string, lo int, hi int")
+    assert sorted(r.start_line for r in review.translation_ranges(pars, wanted, cached).collect()) == [1, 5]
+    some = spark.createDataFrame([("b", 0), ("a", 0), ("c", 2)], "source_file string, events int")
+    assert review.first_with_events(some).first().source_file == "c" and review.first_with_events(some.where("events = 0")).first().source_file == "a"
+
+
 def test_running_totals(spark):
     rng = random.Random(3)
     keys = rng.sample(range(10**9), 400)

@@ -55,3 +55,8 @@ def with_header(docs: DataFrame) -> DataFrame:
     """(name, value): each document as Markdown with its origin in four comment lines."""
     line = lambda k: F.concat(F.lit(f"<!-- {k}: "), F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit(" -->"))
     return docs.select(F.concat("doc_id", F.lit(".md")).alias("name"), F.concat_ws("\n", line("doc_id"), line("source_pdf"), line("engine"), line("sitting_date"), F.lit(""), "body").alias("value"))
+
+
+def write_markdown(docs: DataFrame, path: str) -> None:
+    """Each document of ``with_header`` as a file of its own, in a folder of its name under ``path``."""
+    with_header(docs).withColumn("name", F.regexp_replace("name", r"\.md$", "")).write.partitionBy("name").option("lineSep", "\n").text(path)

@@ -40,6 +40,12 @@ def line_cache(files: DataFrame) -> DataFrame:
     return files.select("source_file", F.explode(cached).alias("k", "text")).select("source_file", F.col("k").try_cast("int").alias("line"), "text")
 
 
+def cache_text(lines: DataFrame) -> DataFrame:
+    """(source_file, body): the lines (source_file, line, text) as JSON caches, as ``line_cache`` reads them; of several texts of a line the greatest."""
+    one = lines.groupBy("source_file", F.col("line").cast("string").alias("line")).agg(F.max("text").alias("text"))
+    return one.groupBy("source_file").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("line", "text"))))).alias("body"))
+
+
 def parsed(column: Column, schema: str) -> Column:
     """JSON text by a schema; what is broken is null."""
     return F.from_json(column, schema, {"mode": "PERMISSIVE"})
