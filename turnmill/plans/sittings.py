@@ -98,9 +98,24 @@ def file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", *[meta[k].alias(k) for k in ("document_id", "year_start", "inferred_date", "include")])
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') || '__' || CAST(o_orderkey % 997 AS VARCHAR) AS doc_id, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 997 AS INTEGER) AS seq FROM orders),
+s AS (SELECT *, (year(d) - CASE WHEN month(d) >= 9 THEN 0 ELSE 1 END) * 2 + CASE WHEN month(d) IN (8, 9) THEN 1 ELSE 0 END AS batch FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY seq, doc_id) AS i, count(*) OVER (PARTITION BY batch) AS k FROM s),
+dp AS (SELECT batch, i, 1 AS best, [d] AS tails FROM o WHERE i = 1 UNION ALL
+SELECT dp.batch, o.i, 1 + CAST(len(list_filter(tails, lambda t: t <= o.d)) AS INTEGER), list_concat(list_append(list_filter(tails, lambda t: t <= o.d), o.d), list_filter(tails, lambda t: t > o.d)[2:]) FROM dp JOIN o ON o.batch = dp.batch AND o.i = dp.i + 1),
+b AS (SELECT o.batch, o.i, o.d, dp.best FROM dp JOIN o ON o.batch = dp.batch AND o.i = dp.i),
+p AS (SELECT x.batch, x.i, min(y.i) AS prev FROM b x JOIN b y ON x.batch = y.batch AND y.best = x.best - 1 AND y.i < x.i AND y.d <= x.d GROUP BY 1, 2),
+back AS (SELECT batch, min(i) AS i FROM b WHERE best = (SELECT max(best) FROM b z WHERE z.batch = b.batch) GROUP BY batch UNION ALL SELECT p.batch, p.prev FROM back JOIN p ON p.batch = back.batch AND p.i = back.i),
+g AS (SELECT o.*, CASE WHEN k < 3 THEN 'na' WHEN back.i IS NULL THEN 'fail' ELSE 'pass' END AS sequence, CASE WHEN count(*) OVER (PARTITION BY d) > 3 THEN 'fail' ELSE 'pass' END AS collision FROM o LEFT JOIN back ON back.batch = o.batch AND back.i = o.i)
+SELECT doc_id, doc_id || '.md' AS source_file, d AS final_date, 'name' AS date_source, 'na' AS weekday, 'na' AS hijri, 'pass' AS recurrence, 'na' AS marsad, sequence, collision,
+1 + (sequence = 'pass')::INT + (collision = 'pass')::INT AS n_pass, (sequence = 'fail')::INT + (collision = 'fail')::INT AS n_fail,
+CASE WHEN sequence = 'fail' OR collision = 'fail' THEN 'conflict' WHEN sequence = 'pass' OR collision = 'pass' THEN 'confirmed' ELSE 'single_witness' END AS verdict,
+CAST(NULL AS DATE) AS suggested_date, 'recurrence:mode=' || strftime(d, '%Y-%m-%d') || 'x2' AS evidence FROM g""")
 def date_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-G, J8, J11: the whole chain from manifest to verdict, over sittings made from all orders."""
+    """Q-G, J8, J11: the whole chain from manifest to verdict, over sittings made from all orders.
+
+    Each date is its file's own and stands twice in the body, so the gates of sequence and collision decide.
+    """
     rows = table(spark, sf_dir, "orders")
     name = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("__"), (F.col("o_orderkey") % 997).cast("string"))
     manifest = rows.groupBy(name.alias("doc_id")).agg(F.min("o_orderdate").alias("d")).select("doc_id", F.concat("doc_id", F.lit(".md")).alias("md_file"), F.date_format("d", "yyyy-MM-dd").alias("sitting_date"), F.lit("name").alias("date_source"))
