@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: A space between two characters that aren't blank: pre-tokens never reach over its left side, so texts may be cut there.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBER = 500_000
+#: Words whose ids a task remembers before it starts afresh, and the longest of them (characters): some 40 MB.
+REMEMBER, LONGEST = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -48,7 +48,7 @@ def sentencepiece_model(ranks_path: str) -> tuple[bytes, list[bytes]]:
 
 
 class Codec:
-    """Encodes and decodes one worker's texts. Words between single spaces are remembered with their ids."""
+    """Encodes and decodes texts. ``known`` remembers the ids of words between single spaces; the caller owns it."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         model, pieces = sentencepiece_model(ranks_path)
@@ -59,7 +59,6 @@ class Codec:
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.known: dict[str, bytes] = {}
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Each pre-token of each word by itself, in one call of the model, as little-endian unsigned 32-bit ids."""
@@ -71,20 +70,21 @@ class Codec:
         packed = self.packed
         return [b"".join([packed[i] for _ in pres for i in next(ids)]) for pres in cut]
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, known: dict[str, bytes]) -> bytes:
         words = text.split(" ")
         words[1:] = [" " + w for w in words[1:]]
-        known = self.known
         new = list({w for w in words if w not in known})
         if any(w[-1:].isspace() or w[1:2].isspace() or not w.strip() for w in new):
             # blanks beside the spaces: cut at single spaces only, and remember nothing
             first, *rest = CUT.split(text)
             return b"".join(self.ids_of([first, *[" " + w for w in rest]]))
-        if len(known) > REMEMBER:
-            known.clear()
-            new = list(set(words))
         if new:
-            known.update(zip(new, self.ids_of(new), strict=True))
+            found = dict(zip(new, self.ids_of(new), strict=True))
+            ids = b"".join([found[w] if w in found else known[w] for w in words])
+            if len(known) > REMEMBER:
+                known.clear()
+            known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
+            return ids
         return b"".join([known[w] for w in words])
 
     def decode(self, ids: bytes) -> bytes:
@@ -113,11 +113,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c, known = codec(ranks_path, pattern), {}  # what is remembered goes when the task ends
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("n", "i", "d", "ids", "text")}
             for text in batch.column(1):
-                ids = c.encode(text.as_py())
+                ids = c.encode(text.as_py(), known)
                 back = c.decode(ids)
                 rows["n"].append(len(ids) // 4)
                 rows["i"].append(hashlib.sha256(ids).hexdigest())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: The mark at a word's start in the vocabulary's pieces.
 START = "▁"
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 class LongestMatch:
