@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A span ends at a word whose checksum is 0 modulo this, a section at a paragraph whose digest is.
 SPAN, SECTION = 6, 8
-#: Rows of one bucket of neighbouring ids, and the most buckets (a larger table has larger ones, sorted by spilling).
-PER_BUCKET, MOST_BUCKETS = 4_000, 2_000
+#: Rows of one bucket of neighbouring ids, the most buckets (a larger table has larger ones, read as a stream from a
+#: spilling sort), rows of the sample that a bucket's bounds are taken from, and words that a task remembers.
+PER_BUCKET, MOST_BUCKETS, OF_SAMPLE, REMEMBER = 500, 20_000, 20, 200_000
 
 
 def digest(data: bytes) -> bytes:
@@ -92,28 +93,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def bucket_of(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted bounds aren't after a row's (k, h), by two steps of about the root of their number each."""
+    step = max(1, round(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    lits = lambda pairs: F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in pairs])
+    reached = lambda list_: F.size(F.filter(list_, lambda b: (b["k"] < F.col("k")) | ((b["k"] == F.col("k")) & (b["h"] <= F.col("h")))))
+    if not parts:
+        return F.lit(0)
+    part = reached(lits([p[0] for p in parts]))
+    return F.when(part == 0, 0).otherwise((part - 1) * step + reached(F.get(F.array(*map(lits, parts)), part - 1))).cast("int")
+
+
 def neighbours(docs: DataFrame, id_col: str, text_col: str, per_bucket: int) -> DataFrame:
-    """(bucket, guest, doc_id, text), in buckets of neighbouring ids, each sorted by descending id.
+    """(bucket, guest, k, h, doc_id, text): buckets of rows that follow one another by descending id, then by the text's hash.
 
-    A bucket holds its own rows and, marked as guests, the rows of the next bucket's largest id, so every row's
-    successor is at hand; the last bucket's guests are the very first rows. Bucket bounds are exact quantiles of
-    (id, text hash) from one aggregation of the ids alone.
+    k and h say the order. A bucket holds its own rows and, marked as guests, the first rows of the next one, so that
+    every row's successor is at hand; the last bucket's guests are the very first rows. The bounds are quantiles of
+    a sample of (k, h) by hash; what a bucket's first row is, is found over all rows.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"))
-    n = ids.count()
-    cuts = min(MOST_BUCKETS, max(1, -(-n // per_bucket)))
-    bounds = sorted(set(ids.agg(F.percentile_approx("k", [i / cuts for i in range(1, cuts)], 10_000)).first()[0])) if cuts > 1 else []
-    k = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bucket = lambda c: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x >= c)) if bounds else F.lit(0)
-    first = ids.withColumn("bucket", bucket(F.col("k")).cast("int")).groupBy("bucket").agg(F.max("k").alias("k")).collect()  # one row a bucket
-    order = sorted((r.bucket, r.k) for r in first)
-    to = {key: order[i - 1][0] for i, (_, key) in enumerate(order)}  # the bucket before it, the last one for the first
-    own = picked.withColumn("bucket", bucket(k).cast("int")).withColumn("guest", F.lit(False))
-    if not to:
-        return own.withColumn("bucket", F.lit(0))
-    guests = docs.sparkSession.createDataFrame(list(to.items()), "gk long, bucket int")
-    guests = picked.join(F.broadcast(guests), k == F.col("gk")).select("doc_id", "text", "bucket", F.lit(True).alias("guest"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).alias("k"), F.xxhash64(text).alias("h"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    places = picked.select("k", "h")
+    cuts = min(MOST_BUCKETS, max(1, -(-(n := docs.count()) // per_bucket)))
+    bounds: list[tuple[int, int]] = []
+    if cuts > 1:
+        every = max(1, n // (OF_SAMPLE * cuts))
+        sample = places.where(F.pmod(F.xxhash64("k", "h", F.lit(3)), F.lit(every)) == 0).groupBy("k", "h").count().collect()  # about OF_SAMPLE rows a bucket
+        rows, seen = sum(r["count"] for r in sample), 0
+        for r in sorted(sample):
+            if seen * cuts // rows > len(bounds):
+                bounds.append((r.k, r.h))
+            seen += r["count"]
+    firsts = places.groupBy(bucket_of(bounds).alias("bucket")).agg(F.min(F.struct("k", "h")).alias("first")).orderBy("bucket").collect()  # one row a bucket
+    own = picked.withColumn("bucket", bucket_of(bounds)).withColumn("guest", F.lit(False))
+    if not firsts:
+        return own
+    to = [(r.first.k, r.first.h, firsts[i - 1].bucket) for i, r in enumerate(firsts)]  # the bucket before it, the last one for the first
+    guests = docs.sparkSession.createDataFrame(to, "k long, h long, bucket int")
+    guests = picked.join(F.broadcast(guests), ["k", "h"]).withColumn("guest", F.lit(True))  # MOST_BUCKETS rows at most
     return own.unionByName(guests)
 
 
@@ -125,8 +143,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near_edited and near_next are the likeness of the tree to the edited text's and the next document's, from 0
     to 1; differing lists the paragraphs of the text that the edited one lacks.
 
-    Nulls: a null text counts as empty; a null id sorts last and stays null. Rows of one id are ordered by text,
-    identical rows follow one another. A lone row is its own successor. An empty table gives no rows. Texts of
+    Nulls: a null text counts as empty; a null id sorts last and stays null. Rows of one id are ordered by the text's
+    hash, identical rows follow one another (in one task, which holds two of them at a time). A lone row is its own successor. An empty table gives no rows. Texts of
     any length are read whole; a task holds two at a time.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, differing array<int>"
@@ -153,7 +171,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if now is not None:
                 done(text, t)
             now = None if guest else (bucket, doc_id, text, t)
-            if len(known) > 500_000:
+            if len(known) > REMEMBER:
                 known.clear()
             if len(out) >= 500:
                 yield as_batch(out)
@@ -167,5 +185,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     dealt = neighbours(docs, id_col, text_col, per_bucket).repartition("bucket")
-    sorted_rows = dealt.sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text").select("bucket", "guest", "doc_id", "text")
+    sorted_rows = dealt.sortWithinPartitions("bucket", "guest", "k", "h", "text").select("bucket", "guest", "doc_id", "text")
     return sorted_rows.mapInArrow(run, schema)
