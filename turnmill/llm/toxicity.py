@@ -88,7 +88,7 @@ def nnpu(toxic: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarr
         b = tied_bias(s_u, prior)
         negative, error = negative_part(s_p + b, s_u + b, prior, prior_error)
         sound = negative >= -ERRORS * error
-        risk = prior * float(np.logaddexp(0, -s_p - b).mean()) + negative + prior * float(l1 * w.sum() + l2 / 2 * (w @ w))
+        risk = prior * float(np.logaddexp(0, -s_p - b).mean()) + negative + prior * float(l1 * w.sum() + l2 / 2 * (w * w).sum())
         if sound and risk < best[0]:
             best = (risk, w.copy(), b)
         p, u = (1 / (1 + np.exp(-np.clip(s + b, -40, 40))) for s in (s_p, s_u))
