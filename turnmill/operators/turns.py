@@ -16,6 +16,7 @@ from turnmill.functions import text as T
 from turnmill.functions.lexicon import ARABIC, Lexicon
 from turnmill.operators.paragraphs import joined
 from turnmill.operators.review import speech_containing
+from turnmill.storage import saved
 
 CUE = "struct<raw:string,clean:string,start:int,end:int,method:string>"
 _SPACES = re.compile(r"\s+")
@@ -177,6 +178,7 @@ def extract_turns(pars: DataFrame, files: DataFrame, lex: Lexicon = ARABIC) -> D
         F.coalesce(F.regexp_like(T.folded(F.col("tail"), lex), adj), F.lit(False)).alias("tadj"), T.is_substantive(F.col("text"), lex).alias("sub"),
         (T.is_plain_boundary(F.col("text"), lex) | F.col("cue_inside")).alias("bnd"), F.regexp_like(T.folded(F.col("text"), lex), adj).alias("adj"),
     )
+    flagged = saved(flagged, "cues")  # used four times below; the patterns run once
     rows = members(flagged.withColumn("body_tail", F.col("tail")).withColumn("tail", F.col("starts")), "source_file", "par")
     body = flagged.select("source_file", "par", "start_line", "end_line", "text", F.col("tail").alias("tail_text"))
     parts = rows.join(body, ["source_file", "par"]).withColumn("part", T.truncate_at(F.when(F.col("from_tail"), F.col("tail_text")).otherwise(F.col("text")), T.java(lex.adjourn), lex))

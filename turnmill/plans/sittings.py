@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnmill.functions import dates as D
 from turnmill.operators import sittings
 from turnmill.registry import query, table
+from turnmill.storage import saved
 
 
 @query("""SELECT o_orderkey, CASE WHEN isodow(o_orderdate) - 1 < 5 THEN 'pass' ELSE 'fail' END AS weekday, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_no FROM orders""")
@@ -120,5 +121,6 @@ def date_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("__"), (F.col("o_orderkey") % 997).cast("string"))
     manifest = rows.groupBy(name.alias("doc_id")).agg(F.min("o_orderdate").alias("d")).select("doc_id", F.concat("doc_id", F.lit(".md")).alias("md_file"), F.date_format("d", "yyyy-MM-dd").alias("sitting_date"), F.lit("name").alias("date_source"))
     bodies = manifest.select("doc_id", F.concat_ws("\n", F.lit("sitting of"), F.date_format("sitting_date", "d/M/yyyy"), F.date_format("sitting_date", "d-M-yyyy")).alias("body"))
-    tri = sittings.triangulated(manifest)
-    return sittings.gated(sittings.merged(tri, sittings.resolved(tri, bodies)), bodies)
+    manifest, bodies = saved(manifest, "manifest"), saved(bodies, "bodies")
+    tri = saved(sittings.triangulated(manifest), "triangulated")  # each stage is read several times by the next
+    return sittings.gated(saved(sittings.merged(tri, sittings.resolved(tri, bodies)), "final"), bodies)
