@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -12,12 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import fresh_path, small_or_shuffled
+from turnmill.llm.common import fresh_path, saved, small_or_shuffled
 
 #: Payloads of at least so many bytes are written once and then referred to.
 LEAST_BYTES = 0
-#: No archive file grows beyond this many bytes (unless one record does).
-FILE_BYTES = 64 << 20
+#: No archive file grows beyond this many bytes (unless one record does). Records are written by classes of size, each
+#: some times as large as the one before, so that a table's longest page leaves the files of the others full.
+FILE_BYTES, FIRST_CLASS, CLASS_STEP = 64 << 20, 16 << 10, 16
+#: Captures of one range of the merged index.
+PER_RANGE = 50_000
 END = "\r\n\r\n"
 
 
@@ -88,7 +93,9 @@ def write_warc(pages: DataFrame, path: str, captured: Column | None = None, leas
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""), F.lit("")).alias("url"), html.alias("html"),
                         F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.octet_length(html).alias("bytes"), base32_sha1(html.cast("binary")).alias("digest"))
     copies = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    longest = rows.agg(F.max("bytes")).first()[0] or 0
+    size_class = F.greatest(F.lit(0), F.ceil(F.log(F.col("bytes") / FIRST_CLASS) / math.log(CLASS_STEP))).cast("int")
+    rows = rows.withColumn("class", F.when(F.col("bytes") > FIRST_CLASS, size_class).otherwise(0))
+    classes = [r["class"] for r in rows.select("class").distinct().collect()]  # a handful
     rows = rows.join(small_or_shuffled(copies), "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     uid = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -99,8 +106,10 @@ def write_warc(pages: DataFrame, path: str, captured: Column | None = None, leas
         F.when(again, line("WARC-Refers-To", uid(F.col("first")))).otherwise(""), F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.when(again, "0").otherwise(F.col("bytes").cast("string")), F.lit(END), F.when(again, "").otherwise(F.col("html")),
     )
-    per_file = max(1, FILE_BYTES // (longest + 1000))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    for c in sorted(classes) or [0]:
+        per_file = max(1, FILE_BYTES // (FIRST_CLASS * CLASS_STEP**c + 1000))
+        of_class = rows.where(F.col("class") == c).select(record.alias("value"))
+        of_class.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
 def records(content: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
@@ -154,8 +163,8 @@ def order_of(row: tuple) -> tuple:
 def merge_captures(captures: DataFrame) -> DataFrame:
     """``captures`` in global order of URL key, time and page, with (index_part, index_pos) as their places.
 
-    Ranges of the order go to tasks, also within one URL; each task merges its slices of the runs, one for each
-    archive, by a loser tree.
+    Ranges of the order, of about ``PER_RANGE`` captures whatever the table's size, go to tasks, also within one URL;
+    each task merges its slices of the runs, one for each archive, by a loser tree and passes the winners on.
     """
     fields = ", ".join(f"{n} {t}" for n, t in captures.dtypes)
 
@@ -164,14 +173,15 @@ def merge_captures(captures: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 runs.setdefault(row[7], []).append(row)
-        part, merged = TaskContext.get().partitionId(), list(LoserTree(list(runs.values()), order_of))
-        for i in range(0, len(merged), 10_000):
-            rows = merged[i : i + 10_000]
+        part, merged, at = TaskContext.get().partitionId(), iter(LoserTree(list(runs.values()), order_of)), 0
+        while rows := list(islice(merged, 5_000)):
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(rows), pa.int32()), pa.array(range(i, i + len(rows)), pa.int64())], [*NAMES, "index_part", "index_pos"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(rows), pa.int32()), pa.array(range(at, at + len(rows)), pa.int64())], [*NAMES, "index_part", "index_pos"])
+            at += len(rows)
 
     order = ["url_key", "captured_at", "page_id", "archive", "offset"]
-    dealt = captures.select(*NAMES).repartitionByRange(*order).sortWithinPartitions("archive", *order)
+    captures = saved(captures.select(*NAMES), "captures")
+    dealt = captures.repartitionByRange(max(1, -(-captures.count() // PER_RANGE)), *order).sortWithinPartitions("archive", *order)
     return dealt.mapInArrow(run, f"{fields}, index_part int, index_pos long")
 
 
@@ -190,3 +200,18 @@ def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     path = path or fresh_path(spark, "warc")
     write_warc(pages, path, least_bytes=least_bytes)
     return merge_captures(read_warc(spark, path))
+
+
+#: Base32 by 40 digits of five bits, from the hex digits of the SHA-1.
+ORACLE = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, octet_length(encode(h)) AS n, sha1(h) AS x FROM p),
+f AS (SELECT x, min(page_id) AS first FROM d GROUP BY x)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+    ((instr('0123456789abcdef', substr(x, CAST(1 + (5 * i) // 4 AS BIGINT), 1)) - 1) * 16 + greatest(0, instr('0123456789abcdef', substr(x || '0', CAST(2 + (5 * i) // 4 AS BIGINT), 1)) - 1))
+    >> CAST(3 - (5 * i) % 4 AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN d.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to
+FROM d JOIN f USING (x)
+"""
