@@ -52,3 +52,17 @@ def interleave(docs: DataFrame, n_shards: int = 16, seed: str = SEED, id_col: st
         .withColumn("shard", shard.cast("int")).withColumn("slot", (at - start).cast("long"))
         .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
     )
+
+
+#: The checksum is folded over the bytes by a table that its polynomial makes.
+ORACLE = r"""
+WITH bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+base AS (SELECT doc_id, source, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, size), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
+  CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k FROM d, bits),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY k, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS part, count(*) OVER () AS total FROM base),
+placed AS (SELECT *, row_number() OVER (ORDER BY part, k, doc_id, source, text_crc32, size) - 1 AS pos, total // 16 AS least, total % 16 AS more FROM ranked),
+cut AS (SELECT *, CASE WHEN pos < more * (least + 1) THEN pos // (least + 1) ELSE more + (pos - more * (least + 1)) // greatest(1, least) END AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - CASE WHEN shard < more THEN shard * (least + 1) ELSE more * (least + 1) + (shard - more) * least END AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM cut
+"""
