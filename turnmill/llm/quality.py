@@ -14,7 +14,7 @@ from turnmill.llm.common import saved, small_or_shuffled
 
 #: Hash bins of the two bag-of-n-grams models, the share of rows drawn, and how many bins a refinement has.
 BINS, SHARE, CUTS = 10_000, 0.8, 4_096
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 
 class Grams:
@@ -110,7 +110,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int
             w = [float(ratio[grams.of(t.as_py())].sum()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.float64())], ["doc_id", "log_weight"])
 
-    uniform = (F.abs(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))) % (1 << 52) + F.lit(0.5)) / F.lit(float(1 << 52))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     scored = base.mapInArrow(weigh, "doc_id long, log_weight double").withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
     scored = saved(scored, "weights")
     keys = scored.select(F.col("gumbel_key").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
