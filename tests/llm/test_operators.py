@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, with nulls, ties, copies and empty tables."""
 
 import base64
+import collections
 import hashlib
 import math
 import random
@@ -207,6 +208,36 @@ def test_leaks_by_brute_force_over_all_windows(spark):
     assert len(got) >= 0.97 * len(want)
 
 
+def test_very_long_items_are_found(spark):
+    """Items of 100,000 words, one of a single word over and over: the counts of bits don't run over."""
+    rng = random.Random(16)
+    mixed, same = prose(rng, 100_000, 50_000), " ".join(["tie"] * 100_000)
+    texts = [f"before it {mixed} after it", same, f"{same} tie", prose(rng, 200, 50_000), " ".join(mixed.split()[:60_000])]
+    got = {(r.doc_id, r.item_id): (r.start, r.inter, r.union) for r in decontaminate.find_leaks(documents(spark, texts), benchmark(spark, [mixed, same])).collect()}
+    n = 100_000 - 4
+    assert got == {(0, 0): (2, n, n), (1, 1): (0, n, n), (2, 1): (0, n, n)}
+
+
+CLASHES = "keep_id long, keep_key long, mine_key long, leak_id long, leak_tk long, drop_id long, drop_key long, drop_at long, h1 long, first int, text_key string"
+
+
+def test_stages_keep_columns_whose_names_they_use(spark):
+    """Columns with the names of inner ones come through, null and repeated ids with different texts stay apart."""
+    rng = random.Random(17)
+    item, line = prose(rng, 30, 3000), "a line of five words"
+    texts = [f"{prose(rng, 40, 3000)}\n{line}", f"{prose(rng, 40, 3000)}\n{line}", item, prose(rng, 40, 3000), None, ""]
+    rows = [(i, t, f"s{k}", *range(10), "x") for k, (i, t) in enumerate(zip((None, None, 4, 4, 5, 5), texts, strict=True))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {CLASHES}").repartition(3)
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted((r.text or "").count(line) for r in lines.collect()) == [0, 0, 0, 0, 0, 1]
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == 6
+    clean = decontaminate.drop_leaks(docs, benchmark(spark, [item]))
+    assert clean.columns == docs.columns
+    assert sorted(repr(r.text) for r in clean.collect()) == sorted(repr(t) for t in texts if t != item)
+
+
 def test_simhash_is_the_majority_of_the_bits(spark):
     hashes = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(7)]
     df = spark.createDataFrame([(1, h) for h in hashes] + [(2, hashes[0])], "k int, h long")
@@ -251,6 +282,78 @@ def test_resampling_prefers_text_like_the_target(spark):
     assert quality.kth_largest(keys, 13, most=3) == (3.0, 38)
 
 
+def test_resampling_is_that_of_plain_counts(spark):
+    """Weights, noise and the cut from their definitions, over all n-grams."""
+    import xxhash
+
+    rng = random.Random(18)
+    texts = [prose(rng, rng.randint(0, 40), 60) for _ in range(70)] + [None, ""]
+    marks = [(i, int(i % 3 == 0), 0) for i in range(0, 60, 2)]
+    bins, share, seed, wrap = 50, 0.6, 11, 1 << 64
+    docs = documents(spark, texts)
+
+    def grams(t):
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in (t or "").lower().split()]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b) % wrap for a, b in zip(h, h[1:], strict=False)]
+        return [x % bins for x in h] + [(p ^ (p >> 29)) % bins for p in pairs]
+
+    good, raw, target = {i for i, q, _ in marks if q}, [1] * bins, [1] * bins
+    for i, t in enumerate(texts):
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    weight = {i: sum(math.log(target[g] / sum(target)) - math.log(raw[g] / sum(raw)) for g in grams(t)) for i, t in enumerate(texts)}
+    noise = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).collect()}
+    key = {i: w - math.log(-math.log((noise[i] % (1 << 52) + 0.5) / (1 << 52))) for i, w in weight.items()}
+    rows = {r.doc_id: r for r in quality.resample(docs, labels(spark, marks), share=share, seed=seed, bins=bins).collect()}
+    assert all(abs(rows[i].log_weight - w) < 1e-9 for i, w in weight.items())
+    assert all(abs(rows[i].gumbel_key - k) < 1e-9 for i, k in key.items())
+    assert {i for i, r in rows.items() if r.kept} == set(sorted(key, key=lambda i: (-key[i], -i))[: round(share * len(texts))])
+
+
+def plain_likeness(a, b):
+    """Twice the characters of the spans that both have, over the characters of both; spans end at words by their letters."""
+    def spans(text):
+        out = collections.Counter()
+        for line in text.split("\n"):
+            words, span = line.split(" "), []
+            for i, w in enumerate(words):
+                span.append(w)
+                if (sum(ord(c) for c in w[-3:]) + 7 * len(w)) % merkle.SPAN == 0 or i == len(words) - 1:
+                    out[" ".join(span)] += len(" ".join(span)) + 1
+                    span = []
+        return out
+
+    x, y = spans(a), spans(b)
+    return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
+
+
+def test_likeness_is_the_share_of_common_spans(spark):
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randint(0, 60), 30).replace("w1 ", "w1\n") for _ in range(40)]
+    rows = {r.doc_id: r for r in merkle.fingerprints(documents(spark, texts), per_bucket=4).collect()}
+    for i, t in enumerate(texts):
+        nxt = texts[i - 1]
+        n = len(t) // 3
+        assert abs(rows[i].near_next - plain_likeness(t, nxt)) < 1e-12
+        assert abs(rows[i].near_edited - plain_likeness(t, t[: len(t) - n] + nxt[:n])) < 1e-12
+
+
+def test_neighbours_of_repeated_and_missing_ids(spark):
+    """Rows of one id or without one are parted by their texts: each row's edit comes from the row after it."""
+    rng = random.Random(20)
+    rows = [(rng.choice([None, 3, 3, 7]), prose(rng, 9)) for _ in range(90)] + [(5, "same text here")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = []
+    for k, r in enumerate(order):
+        n = len(r.text) // 3
+        want.append((r.doc_id, hashlib.sha256((r.text[: len(r.text) - n] + order[(k + 1) % len(order)].text[:n]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in merkle.fingerprints(docs, per_bucket=3).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_fingerprints_follow_the_neighbour(spark, odd):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(0, 90)).replace("w1 ", "w1\n") for _ in range(57)] + odd_texts()
@@ -288,6 +391,51 @@ def test_bpe_is_that_of_the_rank_library(spark, odd):
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_of_very_long_words(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(21)
+    texts = ["x" * 60_000, "".join(rng.choice("abcdeé漢") for _ in range(60_000)), " " * 5_000 + "!" * 5_000, "ab " * 20_000]
+    for r in bpe.encode_decode(documents(spark, texts), RANKS, public_tokenizers.PATTERN).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_remembered_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 3)
+    codec, known = bpe.Codec(RANKS, public_tokenizers.PATTERN), {}
+    rng = random.Random(22)
+    for _ in range(50):
+        t = prose(rng, 12, 9) + "y" * rng.choice([0, 99])
+        assert codec.encode(t, known) == codec.encode(t, {})
+        assert all(len(w) <= bpe.LONGEST for w in known)
+
+
+def test_token_counts_of_the_real_vocabulary(spark):
+    """The query over a whole table against a greedy split that looks every piece up."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    longest, known = max(map(len, pieces)), {}
+
+    def count(word):
+        n = i = 0
+        while i < len(word):
+            k = next((k for k in range(min(longest, len(word) - i), 0, -1) if word[i : i + k] in pieces), 0)
+            n, i = (n + 1, i + k) if k else (n + len(word[i].encode()), i + 1)
+        return n
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        words = (r.text or "").split()
+        want[r.doc_id] = (len(words), sum(known[w] if w in known else known.setdefault(w, count("▁" + w)) for w in words))
+    assert {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.token_counts(docs, PIECES).collect()} == want
+
+
 @pytest.mark.parametrize("n", [5, 16, 500])
 def test_shards_are_even_and_match_the_mixture(spark, n):
     rng = random.Random(8)
