@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
+from turnmill.storage import fresh_path, saved, shared_dir
+
+__all__ = ["bucket_count", "components", "counted_bytes", "free_names", "fresh_path", "hash_key", "running_offsets", "saved", "shared_dir", "small_or_shuffled", "table"]
+
 #: Counted bytes of a side that may be broadcast; larger sides are joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
 
@@ -19,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Where the session names none, a local session gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='turnmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read again: the lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, each with underscores added until ``df`` has no such column."""
     taken, out = {c.lower() for c in df.columns}, []
