@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import saved, small_or_shuffled
+from turnmill.llm.common import free_names, saved, small_or_shuffled
 
 #: Words of a shingle, the least similarity in hundredths, bits of a fingerprint, of a block, and the radius:
 #: of 8 blocks of 8 bits, two fingerprints that differ in 15 bits share one to within one bit.
 WORDS, LEAST, BLOCKS, WIDTH = 5, 80, 8, 8
 RADIUS = 2 * BLOCKS - 1
-LANE = 0x0001000100010001
+#: Two counts of bits in one sum, of 32 bits each.
+LANE = 0x0000000100000001
 
 
 def words_of(text: str) -> Column:
@@ -33,14 +34,15 @@ def shingles(words: str, k: Column | int) -> Column:
 def fingerprints(rows: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
     """(keys, n, fp): the SimHash of the bag of hashes ``h`` of each key.
 
-    A bit is set where more than half of the hashes have it. Sixteen sums hold the 64 counts in lanes of 16 bits.
+    A bit is set where more than half of the hashes have it. 32 sums hold the 64 counts in lanes of 32 bits, enough
+    for two thousand million hashes of a key.
     """
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(h, j).bitwiseAND(LANE)).alias(f"s{j}") for j in range(16)])
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(h, j).bitwiseAND(LANE)).alias(f"s{j}") for j in range(32)])
     fp = F.lit(0).cast("long")
-    for j in range(16):
-        for lane in range(4):
-            on = F.shiftrightunsigned(f"s{j}", 16 * lane).bitwiseAND(0xFFFF) * 2 > F.col("n")
-            bit = 1 << (16 * lane + j)
+    for j in range(32):
+        for lane in range(2):
+            on = F.shiftrightunsigned(f"s{j}", 32 * lane).bitwiseAND(0xFFFFFFFF) * 2 > F.col("n")
+            bit = 1 << (32 * lane + j)
             fp = fp.bitwiseOR(F.when(on, F.lit(bit - (1 << 64) if bit >> 63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
     return sums.select(*keys, "n", fp.alias("fp"))
 
@@ -91,7 +93,7 @@ def window_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataF
     starts = starts.select("doc_id", "tk", "len", "k", F.array_distinct(F.flatten(F.transform("ps", reach))).alias("starts"))
     starts = saved(starts, "starts")
 
-    near = small_or_shuffled(starts.withColumnsRenamed({"doc_id": "hit_id", "tk": "hit_tk"}), 200_000)
+    near = small_or_shuffled(starts.withColumnsRenamed({"doc_id": "hit_id", "tk": "hit_tk"}))
     found = texts.join(near, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tk") == F.col("hit_tk"))).drop("hit_id", "hit_tk")
     found = found.withColumn("h", shingles("w", F.col("k"))).select("doc_id", "tk", "len", "k", "h", F.explode("starts").alias("start"))
     windows = saved(found.select("doc_id", "tk", "len", "start", F.slice("h", F.col("start") + 1, F.col("len") - F.col("k") + 1).alias("hs")).dropDuplicates(["doc_id", "tk", "len", "start"]).withColumn("win", F.monotonically_increasing_id()), "windows")
@@ -102,7 +104,7 @@ def window_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST) -> DataF
     probes = fingerprints(bags, ["item", "item_id", "len"]).select("item", "item_id", "len", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), F.inline(block_values("fp")))
     flipped = F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.col("value").bitwiseXOR(f))
     probes = probes.select("item", "item_id", "len", "item_n", "item_fp", "block", F.explode(flipped).alias("value"))
-    met = prints.select(*key, "n", "fp", F.inline(block_values("fp"))).join(small_or_shuffled(probes, 200_000), ["len", "block", "value"])
+    met = prints.select(*key, "n", "fp", F.inline(block_values("fp"))).join(small_or_shuffled(probes), ["len", "block", "value"])
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*key, "n", "item", "item_id", "item_n").distinct()
 
     counts = bags.groupBy("item", "h").agg(F.count("*").alias("of_item"))
@@ -119,5 +121,6 @@ def spark_empty(docs: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that leak an item; other texts under the same id, or without one, stay."""
-    leaked = window_leaks(docs, items).select(F.col("doc_id").alias("leak_id"), F.col("tk").alias("leak_tk")).distinct()
-    return docs.join(small_or_shuffled(leaked), (F.xxhash64("text") == F.col("leak_tk")) & F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    leak_id, leak_tk = free_names(docs, "leak_id", "leak_tk")
+    leaked = window_leaks(docs, items).select(F.col("doc_id").alias(leak_id), F.col("tk").alias(leak_tk)).distinct()
+    return docs.join(small_or_shuffled(leaked), (F.xxhash64("text") == F.col(leak_tk)) & F.col("doc_id").eqNullSafe(F.col(leak_id)), "left_anti")
