@@ -1,4 +1,4 @@
-"""The named queries of the ten operators, and their SQL where SQL can express them."""
+"""The named queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnmill.llm import bpe, decontaminate, line_dedup, merkle, ngram_join, quality, sharding, token_counts, toxicity, warc
+from turnmill.llm import bpe, decontaminate, line_dedup, merkle, ngram_join, piece_bpe, quality, sharding, target_resample, token_counts, toxicity, warc
 from turnmill.llm.common import table
 from turnmill.session import ship_package
 
@@ -52,8 +52,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_ngram_join, op3_decontamination, op4_warc, op5_quality, op6_fingerprints, op7_bpe, op8_sharding, op9_toxicity, op10_line_dedup]
+    found = [op1_token_counts, op2_ngram_join, op3_decontamination, op4_warc, op5_quality, op6_fingerprints, op7_bpe, op8_sharding, op9_toxicity, op10_line_dedup, op12_target_resample, op13_piece_bpe]
 
     def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op2_ngram_join": ngram_join.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op12_target_resample": target_resample.ORACLE}
