@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnmill.llm import bpe, decontaminate, line_dedup, merkle, ngram_join, piece_bpe, quality, sharding, target_resample, token_counts, toxicity, warc
+from turnmill.llm import bpe, conversations, decontaminate, line_dedup, merkle, ngram_join, piece_bpe, quality, sharding, target_resample, token_counts, toxicity, warc
 from turnmill.llm.common import table
 from turnmill.session import ship_package
 
@@ -52,6 +52,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,7 +65,7 @@ def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_ngram_join, op3_decontamination, op4_warc, op5_quality, op6_fingerprints, op7_bpe, op8_sharding, op9_toxicity, op10_line_dedup, op12_target_resample, op13_piece_bpe]
+    found = [op1_token_counts, op2_ngram_join, op3_decontamination, op4_warc, op5_quality, op6_fingerprints, op7_bpe, op8_sharding, op9_toxicity, op10_line_dedup, op11_conversation_repair, op12_target_resample, op13_piece_bpe]
 
     def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op12_target_resample": target_resample.ORACLE}
+    return {"op2_ngram_join": ngram_join.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op12_target_resample": target_resample.ORACLE}
