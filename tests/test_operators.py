@@ -400,7 +400,7 @@ def test_views_of_turns(spark):
     points = spark.createDataFrame([("a.md", 9), ("a.md", 11), ("a.md", 99), ("b.md", 9)], "source_file string, line int")
     assert {(r.source_file, r.line): r.speech_id for r in review.speech_containing(turn_rows, points, width=4).collect()} == {("a.md", 9): "s1", ("a.md", 11): "s2"}
     expected = spark.createDataFrame([("a.md", 1), ("a.md", 2), ("a.md", 3)], "source_file string, line int")
-    reply = spark.createDataFrame([("a.md", "1: one\n 3) three\nnoise\n9. nine")], "source_file string, reply string")
+    reply = spark.createDataFrame([("a.md", "1: one\n 3| three\n2) two\nnoise\n9. nine")], "source_file string, reply string")
     assert {r.line: r.text for r in review.reply_lines(reply, expected).collect()} == {1: "one", 2: "", 3: "three"}
     assert [r.up for r in review.translated(expected, lambda frames: (f.assign(up=f.line * 2)[["up"]] for f in frames), "up long").orderBy("up").collect()] == [2, 4, 6]
     cached = spark.createDataFrame([("a.md", 3)], "source_file string, line int")

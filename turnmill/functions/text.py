@@ -17,8 +17,12 @@ def java(pattern: str) -> str:
 BLANKS = r"(?U)[\s\x1c-\x1f]"
 
 
+#: Runs of white space but for a single space, which stays as it is.
+_UNEVEN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+
+
 def compact(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANKS + "+", " "))
+    return F.trim(F.regexp_replace(text, _UNEVEN, " "))
 
 
 def stripped(text: Column) -> Column:
@@ -63,11 +67,20 @@ def is_office(text: Column, lex: Lexicon = ARABIC) -> Column:
     return matches(text, lex.office, lex) | F.arrays_overlap(words, F.array(*map(F.lit, lex.title_words)))
 
 
+#: Where Python splits lines, and texts that are short or numbers however they are spaced.
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_SHORT = r"(?U)^(?:[\s\x1c-\x1f]*[^\s\x1c-\x1f]{0,2}[\s\x1c-\x1f]*|[\d\s\x1c-\x1f/\u2011\u0640-]+)$"
+_FIRST_LINE = r"(?U)^[\s\x1c-\x1f]*([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)"
+
+
 def is_noise(text: Column, lex: Lexicon = ARABIC) -> Column:
-    """Shorter than 3 characters, nothing but digits, slashes, hyphens and stretches, or furniture on every line that isn't blank."""
-    c, lines = compact(text), F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    furniture = F.forall(lines, lambda x: (stripped(x) == "") | matches(stripped(x), lex.noise_line, lex))
-    return (F.length(c) < 3) | c.rlike(r"(?U)^[\d\s/\u2011\u0640-]+$") | furniture
+    """Shorter than 3 characters, nothing but digits, slashes, hyphens and stretches, or furniture on every line that isn't blank.
+
+    Lines are only split where the first one is furniture.
+    """
+    furniture = lambda line: matches(stripped(line), lex.noise_line, lex)
+    all_lines = F.forall(F.split(text, LINE_BREAK), lambda x: (stripped(x) == "") | furniture(x))
+    return text.rlike(_SHORT) | F.when(furniture(F.regexp_extract(text, _FIRST_LINE, 1)), all_lines).otherwise(False)
 
 
 def is_substantive(text: Column, lex: Lexicon = ARABIC) -> Column:
@@ -85,8 +98,9 @@ def is_plain_boundary(text: Column, lex: Lexicon = ARABIC) -> Column:
 
 def is_procedural(text: Column, lex: Lexicon = ARABIC) -> Column:
     c = compact(text)
-    hits, words = F.regexp_count(folded(c, lex), F.lit(java(lex.procedural))), word_count(c)
-    return ((hits >= 1) & (words <= 30)) | ((hits >= 3) & (words <= 60))
+    seen, words = folded(c, lex), word_count(c)
+    few = (words <= 30) | ((words <= 60) & (F.regexp_count(seen, F.lit(java(lex.procedural))) >= 3))
+    return F.when(seen.rlike(java(lex.procedural)), few).otherwise(False)
 
 
 def block_type(text: Column, lex: Lexicon = ARABIC) -> Column:

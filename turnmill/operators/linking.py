@@ -13,14 +13,20 @@ from turnmill.functions.lexicon import ARABIC, FUZZY_LEAST, FUZZY_RULES, Lexicon
 from turnmill.sources.tables import TURN_FIELDS
 from turnmill.storage import saved
 
+#: Characters by which contained names and the texts around them meet.
+GRAM = 3
 #: Members linked with less confidence are to be reviewed.
 REVIEW_BELOW = 0.78
-#: Rosters of at most this many rows are broadcast; larger ones are joined by period with a shuffle.
-ROSTER_ROWS = 200_000
+#: Dimensions of at most this many counted bytes are broadcast; larger ones are joined by a shuffle.
+ROSTER_BYTES = 24 << 20
 
 
-def sized(dim: DataFrame, limit: int = ROSTER_ROWS) -> DataFrame:
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+def sized(dim: DataFrame, limit: int = ROSTER_BYTES) -> DataFrame:
+    """``dim``, written once and counted: with the hint to broadcast it if its strings and 16 bytes a column are within ``limit``."""
+    kept = saved(dim, "dimension")
+    lengths = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in kept.schema if f.dataType.simpleString() == "string"]
+    size = kept.select(sum(lengths, F.count("*") * 16 * len(kept.columns))).first()[0]
+    return F.broadcast(kept) if size <= limit else kept
 
 
 def subsequence(small: Column, big: Column) -> Column:
@@ -47,6 +53,18 @@ def subsequence_match(cands: DataFrame, dim: DataFrame, method: str, confidence:
     return unique_match(many, named, first & subsequence(words("cand_norm"), words("name_norm")), method, confidence)
 
 
+def contained_match(cands: DataFrame, dim: DataFrame, method: str, confidence: float) -> DataFrame:
+    """As ``unique_match``, for candidates whose text holds a name anywhere.
+
+    A text that holds a name holds the name's first ``GRAM`` characters, so both sides meet by period and these.
+    """
+    begun = dim.where("name_norm <> ''").withColumn("name_gram", F.left("name_norm", F.lit(GRAM)))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.length("cand_norm") - (k - 1)), lambda i: F.substring(F.col("cand_norm"), i, F.lit(k)))
+    grams = F.array_distinct(F.concat(*[F.when(F.length("cand_norm") >= k, runs(k)).otherwise(F.array().cast("array<string>")) for k in range(1, GRAM + 1)]))
+    near = cands.select("*", F.explode(grams).alias("gram"))
+    return unique_match(near, begun, (F.col("gram") == F.col("name_gram")) & F.contains("cand_norm", "name_norm"), method, confidence)
+
+
 def alias_match(cands: DataFrame, aliases: DataFrame, dim: DataFrame) -> DataFrame:
     """(cand_id, mp_id, method, confidence): candidates by their alias, if its person has one row in the candidate's period."""
     known = sized(aliases.groupBy("variant_norm").agg(F.min("mp_id").alias("alias_mp")))
@@ -74,14 +92,46 @@ def ratio(a: str, b: str) -> Column:
     return of(a, b)
 
 
+def letters(text: Column) -> Column:
+    """The characters with their number so far, so that what two arrays have in common is what the texts have in common as bags."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def similar_pairs(cands: DataFrame, dim: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
+    """The pairs of one period whose texts have enough characters in common to reach a ratio of ``least``.
+
+    Twice the common characters over both lengths is the most that the ratio can be. Of a text of n characters such a pair
+    shares n * least / (2 - least) at least, so it shares one of the rarest others and one more: pairs meet by period and one
+    of these, at the first that they have in common, and are then decided by the exact bound.
+    """
+    share = least / (2 - least)
+    few = dim.withColumn("name_letters", letters(F.col("name_norm")))
+    counts = few.select(F.explode("name_letters").alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+    counts = sized(counts)  # letters of a script and their numbers
+
+    def with_prefix(rows: DataFrame, bag: str, key: list[str], name: str) -> DataFrame:
+        each = rows.select(*key, F.explode(bag).alias("letter")).join(counts, "letter", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter")))
+        ranked = each.groupBy(*key).agg(F.transform(order, lambda x: x["letter"]).alias(name))
+        size = F.size(name) - F.ceil(F.size(name) * share - 1e-9).cast("int") + 1
+        return rows.join(ranked.withColumn(name, F.slice(name, F.lit(1), size)), key)
+
+    left = with_prefix(cands.withColumn("cand_letters", letters(F.col("cand_norm"))), "cand_letters", ["cand_id"], "cand_rare")
+    names = with_prefix(few.select("name_norm", "name_letters").distinct(), "name_letters", ["name_norm"], "name_rare")
+    right = dim.join(sized(names), "name_norm")
+    met = left.select("*", F.explode("cand_rare").alias("rare")).join(right.select("*", F.explode("name_rare").alias("name_at")), (F.col("period") == F.col("roster_period")) & (F.col("rare") == F.col("name_at")))
+    first = F.filter("cand_rare", lambda x: F.array_contains("name_rare", x))[0] == F.col("rare")
+    most = 2.0 * F.size(F.array_intersect("cand_letters", "name_letters")) / (F.size("cand_letters") + F.size("name_letters"))
+    return met.where(first & (most >= least)).drop("rare", "name_at", "cand_rare", "name_rare", "cand_letters", "name_letters")
+
+
 def fuzzy_match(cands: DataFrame, dim: DataFrame, rules=FUZZY_RULES, least: float = FUZZY_LEAST) -> DataFrame:
     """(cand_id, mp_id, method, confidence): the best name of the period, if it leads the second by the rule's margin.
 
-    Lengths bound the ratio, so pairs that can't reach ``least`` aren't compared.
+    Only ``similar_pairs`` are compared.
     """
-    short, long = F.least(F.length("name_norm"), F.length("cand_norm")), F.greatest(F.length("name_norm"), F.length("cand_norm"))
-    pairs = cands.join(dim, (cands.period == dim.roster_period) & (2 * short >= least * (short + long)))
-    scored = pairs.withColumn("ratio", ratio("cand_norm", "name_norm")).where(F.col("ratio") >= least)
+    scored = similar_pairs(cands, dim, least).withColumn("ratio", ratio("cand_norm", "name_norm")).where(F.col("ratio") >= least)
     top = leaders(scored, "cand_id", "ratio", ["mp_id"])
     conf = F.lit(None).cast("double")
     for low, margin, c in reversed(rules):
@@ -105,7 +155,7 @@ def link(candidates: DataFrame, roster: DataFrame, aliases: DataFrame | None = N
     cands = saved(cands, "candidates")
     tiers = [
         lambda c: unique_match(c, dim, c.cand_norm == dim.name_norm, "exact_period_roster", F.when(F.col("cand_norm") == F.col("full_norm"), 1.0).otherwise(0.95)),
-        lambda c: unique_match(c, dim, F.contains(c.cand_norm, dim.name_norm), "roster_name_contained_in_candidate", 0.9),
+        lambda c: contained_match(c, dim, "roster_name_contained_in_candidate", 0.9),
         lambda c: subsequence_match(c, dim, "candidate_tokens_in_roster_name", 0.9),
     ]
     if aliases is not None:
@@ -167,7 +217,7 @@ def linked_turns(turns: DataFrame, roster: DataFrame, aliases: DataFrame | None
     extra = {"name": "mp_name_ar", "name_transliterated": "mp_name_transliterated", "party": "mp_party_ar", "district": "mp_district_ar"}
     have = [c for c in extra if c in roster.columns]
     people = roster.groupBy(F.col("mp_id").alias("person"), F.col("period").alias("person_period")).agg(F.min(F.struct(*have)).alias("about"))
-    cues = turns.withColumnsRenamed({"speaker_target_clean": "candidate", "legislature_period": "period", "assignment_method": "cue_method"})
+    cues = saved(turns, "found-turns").withColumnsRenamed({"speaker_target_clean": "candidate", "legislature_period": "period", "assignment_method": "cue_method"})
     rows = link(cues, roster, aliases, lex)
     rows = rows.join(sized(people), (F.col("mp_id") == F.col("person")) & (F.col("period") == F.col("person_period")), "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -25,11 +25,16 @@ def islands(rows: DataFrame, key: str, order: str, starts: Column, name: str = "
     return rows.withColumn(name, F.sum(starts.cast("int")).over(w))
 
 
-def paragraphs(all_lines: DataFrame, key: str = "doc_id", sep: str = "\n") -> DataFrame:
-    """(key, par, start_line, end_line, text): runs of lines that aren't blank, each right-stripped, numbered from 1."""
+def paragraphs(all_lines: DataFrame, key: str = "doc_id", sep: str = "\n", strip: str = "right") -> DataFrame:
+    """(key, par, start_line, end_line, text): runs of lines that aren't blank, joined by ``sep``, numbered from 1.
+
+    Lines are stripped on the right, or with ``strip="both"`` at both ends, as a translation wants them in one line.
+    """
+    if strip not in ("right", "both"):
+        raise ValueError(f"strip is right or both, not {strip}")
     blank = F.trim(F.regexp_replace("line", r"(?U)\s+", " ")) == ""
     runs = islands(all_lines.withColumn("blank", blank), key, "line_no", F.col("blank")).where(~F.col("blank"))
-    runs = runs.withColumn("line", F.regexp_replace("line", r"(?U)\s+$", ""))
+    runs = runs.withColumn("line", T.stripped(F.col("line")) if strip == "both" else F.regexp_replace("line", r"(?U)\s+$", ""))
     grouped = runs.groupBy(key, "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), joined(key, "line_no", "line", sep).alias("text"))
     return grouped.withColumn("par", F.row_number().over(Window.partitionBy(key).orderBy("island"))).select(key, "par", "start_line", "end_line", "text")
 

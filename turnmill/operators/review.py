@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.functions.text import first_filled
+from turnmill.functions.text import LINE_BREAK, first_filled, stripped
 from turnmill.operators import joins
+from turnmill.sources.tables import strings_of
 
 REVIEW = "struct<sourceFile:string,decisions:map<string,string>,additionalHandoffs:array<struct<line:int,note:string,text:string,createdAt:string>>>"
 DECISIONS = ("accepted", "rejected")
@@ -77,23 +78,41 @@ def sample_rows(turns: DataFrame, n: int = 50, seed: str = "20260704", least_wor
     return drawn.orderBy("inferred_date", "speech_id")
 
 
-def translation_ranges(pars: DataFrame, wanted: DataFrame, cached: DataFrame) -> DataFrame:
-    """Paragraphs (source_file, start_line, end_line, text) that touch ``wanted`` (lo, hi) and aren't in ``cached`` (source_file, line)."""
-    near = pars.join(F.broadcast(wanted) if wanted.limit(100_001).count() <= 100_000 else wanted, "source_file").where("end_line >= lo AND start_line <= hi")
-    return pending(near, cached.withColumnRenamed("line", "start_line"), ["source_file", "start_line"])
+#: Lines that one asked range covers at most.
+RANGE_MAX_LINES = 300
+#: Digits of other scripts that number lines, as ASCII ones.
+_DIGITS, _PLAIN = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
+
+
+def translation_ranges(pars: DataFrame, wanted: DataFrame, cached: DataFrame, most_lines: int = RANGE_MAX_LINES, width: int = 200) -> DataFrame:
+    """Paragraphs (source_file, start_line, end_line, text) that touch ``wanted`` (source_file, lo, hi) and aren't in ``cached`` (source_file, line).
+
+    A range begins at line 1 at least and is cut after ``most_lines`` lines. Both sides meet in cells of ``width`` lines;
+    a paragraph of several ranges comes once.
+    """
+    ranges = wanted.select("source_file", F.greatest("lo", F.lit(1)).alias("lo"), "hi").select("source_file", "lo", F.least("hi", F.col("lo") + (most_lines - 1)).alias("hi")).where("lo <= hi")
+    spans = pars.select("source_file", "start_line", "end_line", F.col("start_line").alias("r_lo"), F.col("end_line").alias("r_hi"))
+    near = joins.overlapping(ranges, spans, ["source_file"], width).select("source_file", "start_line").distinct()
+    return pending(pars.join(near, ["source_file", "start_line"]), cached.withColumnRenamed("line", "start_line"), ["source_file", "start_line"])
 
 
 def reply_lines(reply: DataFrame, expected: DataFrame) -> DataFrame:
-    """(source_file, line, text): numbered lines of a reply, put to the expected lines; missing ones are empty."""
-    row = F.explode(F.split("reply", "\n"))
-    got = reply.select("source_file", row.alias("row")).select("source_file", F.regexp_extract("row", r"^\s*(\d+)\s*[:.)\t]\s*(.*)$", 1).try_cast("int").alias("line"), F.regexp_extract("row", r"^\s*(\d+)\s*[:.)\t]\s*(.*)$", 2).alias("text"))
-    return expected.join(got.where("line IS NOT NULL").dropDuplicates(["source_file", "line"]), ["source_file", "line"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """(source_file, line, text): numbered lines of a reply, put to the expected lines; missing ones are empty.
+
+    A number is followed by a tab, bar, colon, full stop or hyphen. Of several lines of one number the last counts. Of several
+    replies of a file the greatest text does, as rows have no order.
+    """
+    numbered = r"(?U)^[\s\x1c-\x1f]*(\d+)[\s\x1c-\x1f]*[\t|:.\-][\s\x1c-\x1f]*(.*)$"
+    rows = reply.select("source_file", F.posexplode(F.split("reply", LINE_BREAK)).alias("pos", "row"))
+    got = rows.select("source_file", "pos", F.translate(F.regexp_extract("row", numbered, 1), _DIGITS, _PLAIN).try_cast("int").alias("line"), stripped(F.regexp_extract("row", numbered, 2)).alias("text"))
+    last = got.where("line IS NOT NULL").groupBy("source_file", "line").agg(F.max_by("text", F.struct("pos", "text")).alias("text"))
+    return expected.join(last, ["source_file", "line"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def reply_object(payload: Column, keys: list[str]) -> Column:
-    """The string values of the asked keys in a JSON reply, code fences removed; other keys and kinds are dropped."""
-    bare = F.regexp_replace(F.trim(payload), r"(?s)^```(?:json)?\s*|\s*```$", "")
-    return F.map_filter(F.coalesce(F.from_json(bare, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*keys) & v.isNotNull())
+    """The stripped string values of the asked keys in a JSON reply, code fences removed; other keys and kinds are dropped."""
+    bare = F.regexp_replace(stripped(payload), r"(?s)^```(?:json)?\s*|\s*```$", "")
+    return F.transform_values(F.map_filter(strings_of(bare), lambda k, v: k.isin(*keys)), lambda k, v: stripped(v))
 
 
 def response_text(payload: Column) -> Column:

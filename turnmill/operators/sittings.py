@@ -24,24 +24,31 @@ def covered(date: Column) -> Column:
     return F.coalesce(date.between(F.lit(L.CALENDAR_FROM).cast("date"), F.lit(L.CALENDAR_TO).cast("date")), F.lit(False))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """With ``row_no``, the place of a row in its table: its own column, else the place in which it is read."""
+    return rows if "row_no" in rows.columns else rows.withColumn("row_no", F.monotonically_increasing_id())
+
+
 def numbered(manifest: DataFrame) -> DataFrame:
-    """The manifest (doc_id, md_file, sitting_date, date_source) with period, seq, series and dates parsed."""
+    """The manifest (doc_id, md_file, sitting_date, date_source[, row_no]) with period, seq, series and dates parsed."""
     parts = D.stem_parts(F.col("doc_id"))
-    return manifest.select("doc_id", F.substring_index("md_file", "/", -1).alias("source_file"), F.col("sitting_date").alias("date_raw"), "date_source", *[v.alias(k) for k, v in parts.items()]).withColumn("date", D.parse_iso(F.col("date_raw")))
+    return in_order(manifest).select("row_no", "doc_id", F.substring_index("md_file", "/", -1).alias("source_file"), F.col("sitting_date").alias("date_raw"), "date_source", *[v.alias(k) for k, v in parts.items()]).withColumn("date", D.parse_iso(F.col("date_raw")))
 
 
 def on_backbone(rows: DataFrame, date: str, least: int = 1) -> DataFrame:
-    """Adds ``seq_ok``: on the longest run of dates of its period and series; null where there is no number or date."""
-    dated = rows.where(F.col(date).isNotNull() & F.col("seq").isNotNull() & (F.col("period") != ""))
-    batches = dated.groupBy("period", "series").agg(F.count("*").alias("k")).where(F.col("k") >= least).drop("k")
-    runs = longest_run(dated.join(batches, ["period", "series"]), ["period", "series"], ["seq", "doc_id"], date)
-    return rows.join(runs.select("doc_id", F.col("on").alias("seq_ok")), "doc_id", "left")
+    """Adds ``seq_ok``: on the longest run of dates of its period and series; null where there is no number or date. Each row stays one row."""
+    fit = F.col("seq").isNotNull() & (F.col("period") != "")
+    runs = longest_run(rows.withColumn("run_value", F.when(fit, F.unix_date(date))), ["period", "series"], ["seq", "doc_id", "row_no"], "run_value", least)
+    return runs.drop("run_value").withColumnRenamed("on", "seq_ok")
 
 
 def anchored(rows: DataFrame, keys: list[str], order: str, anchor: Column) -> DataFrame:
-    """Adds ``window_lo`` and ``window_hi``: the greatest anchor of strictly smaller and the least of strictly greater numbers."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("window_lo", F.max(anchor).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("window_hi", F.min(anchor).over(w.rangeBetween(1, Window.unboundedFollowing)))
+    """Adds ``window_lo`` and ``window_hi``: the greatest anchor of strictly smaller and the least of strictly greater numbers.
+
+    The latter is taken in falling order: a frame that starts before all rows grows, one that ends after all is computed anew for each row.
+    """
+    before = lambda *by: Window.partitionBy(*keys).orderBy(*by).rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("window_lo", F.max(anchor).over(before(order))).withColumn("window_hi", F.min(anchor).over(before(F.desc(order))))
 
 
 def on_calendar(rows: DataFrame, date: str, calendar: DataFrame) -> DataFrame:
@@ -49,12 +56,13 @@ def on_calendar(rows: DataFrame, date: str, calendar: DataFrame) -> DataFrame:
     return rows.join(calendar.select(F.col("day").alias(date)).distinct(), date, "left_semi")
 
 
-def crowded(rows: DataFrame, date: str, most: int = L.MOST_SITTINGS) -> DataFrame:
+def crowded(rows: DataFrame, date: str, most: int = L.MOST_SITTINGS, counted: DataFrame | None = None) -> DataFrame:
     """Adds ``collision``: fail where more than ``most`` rows share the date, else pass; na without one.
 
-    Rows are counted by date before they meet the counts, so that a crowded date is no single task's group.
+    Rows are counted by date before they meet the counts, so that a crowded date is no single task's group. ``counted``
+    has the dates to count where they can be read more cheaply than by computing ``rows`` twice.
     """
-    days = rows.where(F.col(date).isNotNull()).groupBy(F.col(date).alias("crowded_day")).agg(F.count("*").alias("same_day"))
+    days = (rows if counted is None else counted).where(F.col(date).isNotNull()).groupBy(F.col(date).alias("crowded_day")).agg(F.count("*").alias("same_day"))
     marked = rows.join(days, F.col(date) == F.col("crowded_day"), "left")
     return marked.withColumn("collision", F.when(F.col("same_day").isNull(), "na").when(F.col("same_day") > most, "fail").otherwise("pass")).drop("crowded_day", "same_day")
 
@@ -103,7 +111,7 @@ def triangulated(manifest: DataFrame, calendar: DataFrame | None = None) -> Data
     )
     out = rows.withColumn("date_flag", flag).withColumn("suggested_date", F.when(F.col("date_flag") == "repaired_year", repaired))
     final = F.when(F.col("date_flag") == "repaired_year", F.col("suggested_date")).when(~F.col("date_flag").startswith("conflict"), F.col("date"))
-    return out.select("doc_id", "source_file", "date_raw", "date_source", "period", "series", "seq", "in_marsad", "seq_ok", "in_bounds", "date_flag", final.alias("final_date"), "suggested_date", "window_lo", "window_hi")
+    return out.select("doc_id", "source_file", "date_raw", "date_source", "period", "series", "seq", "in_marsad", "seq_ok", "in_bounds", "date_flag", final.alias("final_date"), "suggested_date", "window_lo", "window_hi", "row_no")
 
 
 def header_dates(bodies: DataFrame, most_lines: int = L.HEADER_LINES) -> DataFrame:
@@ -127,25 +135,25 @@ def resolved(tri: DataFrame, bodies: DataFrame, calendar: DataFrame | None = Non
     the sequence's ends. Days and windows meet by month, so that no row is held against all days.
     """
     low, high = D.year_bounds(F.when(F.col("period") != "", F.col("period")))
-    open_rows = tri.where(F.col("date_flag").startswith("conflict")).select("doc_id", "date_raw", "date_flag", "window_lo", "window_hi", F.greatest("window_lo", low).alias("lo"), F.least("window_hi", high).alias("hi"))
+    open_rows = tri.where(F.col("date_flag").startswith("conflict")).select("row_no", "doc_id", "date_raw", "date_flag", "window_lo", "window_hi", F.greatest("window_lo", low).alias("lo"), F.least("window_hi", high).alias("hi"))
     bound = open_rows.where("lo IS NOT NULL AND hi IS NOT NULL")
     seen = header_dates(bodies.join(bound.select("doc_id"), "doc_id", "left_semi")).join(bound, "doc_id").where("date BETWEEN lo AND hi")
-    of_text = seen.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.date_format("date", "yyyy-MM-dd"))), ";").alias("text_days"))
-    by_text = most_common(seen, "doc_id", "date", ["line_no", "pos"]).select("doc_id", F.col("date").alias("text_date"), F.format_string("text_window(n=%d)", "n").alias("text_how"))
-    out = open_rows.join(by_text, "doc_id", "left").join(of_text, "doc_id", "left")
+    of_text = seen.groupBy("row_no").agg(F.array_join(F.array_sort(F.collect_set(F.date_format("date", "yyyy-MM-dd"))), ";").alias("text_days"))
+    by_text = most_common(seen, "row_no", "date", ["line_no", "pos"]).select("row_no", F.col("date").alias("text_date"), F.format_string("text_window(n=%d)", "n").alias("text_how"))
+    out = open_rows.join(by_text, "row_no", "left").join(of_text, "row_no", "left")
     squeezed = F.when(F.col("window_lo") == F.col("window_hi"), F.col("window_lo"))
     if usable(calendar):
         days = calendar.select("day", F.trunc("day", "MM").alias("month")).distinct()
-        months = bound.where("lo <= hi").select("doc_id", "window_lo", "window_hi", "lo", "hi", F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+        months = bound.where("lo <= hi").select("row_no", "window_lo", "window_hi", "lo", "hi", F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
         inside = months.join(days, "month").where("day BETWEEN lo AND hi AND NOT day <=> window_lo AND NOT day <=> window_hi")
-        found = inside.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("day").alias("first_day"), F.array_join(F.array_sort(F.collect_set(F.date_format("day", "yyyy-MM-dd"))), ";").alias("calendar_days"))
-        out = out.join(found, "doc_id", "left").withColumn("only_day", F.when(F.col("k") == 1, F.col("first_day")))
+        found = inside.groupBy("row_no").agg(F.count("*").alias("k"), F.min("day").alias("first_day"), F.array_join(F.array_sort(F.collect_set(F.date_format("day", "yyyy-MM-dd"))), ";").alias("calendar_days"))
+        out = out.join(found, "row_no", "left").withColumn("only_day", F.when(F.col("k") == 1, F.col("first_day")))
     else:
         out = out.withColumns({"only_day": F.lit(None).cast("date"), "calendar_days": F.lit(None).cast("string")})
     date = F.coalesce("text_date", squeezed, "only_day")
     how = F.when(F.col("text_date").isNotNull(), F.col("text_how")).when(squeezed.isNotNull(), "squeeze").when(F.col("only_day").isNotNull(), "marsad_unique").otherwise("")
     days_read = F.when(F.col("text_date").isNotNull(), F.col("text_days")).when(squeezed.isNull(), F.col("calendar_days"))
-    out = out.select("doc_id", "date_raw", "date_flag", "window_lo", "window_hi", date.alias("resolved_date"), how.alias("resolution"), F.coalesce(days_read, F.lit("")).alias("candidates"))
+    out = out.select("doc_id", "date_raw", "date_flag", "window_lo", "window_hi", date.alias("resolved_date"), how.alias("resolution"), F.coalesce(days_read, F.lit("")).alias("candidates"), "row_no")
     if not usable(calendar):
         return out.withColumn("in_marsad", F.lit(None).cast("boolean"))
     known = calendar.select(F.col("day").alias("resolved_date"), F.lit(True).alias("known")).distinct()
@@ -157,29 +165,33 @@ def merged(tri: DataFrame, res: DataFrame) -> DataFrame:
 
     A resolved conflict and a repaired year are ``repaired``, with what repaired them as the source; other
     conflicts are ``conflict:unresolved`` without a date; all others keep their date. date_flag leaves most soft flags
-    out; flag_raw has them.
+    out; flag_raw has them. Of several rows of one id the last stays.
     """
-    rows = tri.join(res.select("doc_id", "resolved_date", "resolution"), "doc_id", "left")
+    rows = tri.join(res.select("row_no", "resolved_date", "resolution"), "row_no", "left")
     flag, found = F.col("date_flag"), F.col("resolved_date").isNotNull()
     conflict = flag.startswith("conflict")
     out_flag = F.when(conflict & found, "repaired").when(flag == "repaired_year", "repaired").when(conflict, "conflict:unresolved").when(flag == "ok", "verified_marsad").when(flag == "soft:not_marsad_plenary", flag).otherwise("")
     source = F.when(conflict & found, F.substring_index("resolution", "(", 1)).when(flag == "repaired_year", flag).otherwise(F.col("date_source"))
     final = F.when(conflict, F.col("resolved_date")).otherwise(F.col("final_date"))
-    return rows.select("doc_id", "source_file", final.alias("final_date"), source.alias("date_source"), "period", "series", "seq", out_flag.alias("date_flag"), flag.alias("flag_raw"))
+    out = rows.select("row_no", "doc_id", "source_file", final.alias("final_date"), source.alias("date_source"), "period", "series", "seq", out_flag.alias("date_flag"), flag.alias("flag_raw"))
+    last = out.groupBy("doc_id").agg(F.max_by(F.struct(*out.columns), "row_no").alias("row"))
+    return last.select(*[f"row.{c}" for c in out.columns if c != "row_no"])
 
 
-def text_gates(final: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(doc_id, weekday, hijri, recurrence, suggested_date, evidence): pass, fail or na from what the documents say themselves.
+def with_text_gates(final: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``final`` with weekday, hijri, recurrence, suggested_date and evidence: pass, fail or na from what the documents say themselves.
 
     The first weekday of the header counts if a date stands wholly within the characters after it. evidence tells
-    what was read.
+    what was read. Each row of ``final`` stays one row; ``bodies`` has a row for each id.
     """
     weekday_names, weekday_no = D._words(L.WEEKDAYS)
     hijri_names, hijri_no = D._words(L.HIJRI_MONTHS)
     months = "|".join(sorted([*L.HIJRI_MONTHS, *L.GREGORIAN_MONTHS], key=len, reverse=True))
     head = F.replace(F.substring_index(D.fold(F.col("body")), "\n", L.HEADER_LINES), F.lit("\n"), F.lit("\n "))
     signal = rf"\d{{1,2}}\s+(?:{months})|1[34]\d{{2}}|(?:19|20)\d{{2}}"
-    rows = final.join(bodies, "doc_id", "left").withColumn("head", F.coalesce(head, F.lit(""))).withColumn("band", D.year_band(F.concat_ws(" ", "doc_id", "source_file")))
+    final = in_order(final)
+    read_rows = final.join(bodies.select("doc_id", "body"), "doc_id", "left").withColumn("band", D.year_band(F.concat_ws(" ", "doc_id", "source_file")))
+    rows = read_rows.withColumn("head", F.coalesce(head, F.lit("")))
     first = rf"(?s)^.*?يوم\s+({weekday_names})"
     said, upto = F.regexp_extract("head", first, 1), F.length(F.regexp_extract("head", first, 0))
     counts = (said != "") & F.substring(F.col("head"), upto + 1, F.lit(L.SIGNAL_WITHIN)).rlike(signal)
@@ -190,17 +202,26 @@ def text_gates(final: DataFrame, bodies: DataFrame) -> DataFrame:
     in_band = F.col("band").isNull() | F.year(greg).between(F.col("band.low"), F.col("band.high"))
     hijri = F.when(greg.isNull() | ~in_band, "na").when(F.abs(F.datediff(greg, "final_date")) <= L.HIJRI_DAYS, "pass").otherwise("fail")
     read = [F.when(counts, F.concat(F.lit("weekday:"), said)), F.when(hijri != "na", F.concat(F.lit("hijri:"), F.concat_ws(" ", part(1), part(2), part(3)), F.lit("->"), F.date_format(greg, "yyyy-MM-dd")))]
-    own = rows.select("doc_id", "final_date", "band", weekday.alias("weekday"), hijri.alias("hijri"), F.array(*read).alias("read"))
-    lines = bodies.select("doc_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.posexplode(D.dates_in_line(D.fold(F.col("line")))).alias("pos", "date"))
-    lines = lines.join(own.select("doc_id", "band", "final_date"), "doc_id").where(F.col("band").isNull() | F.year("date").between(F.col("band.low"), F.col("band.high")))
-    top = most_common(lines, "doc_id", "date", ["line_no", "pos"]).withColumnsRenamed({"date": "top_date", "n": "top_n"})
-    own_n = lines.where(F.col("date") == F.col("final_date")).groupBy("doc_id").agg(F.count("*").alias("own_n"))
-    out = own.join(top, "doc_id", "left").join(own_n, "doc_id", "left").withColumn("own_n", F.coalesce("own_n", F.lit(0)))
+    own = rows.select(*final.columns, weekday.alias("weekday"), hijri.alias("hijri"), F.array(*read).alias("read"))
+    # all dates of a body: counted by document and date, then by document, on the partitions of the join above
+    lines = read_rows.select("doc_id", "row_no", "final_date", "band", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "row_no", "final_date", "band", "line_no", F.posexplode(D.dates_in_line(D.fold(F.col("line")))).alias("pos", "date"))
+    lines = lines.where(F.col("band").isNull() | F.year("date").between(F.col("band.low"), F.col("band.high")))
+    counts = lines.groupBy("doc_id", "row_no", "final_date", "date").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "pos")).alias("first"))
+    earliest = F.struct("n", -F.col("first.line_no"), -F.col("first.pos"))
+    top = counts.groupBy("doc_id", "row_no").agg(F.max_by("date", earliest).alias("top_date"), F.max("n").alias("top_n"), F.max(F.when(F.col("date") == F.col("final_date"), F.col("n"))).alias("own_n"))
+    out = own.join(top.drop("doc_id"), "row_no", "left").withColumn("own_n", F.coalesce("own_n", F.lit(0)))
     agrees = (F.col("top_date") == F.col("final_date")) | (F.col("own_n") >= F.greatest(F.lit(2), F.col("top_n") - 1))
     recurrence = F.when(F.coalesce("top_n", F.lit(0)) < 2, "na").when(agrees, "pass").when((F.col("top_n") >= 3) & (F.col("own_n") == 0), "fail").otherwise("na")
     mode = F.when(F.col("top_n") >= 2, F.concat(F.lit("recurrence:mode="), F.date_format("top_date", "yyyy-MM-dd"), F.lit("x"), F.col("top_n").cast("string")))
     evidence = F.array_join(F.concat("read", F.array(mode)), "; ")
-    return out.withColumn("recurrence", recurrence).select("doc_id", "weekday", "hijri", "recurrence", F.when(F.col("recurrence") == "fail", F.col("top_date")).alias("suggested_date"), evidence.alias("evidence"))
+    out = out.withColumn("recurrence", recurrence)
+    return out.select(*final.columns, "weekday", "hijri", "recurrence", F.when(F.col("recurrence") == "fail", F.col("top_date")).alias("suggested_date"), evidence.alias("evidence"))
+
+
+def text_gates(final: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(doc_id, weekday, hijri, recurrence, suggested_date, evidence) of each row of ``final``."""
+    return with_text_gates(final, bodies).select("doc_id", "weekday", "hijri", "recurrence", "suggested_date", "evidence")
 
 
 def verdict(date: Column, gates: dict[str, Column]) -> Column:
@@ -218,7 +239,7 @@ def verdict(date: Column, gates: dict[str, Column]) -> Column:
 
 def gated(final: DataFrame, bodies: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """``final`` with the six gates, how many pass and fail, the verdict, a suggested date and the evidence."""
-    rows = final.join(text_gates(final, bodies), "doc_id", "left")
+    rows = with_text_gates(final, bodies)
     if usable(calendar):
         days = calendar.select("day").distinct()
         rows = rows.join(days, F.col("final_date") == F.col("day"), "left")
@@ -227,7 +248,7 @@ def gated(final: DataFrame, bodies: DataFrame, calendar: DataFrame | None = None
         rows = rows.withColumn("marsad", F.lit("na"))
     rows = on_backbone(rows, "final_date", least=3)
     rows = rows.withColumn("sequence", F.when(F.col("seq_ok").isNull(), "na").when(F.col("seq_ok"), "pass").otherwise("fail"))
-    rows = crowded(rows, "final_date")
+    rows = crowded(rows, "final_date", counted=final.select("final_date"))
     gates = {g: F.when(F.col("final_date").isNull(), "na").otherwise(F.coalesce(g, F.lit("na"))) for g in GATES}
     count = lambda state: sum((g == state).cast("int") for g in gates.values())
     dated = F.col("final_date").isNotNull()

@@ -6,6 +6,7 @@ Data are reduced to counts, means and cross products on Spark; only matrices of
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -106,15 +107,59 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_tail(df / 2, 0.5, df / (df + t * t))
 
 
-def welch(df: DataFrame, value: str, group: str) -> dict[str, float]:
-    """t, df, p and both means of a two-sided test of unequal variances between the two values of ``group``."""
-    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).orderBy(group).collect()
+def beta_quantile(a: float, b: float, p: float) -> float:
+    """x with ``beta_tail(a, b, x) = p``: Newton's steps where they stay within the bracket, else its middle."""
+    if not 0 < p < 1:
+        return float(p >= 1)
+    low, high, x = 0.0, 1.0, a / (a + b)
+    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    for _ in range(200):
+        off = beta_tail(a, b, x) - p
+        low, high = (x, high) if off < 0 else (low, x)
+        slope = math.exp(log_front + (a - 1) * math.log(x) + (b - 1) * math.log1p(-x))
+        step = x - off / slope if slope > 0 else -1.0
+        new = step if low < step < high else (low + high) / 2
+        if abs(new - x) <= 1e-16 * x or new in (low, high):
+            return new
+        x = new
+    return x
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The value that a t of ``df`` degrees of freedom stays below with probability ``p``."""
+    if p == 0.5:
+        return 0.0
+    tail = 2 * min(p, 1 - p)
+    if tail <= 0:
+        return math.copysign(math.inf, p - 0.5)
+    if df > 1e8:  # the normal's, to within its own precision
+        return NormalDist().inv_cdf(p)
+    # of x = df / (df + t^2) and 1 - x the smaller one keeps its digits
+    x = beta_quantile(df / 2, 0.5, tail)
+    if x > 0.5:
+        y = beta_quantile(0.5, df / 2, 1 - tail)
+        return math.copysign(math.sqrt(df * y / (1 - y)), p - 0.5)
+    return math.copysign(math.sqrt(df * (1 - x) / x) if x > 0 else math.inf, p - 0.5)
+
+
+def welch(df: DataFrame, value: str, group: str, level: float = 0.95) -> dict[str, float | None]:
+    """t, df, p_value, both means and the interval (low, high) of their difference: a two-sided test of unequal variances.
+
+    Rows without value or group are left out; ``group`` must have two values. A group of one row has no variance and
+    without any spread there is no error to divide by: in both cases t, df, p_value, low and high are None.
+    """
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).orderBy(group).limit(3).collect()
     if len(rows) != 2:
-        raise ValueError(f"{group} has {len(rows)} values; a test compares two")
+        raise ValueError(f"{group} has {len(rows) if len(rows) < 3 else 'more than two'} values; a test compares two")
     (_, n1, m1, v1), (_, n2, m2, v2) = rows
+    means = {"mean_1": m1, "mean_2": m2}
+    if n1 < 2 or n2 < 2 or not v1 + v2 > 0:
+        return dict.fromkeys(("t", "df", "p_value", "low", "high")) | means
     a, b = v1 / n1, v2 / n2
-    t, free = (m1 - m2) / math.sqrt(a + b), (a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1))
-    return {"t": t, "df": free, "p_value": t_two_sided(t, free), "mean_1": m1, "mean_2": m2}
+    error = math.sqrt(a + b)
+    t, free = (m1 - m2) / error, (a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1))
+    reach = t_quantile((1 + level) / 2, free) * error
+    return {"t": t, "df": free, "p_value": t_two_sided(t, free), "low": m1 - m2 - reach, "high": m1 - m2 + reach} | means
 
 
 def glm(df: DataFrame, outcome: str, predictors: list[str], family: str = "gaussian") -> list[dict]:
@@ -130,9 +175,15 @@ def glm(df: DataFrame, outcome: str, predictors: list[str], family: str = "gauss
     return [{"term": names[i], "estimate": values[i], "std_error": s.coefficientStandardErrors[i], "statistic": s.tValues[i], "p_value": s.pValues[i]} for i in at]
 
 
-def with_intervals(rows: DataFrame) -> DataFrame:
-    """Adds the ends of the 90, 95 and 99 % intervals of ``estimate``."""
-    for level, z in ((90, 1.645), (95, 1.96), (99, 2.576)):
+#: Quantiles of the usual levels, as tables of coefficients round them.
+ROUNDED = {90: 1.645, 95: 1.96, 99: 2.576}
+
+
+def with_intervals(rows: DataFrame, levels: tuple[float, ...] = (90, 95, 99), df: float | None = None) -> DataFrame:
+    """Adds the ends of the intervals of ``estimate``: by the normal's quantile, for the usual levels rounded as in ``ROUNDED``, or by that of a t of ``df``."""
+    for level in levels:
+        p = 0.5 + level / 200
+        z = ROUNDED.get(level, NormalDist().inv_cdf(p)) if df is None else t_quantile(p, df)
         rows = rows.withColumn(f"low_{level}", F.col("estimate") - z * F.col("std_error")).withColumn(f"high_{level}", F.col("estimate") + z * F.col("std_error"))
     return rows
 

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from turnmill.functions import dates as D
 from turnmill.functions import text as T
@@ -90,10 +91,11 @@ def turn_members(rows: DataFrame, key: str, order: str) -> DataFrame:
     (substantive), bnd (boundary) and adj (ends the sitting); every cue must be a boundary. A cue opens a turn
     unless it was passed over: rows that aren't substantive between a cue without tail and its first
     substantive row are consumed. The turn runs over substantive rows up to the next boundary or through the
-    row that ends the sitting. All of it is window functions over one sort by key.
+    row that ends the sitting. All of it is window functions by key; what is to come is looked up in falling order,
+    in which frames grow instead of being computed anew for each row.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    after, onward = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(0, Window.unboundedFollowing)
+    w, falling = Window.partitionBy(key).orderBy(order), Window.partitionBy(key).orderBy(F.desc(order))
+    after, onward = falling.rowsBetween(Window.unboundedPreceding, -1), falling.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("grp", F.sum(F.col("sub").cast("int")).over(before))
     in_group = Window.partitionBy(key, "grp").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -212,19 +214,53 @@ def coverage(pars: DataFrame, turns: DataFrame, lex: Lexicon = ARABIC, width: in
     )
 
 
-def longest_run(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """(keys, order, value, on): whether a row lies on the longest run of values that never fall, in order.
+def longest_run(rows: DataFrame, keys: list[str], order: list[str], value: str, least: int = 1) -> DataFrame:
+    """``rows`` with ``on``: whether a row lies on the longest run of values that never fall, in order.
 
-    Of equally long runs the one that ends first, and in it the earliest predecessor of each row. No window
-    function keeps such a state, so each group is folded; groups are numbering series of one year.
+    Of equally long runs the one that ends first, and in it the earliest predecessor of each row. Null where the value is
+    null, and in a group of fewer than ``least`` values. No window function keeps such a state, so a task folds the
+    sorted groups of its partition one after another and holds the batches of one group; rows without a value
+    belong to none and are spread over all tasks.
     """
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, *order, value]) + ", on boolean"
+    spread = F.when(F.col(value).isNull(), F.xxhash64(*order)).otherwise(F.lit(0).cast("long"))
+    names, apart = list(rows.columns), "spread_"
+    while apart in names:
+        apart += "_"
+    sorted_rows = rows.withColumn(apart, spread).repartition(*keys, apart).sortWithinPartitions(*keys, apart, *order)
+    by, at = [names.index(k) for k in keys] + [len(names)], names.index(value)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        return pdf.assign(on=backbone(pdf[value].tolist()))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, list]] = []
+        group, values, places = None, [], []
+
+        def close() -> None:
+            if len(values) >= least:
+                for (marks, i), on in zip(places, backbone(values), strict=True):
+                    marks[i] = on
+            values.clear()
+            places.clear()
 
-    return rows.select(*keys, *order, value).groupBy(*keys).applyInPandas(fold, schema)
+        def done() -> Iterator[pa.RecordBatch]:
+            while held and not (places and held[0][1] is places[0][0]):
+                batch, marks = held.pop(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.bool_())], [*names, "on"])
+
+        for batch in batches:
+            marks: list[bool | None] = [None] * batch.num_rows
+            groups = zip(*[batch.column(k).to_pylist() for k in by], strict=True)
+            for i, (k, v) in enumerate(zip(groups, batch.column(at).to_pylist(), strict=True)):
+                if k != group:
+                    close()
+                    group = k
+                if v is not None:
+                    values.append(v)
+                    places.append((marks, i))
+            held.append((batch, marks))
+            yield from done()
+        close()
+        yield from done()
+
+    return sorted_rows.mapInArrow(fold, StructType([*rows.schema.fields, StructField("on", BooleanType())]))
 
 
 def backbone(values: list) -> list[bool]:

@@ -80,6 +80,15 @@ def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.paragraphs(paragraphs.lines(docs))
 
 
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\.\n', '.' || chr(10) || ' ' || chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\.\n', '.' || chr(10) || ' ' || chr(10), 'g'), chr(10)), 1) AS n FROM documents),
+g AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare, sum(CASE WHEN regexp_full_match(line, '\s*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM l)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) AS INTEGER) AS par, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, string_agg(bare, ' ' ORDER BY n) AS text FROM g WHERE bare <> '' GROUP BY doc_id, island""")
+def spoken_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1, second form: paragraphs as a translation takes them, lines stripped at both ends and joined by a space."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"\.\n", ".\n \n"))
+    return paragraphs.paragraphs(paragraphs.lines(docs), sep=" ", strip="both")
+
+
 @query(rf"""WITH l AS (SELECT doc_id, line_no, line FROM ({LINES}) WHERE NOT {NOISE}),
 s AS (SELECT *, coalesce(lag(regexp_matches(line, 'es\.$')) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS goes_on FROM l),
 g AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM s)

@@ -12,6 +12,7 @@ from turnmill.functions import text as T
 from turnmill.functions.lexicon import ENGLISH, Lexicon
 from turnmill.operators import joins, linking, review, sittings, turns
 from turnmill.registry import query, table
+from turnmill.storage import saved
 
 DIM = "dim AS (SELECT p_brand AS roster_period, p_name AS name, count(*) AS n, min(p_partkey) AS mp_id FROM part WHERE p_size <= 10 GROUP BY 1, 2)"
 
@@ -43,7 +44,7 @@ def contains_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
     d = table(spark, sf_dir, "part").where("p_size <= 10").groupBy(F.col("p_brand").alias("roster_period"), F.split("p_name", " ")[0].alias("name_norm")).agg(F.min("p_partkey").alias("mp_id"))
     d = linking.sized(d)
-    return linking.unique_match(c, d, F.contains(c.cand_norm, d.name_norm), "contained", 0.9).select("cand_id", "mp_id")
+    return linking.contained_match(c, d, "contained", 0.9).select("cand_id", "mp_id")
 
 
 @query("""WITH dim AS (SELECT DISTINCT p_type || ' ' || p_name AS t FROM part), c AS (SELECT DISTINCT p_type AS a, string_split(p_name, ' ')[-1] AS b FROM part)
@@ -87,7 +88,7 @@ def spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     name = F.format_string("%d-03-01__%d.md", (2010 + F.col("doc_id") % 14).cast("int"), "doc_id")
     rows = table(spark, sf_dir, "documents").select(name.alias("source_file"), "text")
     pars = rows.select("source_file", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("source_file", (F.col("pos") + 1).alias("par"), (F.col("pos") + 1).alias("start_line"), (F.col("pos") + 1).alias("end_line"), "text")
-    pars = pars.where(~T.is_noise(F.col("text"), lex))
+    pars = saved(pars.where(~T.is_noise(F.col("text"), lex)), "paragraphs")
     word = F.regexp_extract("text", r"(?U)^(?:The|Der|Le|El) (\w+ \w+)", 1)
     meta = D.file_meta(F.col("source_file"))
     people = pars.select(word.alias("name"), D.legislature(meta["inferred_date"], meta["year_start"]).alias("period")).where("name <> ''").distinct()

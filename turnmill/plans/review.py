@@ -70,6 +70,36 @@ def review_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.manifest(docs.select("source_file").distinct(), docs, docs.where("lang = 'fr'"))
 
 
+def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, word): the first run of plain letters of each turn, empty where there is none."""
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("word"))
+
+
+@query("""SELECT conv_id AS source_file, CAST(turn AS INTEGER) AS line, CASE WHEN turn % 3 = 0 THEN 'again' WHEN (conv_id + turn) % 6 = 5 THEN '' ELSE regexp_extract(text, '[A-Za-z]+') END AS text FROM conversations
+UNION ALL SELECT DISTINCT conv_id, 99, '' FROM conversations""")
+def reply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """numbered lines of replies made from conversations, with five separators and one that isn't, some numbers twice, one line missing."""
+    words = spoken_words(spark, sf_dir)
+    marks = F.element_at(F.array(*map(F.lit, ["\t", " | ", ":", ". ", " -", ") "])), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    row = F.concat(F.lit(" "), F.col("turn").cast("string"), marks, F.col("word"), F.lit("  "), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\n"), F.col("turn").cast("string"), F.lit(": again"))).otherwise(""))
+    replies = words.withColumn("row", row).groupBy(F.col("conv_id").alias("source_file")).agg(paragraphs.joined("conv_id", "turn", "row", "\r\n").alias("reply"))
+    asked = words.select(F.col("conv_id").alias("source_file"), F.col("turn").alias("line"))
+    return review.reply_lines(replies, asked.unionByName(asked.select("source_file", F.lit(99).alias("line")).distinct()))
+
+
+@query("SELECT conv_id AS source_file, CAST(turn AS VARCHAR) AS key, regexp_extract(text, '[A-Za-z]+') AS text FROM conversations WHERE turn IN (0, 1, 3) AND (conv_id + turn) % 4 < 2")
+def reply_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON replies made from conversations, some fenced; numbers, objects and keys that weren't asked for stay out."""
+    words = spoken_words(spark, sf_dir)
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    value = F.when(kind < 2, F.concat(F.lit('" '), F.col("word"), F.lit(' "'))).when(kind == 2, F.col("turn").cast("string")).otherwise(F.concat(F.lit('{"a": "'), F.col("word"), F.lit('"}')))
+    pair = words.withColumn("pair", F.concat(F.lit('"'), F.col("turn").cast("string"), F.lit('": '), value))
+    replies = pair.groupBy("conv_id").agg(paragraphs.joined("conv_id", "turn", "pair", ", ").alias("body"))
+    body = F.concat(F.lit("{"), F.col("body"), F.lit("}"))
+    fenced = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("\n```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return replies.select(F.col("conv_id").alias("source_file"), F.explode(review.reply_object(fenced, ["0", "1", "3"])).alias("key", "text"))
+
+
 @query("SELECT user_id, max(ts) AS last_ts, max_by(event_id, ts) AS event_id FROM (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2) GROUP BY user_id")
 def latest_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later entries of a name overwrite earlier ones, the same way each time."""

@@ -57,6 +57,16 @@ def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(r["t"], 6), round(r["df"], 3))], "t double, df double")
 
 
+@query("""WITH g AS (SELECT l_linestatus AS g, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1), a AS (SELECT * FROM g ORDER BY g LIMIT 1), b AS (SELECT * FROM g ORDER BY g DESC LIMIT 1),
+w AS (SELECT a.m - b.m AS diff, sqrt(a.v / a.n + b.v / b.n) AS error, (a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) AS df FROM a, b),
+q AS (SELECT *, 1.959963984540054 AS z FROM w)
+SELECT round(diff - error * (z + (z ** 3 + z) / (4 * df) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * df ** 2)), 6) AS low, round(diff + error * (z + (z ** 3 + z) / (4 * df) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * df ** 2)), 6) AS high FROM q""")
+def welch_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95 % interval of the difference; the SQL takes the quantile by its expansion in 1 / df."""
+    r = S.welch(table(spark, sf_dir, "lineitem"), "l_quantity", "l_linestatus")
+    return spark.createDataFrame([(round(r["low"], 6), round(r["high"], 6))], "low double, high double")
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
 def ols_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Gaussian model of price by quantity."""

@@ -97,7 +97,8 @@ o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION B
 SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, b.pos IS NOT NULL AS "on" FROM o LEFT JOIN back b ON o.o_custkey = b.o_custkey AND o.pos = b.pos""")
 def lis_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which orders of a customer lie on the longest run of prices that never fall."""
-    return turns.longest_run(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return turns.longest_run(rows, ["o_custkey"], ["o_orderkey"], "o_totalprice")
 
 
 @query("""WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(len(text) + 12 AS BIGINT) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),

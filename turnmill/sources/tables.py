@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# ---- fixed values: headers of the exchanged files
 #: The columns of a turn table, in order.
 TURN_FIELDS = (
     "speech_id", "source_file", "document_id", "speech_index", "year_start", "year_end", "inferred_date", "legislature_period", "start_line", "end_line",
@@ -34,10 +35,16 @@ def write_csv(rows: DataFrame, path: str, columns: list[str], gzip: bool = False
     out.write.option("header", True).option("escape", '"').option("emptyValue", "").option("compression", "gzip" if gzip else "none").csv(path)
 
 
+def strings_of(body: Column) -> Column:
+    """The entries of a JSON object whose values are strings, as a map; what isn't an object has none."""
+    whole = F.from_json(body, "map<string,variant>", {"mode": "PERMISSIVE"})
+    texts = F.transform_values(F.map_filter(whole, lambda k, v: F.schema_of_variant(v) == "STRING"), lambda k, v: F.try_variant_get(v, "$", "string"))
+    return F.coalesce(texts, F.create_map().cast("map<string,string>"))
+
+
 def line_cache(files: DataFrame) -> DataFrame:
-    """(source_file, line, text) of JSON caches (source_file, body); a broken one has no lines."""
-    cached = F.coalesce(F.from_json("body", "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
-    return files.select("source_file", F.explode(cached).alias("k", "text")).select("source_file", F.col("k").try_cast("int").alias("line"), "text")
+    """(source_file, line, text) of JSON caches (source_file, body); a broken one has no lines, and what isn't a string isn't a text."""
+    return files.select("source_file", F.explode(strings_of(F.col("body"))).alias("k", "text")).select("source_file", F.col("k").try_cast("int").alias("line"), "text")
 
 
 def cache_text(lines: DataFrame) -> DataFrame:
