@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.storage import saved
+
 
 def best_of_copies(rows: DataFrame, content: Column, best: list[Column], keep: list[str]) -> DataFrame:
     """One row for each content, the least by ``best``, with the number of copies dropped.
@@ -93,3 +97,80 @@ def running_totals(rows: DataFrame, key: str, value: str, ranges: int = 512) ->
     sums = sums.select("range", F.coalesce(F.sum("of_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum(value).over(Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("within", within).join(F.broadcast(sums), "range").withColumn("earlier", F.col("before") + F.col("within")).drop("range", "within", "before")
+
+
+def ordinals(rows: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
+    """Adds the gapless place (from 0) of each row in ``order``, which should tell rows apart; equal rows are placed by chance.
+
+    Rows are sorted by ranges over all tasks and written; a place is that within the range plus the sizes of the ranges
+    before, of which there is one row each.
+    """
+    placed = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ordinals")
+    part = F.shiftright("at_", 33)
+    sizes = placed.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"))
+    sizes = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
+    return placed.withColumn("part_", part).join(F.broadcast(sizes), "part_").withColumn(name, F.col("before_") + F.col("at_") - F.shiftleft(F.col("part_"), 33)).drop("part_", "at_", "before_")
+
+
+def drawn(rows: DataFrame, order: list, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows (all, if there are fewer) that the standard library's generator of this seed draws from the rows in ``order``, with ``draw``, their place in its sample.
+
+    The generator gives ``n`` places for the number of rows; the rows at these places are found by their ordinals.
+    """
+    placed = saved(ordinals(rows, order), "population")
+    total = placed.count()
+    places = random.Random(seed).sample(range(total), min(n, total))
+    picks = rows.sparkSession.createDataFrame(list(enumerate(places)), "draw long, ordinal long")
+    return placed.join(F.broadcast(picks), "ordinal").drop("ordinal")
+
+
+def shuffled(rows: DataFrame, order: list, seed: int) -> DataFrame:
+    """``rows`` with ``place``: where each stands after the standard library's shuffle of this seed of the rows in ``order``.
+
+    A shuffle is one chain of swaps, so its places are made by one task that holds a number for each row; rows, whatever
+    they carry, are joined to their places and never brought together.
+    """
+    placed = saved(ordinals(rows, order), "population")
+    total = placed.count()
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            at = array("q", range(total))
+            random.Random(seed).shuffle(at)
+            for k in range(0, total, 100_000):
+                some = at[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(some)), pa.int64()), pa.array(some, pa.int64())], ["place", "ordinal"])
+
+    picks = rows.sparkSession.range(1, numPartitions=1).mapInArrow(places, "place long, ordinal long")
+    return placed.join(picks, "ordinal").drop("ordinal")
+
+
+def stream_segments(docs: DataFrame, mark: str, date: Column, order: str = "file_no", text: str = "text", name: str = "stem") -> DataFrame:
+    """(segment, date, parts, text, start): one continuous stream of files cut before each ``mark``.
+
+    ``docs`` has a unique number ``order`` in which files follow each other, a ``name`` and a ``text``. What stands before a
+    file's first mark goes on the segment that is open; a file without a mark goes on it as a whole; front matter before the
+    very first mark is dropped, and so is a blank text before a mark. ``date`` is an expression over a piece's ``text``
+    that begins with the mark; a segment without one has the last known date. ``parts`` are the names of its files in order,
+    ``start`` the offset of its mark in the first of them. Segments are numbered from 0. A mark is a pattern that doesn't overlap with itself.
+
+    Marks are found in one scan of each text. Running numbers over the whole stream are sums of ranges of files, so no task
+    sees more than its range and the texts of the segments that it puts together.
+    """
+    cut = docs.select(F.col(order).alias("file"), F.col(name).alias("part"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), f"(?={mark})")).alias("pos", "text"))
+    within = Window.partitionBy("file").orderBy("pos")
+    cut = cut.withColumn("opens", F.col("text").rlike(f"^(?:{mark})")).withColumn("n_pieces", F.count("*").over(Window.partitionBy("file")))
+    cut = cut.withColumn("start", F.coalesce(F.sum(F.length("text")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cut = saved(cut.withColumn("n_opens", F.sum(F.col("opens").cast("long")).over(within.rowsBetween(Window.unboundedPreceding, 0))), "pieces")
+    earlier = running_totals(cut.groupBy("file").agg(F.sum(F.col("opens").cast("long")).alias("opened"), F.max(F.col("opens")).alias("marked")), "file", "opened").select("file", "earlier", "marked")
+    pieces = cut.join(earlier, "file").withColumn("segment", F.col("n_opens") + F.col("earlier") - 1)
+    blank = F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) == ""
+    pieces = pieces.where((F.col("segment") >= 0) & (F.col("opens") | ~F.col("marked") | ~blank))
+    body = F.array_sort(F.collect_list(F.struct("file", "pos", "part", "text")))
+    first = F.min(F.when(F.col("opens"), F.struct(date.alias("date"), F.col("start"))))
+    whole = pieces.groupBy("segment").agg(first.alias("first"), body.alias("body"))
+    whole = saved(whole.select("segment", "first.date", "first.start", F.array_distinct(F.transform("body", lambda x: x["part"])).alias("parts"), F.array_join(F.transform("body", lambda x: x["text"]), "").alias("text")), "segments")
+    # the last known date: the k-th dated segment's, k being how many there are up to here
+    dated = running_totals(whole.select("segment", F.col("date").isNotNull().cast("long").alias("one"), F.col("date").alias("own")), "segment", "one").withColumn("k", F.col("earlier") + F.col("one"))
+    known = dated.where("one = 1").select("k", F.col("own").alias("date"))
+    return whole.drop("date").join(dated.select("segment", "k"), "segment").join(known, "k", "left").select("segment", "date", "parts", "text", "start")

@@ -188,11 +188,63 @@ def with_intervals(rows: DataFrame, levels: tuple[float, ...] = (90, 95, 99), df
     return rows
 
 
+def gamma_tail(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function, by its series below ``a + 1`` and its continued fraction above."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - front * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    out = d
+    for i in range(1, 10_000):
+        t = -i * (i - a)
+        b += 2
+        d = 1 / (t * d + b or 1e-300)
+        c = b + t / c or 1e-300
+        out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def factor_test(r: np.ndarray, k: int, n: int) -> dict[str, float]:
+    """fit, statistic, df and p_value of the hypothesis that ``k`` factors are enough for a correlation matrix of ``n`` complete rows.
+
+    ``fit`` is the discrepancy between the matrix and what the model implies; the statistic is it times n with Bartlett's
+    correction, and has a chi-square distribution under the hypothesis.
+    """
+    p = len(r)
+    df = ((p - k) ** 2 - p - k) / 2
+    if df <= 0:
+        raise ValueError(f"{k} factors of {p} variables leave nothing to test")
+    load, psi = unrotated(r, k)
+    implied = load @ load.T + np.diag(psi)
+    fit = float(np.linalg.slogdet(implied)[1] - np.linalg.slogdet(r)[1] + np.trace(np.linalg.solve(implied, r)) - p)
+    statistic = (n - 1 - (2 * p + 5) / 6 - 2 * k / 3) * fit
+    return {"fit": fit, "statistic": statistic, "df": df, "p_value": gamma_tail(df / 2, statistic / 2)}
+
+
 def factors(r: np.ndarray, k: int = 3, tries: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """(promax-rotated loadings, uniquenesses) of a maximum-likelihood factor analysis of a correlation matrix.
 
-    The likelihood is climbed by expectation steps: the uniquenesses rise to what the factors leave unexplained.
+    Factors stand in falling order of the sum of their squared loadings, each turned so that this sum's larger part is positive.
     """
+    load, psi = unrotated(r, k, tries)
+    load = promax(varimax(load)) if k > 1 else load
+    load = load[:, np.argsort(-(load**2).sum(axis=0), kind="stable")]
+    return load * np.where((load * np.abs(load)).sum(axis=0) < 0, -1.0, 1.0), psi
+
+
+def unrotated(r: np.ndarray, k: int, tries: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(loadings, uniquenesses) of the greatest likelihood, climbed by expectation steps: the uniquenesses rise to what the factors leave unexplained."""
     p = len(r)
     psi = 1 / np.diag(np.linalg.pinv(r))
     values, vectors = np.linalg.eigh(r)
@@ -207,7 +259,7 @@ def factors(r: np.ndarray, k: int = 3, tries: int = 500) -> tuple[np.ndarray, np
         load, psi = new, new_psi
         if done:
             break
-    return promax(varimax(load)) if k > 1 else load, psi
+    return load, psi
 
 
 def varimax(load: np.ndarray, tries: int = 200) -> np.ndarray:

@@ -44,15 +44,28 @@ class CueFinder:
         s = _SPACES.sub(" ", self.foreign.sub(" ", s) if self.foreign else s).strip()
         return self.honorifics.sub("", s).strip()
 
+    def named(self, raw: str) -> tuple[str, bool]:
+        """The clean name, and whether it can be one."""
+        clean = self.clean(raw)
+        bare = self.bare(clean)
+        return clean, bool(clean) and bare not in self.lex.no_names and not bare.startswith(self.lex.no_name_starts) and 2 <= len(bare) and len(bare.split()) <= 7
+
+    def every(self, text: str) -> Iterator[tuple]:
+        """(pattern, start, end, name, clean, usable) of all matches, pattern by pattern."""
+        folded = text.translate(self.spell)
+        for i, p in enumerate(self.cues):
+            for m in p.finditer(folded):
+                raw = text[slice(*m.span("name"))]
+                yield i, m.start(), m.end(), raw.strip(), *self.named(raw)
+
     def last(self, text: str) -> tuple | None:
         """Of the usable matches the one that starts last; of those that start together the lowest pattern."""
         folded = text.translate(self.spell)
         found = [(m.start(), -i, m) for i, p in enumerate(self.cues) for m in p.finditer(folded)]
         for _, i, m in sorted(found, key=lambda x: x[:2], reverse=True):
             raw = text[slice(*m.span("name"))]
-            clean = self.clean(raw)
-            bare = self.bare(clean)
-            if clean and bare not in self.lex.no_names and not bare.startswith(self.lex.no_name_starts) and 2 <= len(bare) and len(bare.split()) <= 7:
+            clean, usable = self.named(raw)
+            if usable:
                 return raw.strip(), clean, m.start(), m.end(), f"handoff_window:p{-i}"
         return None
 

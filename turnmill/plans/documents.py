@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import text as T
 from turnmill.functions.lexicon import ENGLISH
-from turnmill.operators import curation, paragraphs
+from turnmill.operators import curation, paragraphs, review
 from turnmill.registry import query, table
 
 LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
@@ -115,11 +115,24 @@ def suffixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.unique_ids(named, "name", ["doc_id"]).select("doc_id", "unique_id")
 
 
-@query("SELECT doc_id, source FROM documents WHERE n_chars > 200 ORDER BY md5(CAST(doc_id AS VARCHAR) || '-20260704'), doc_id LIMIT 50")
+@query(rf"SELECT doc_id, source FROM documents WHERE {WORDS.format('text')} >= 20 AND trim(text) <> '' ORDER BY md5(CAST(doc_id AS VARCHAR) || '-20260704'), doc_id LIMIT 50")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of 50 that hangs on the seed alone."""
-    rows = table(spark, sf_dir, "documents").where("n_chars > 200")
-    return rows.orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-20260704")).cast("binary")), "doc_id").limit(50).select("doc_id", "source")
+    """A sample of 50 of at least 20 words that hangs on the seed alone."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.col("doc_id").cast("string").alias("speech_id"), F.col("lang").alias("inferred_date"), T.word_count(F.col("text")).alias("word_count"))
+    return review.sample_rows(rows).select("doc_id", "source")
+
+
+@query()
+def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that the standard generator draws from those of at least 20 words, in order of their ids, and their place in its sample."""
+    rows = table(spark, sf_dir, "documents").where((T.word_count(F.col("text")) >= 20) & (F.trim("text") != "")).select("doc_id", "source")
+    return curation.drawn(rows, [F.col("doc_id")], 50, 20260704)
+
+
+@query()
+def exact_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands after the standard generator's shuffle of them in order of their ids."""
+    return curation.shuffled(table(spark, sf_dir, "documents").select("doc_id", "source"), [F.col("doc_id")], 20260702)
 
 
 @query("SELECT doc_id, source, CASE WHEN len(text) > 130 THEN left(text, 127) || '...' ELSE text END AS short FROM documents WHERE contains(lower(source), 'rc1')")

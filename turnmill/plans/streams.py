@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.registry import query
+from turnmill.registry import query, table
 from turnmill.storage import fresh_path
-from turnmill.streaming import turns
+from turnmill.streaming import fill, turns
+
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def settings(spark: SparkSession, some: dict[str, str]) -> Iterator[None]:
+    """The session's settings, changed for as long as the block lasts."""
+    before = {k: spark.conf.get(k, None) for k in some}
+    for k, v in some.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
@@ -34,3 +53,52 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return drained(turns.hourly_counts(source), "append").select(F.col("hour"), "event_type", "n")
+
+
+#: Milliseconds by which a row may come after later ones, and the number of files that the shuffled rows come in.
+LATE_MS, FILES = 6 * 3_600_000, 4
+
+
+def shuffled_arrivals(spark: SparkSession, events: DataFrame, files: int = FILES, late_ms: int = LATE_MS) -> str:
+    """A folder with the events in ``files`` files, in order of an arrival that is up to ``late_ms`` after their time."""
+    arrival = F.unix_millis(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(late_ms))
+    rows = events.withColumn("arrival", arrival)
+    cuts = rows.agg(F.percentile_approx("arrival", [k / files for k in range(1, files)])).first()[0] or []
+    path = fresh_path(spark, "arrivals")
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = rows.where((F.lit(True) if low is None else F.col("arrival") > low) & (F.lit(True) if high is None else F.col("arrival") <= high))
+        part.drop("arrival").coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    return path
+
+
+@query(f"""WITH o AS (SELECT *, sum(CASE WHEN event_type IN ('signup', 'error') THEN 1 ELSE 0 END) OVER w AS seg, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER w AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT user_id, seg, event_id AS cue_id FROM o WHERE event_type = 'signup') SELECT o.user_id, CAST(o.turn AS BIGINT) AS turn, s.cue_id, o.event_id FROM o JOIN s ON o.user_id = s.user_id AND o.seg = s.seg
+WHERE event_type NOT IN ('signup', 'error') AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events) - {LATE_MS}""")
+def stream_turns_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by the time of events that arrive out of order, file by file: those that the watermark has passed at the end."""
+    path = shuffled_arrivals(spark, table(spark, sf_dir, "events"))
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    with settings(spark, ROCKSDB):
+        return drained(turns.ordered_turns(source, f"{LATE_MS} milliseconds"), "append")
+
+
+def in_english(rows: list[tuple[int, str]]) -> dict[int, str]:
+    """Stands for a translation service: marks each text, and leaves out those without letters."""
+    return {line: f"[en] {text}" for line, text in rows if any(c.isalpha() for c in text)}
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS source_file, CAST(turn * 3 + 1 AS INTEGER) AS line, '[en] ' || text AS text FROM conversations WHERE regexp_matches(text, '\\p{L}')
+UNION ALL SELECT CAST(conv_id AS VARCHAR), CAST(turn * 3 + 2 AS INTEGER), '' FROM conversations WHERE regexp_matches(text, '\\p{L}')""")
+def cache_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as paragraphs that come in three files, some of them in two; the stream is started, stopped after a file and started again."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    line = (F.col("turn") * 3 + 1).cast("int")
+    pars = rows.select(F.col("conv_id").cast("string").alias("source_file"), line.alias("start_line"), (line + 1).alias("end_line"), "text")
+    path = fresh_path(spark, "fill")
+    part = F.pmod(F.xxhash64("source_file", "start_line"), F.lit(3))
+    for k in range(3):
+        pars.where((part == k) | ((part == 0) & F.lit(k == 2))).coalesce(1).write.parquet(f"{path}/in/{k}")
+        if k != 1:  # the second run finds two new files
+            source = spark.readStream.schema(pars.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+            fill.fill(source, f"{path}/cache", f"{path}/state", in_english).awaitTermination()
+    return fill.entries(spark, f"{path}/cache")

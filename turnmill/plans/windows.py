@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions.lexicon import ENGLISH
-from turnmill.operators import curation, linking, paragraphs, sittings, turns
+from turnmill.operators import curation, linking, paragraphs, sittings, table_functions, turns
 from turnmill.registry import query, table
 
 
@@ -20,6 +20,8 @@ def islands_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "island").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
+CUE_PATTERNS = (" the ([a-z]{2,12})", "([a-z]{2,12}) of ")
+BARE_PATTERNS = tuple(p.replace("(", "").replace(")", "") for p in CUE_PATTERNS)
 TURNS = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events),
 f AS (SELECT user_id, idx, event_id, event_type = 'signup' AS cue, event_type IN ('signup', 'error') AS bnd, value FROM o),
 n AS (SELECT *, lead(bnd) OVER w AS next_bnd, min(CASE WHEN bnd THEN idx END) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM f WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
@@ -38,6 +40,30 @@ def turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id", "turn", "cue_at").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(TURNS)
+def turns_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 as a table function over a partitioned and ordered table: the rows of ``turn_windows``."""
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    kind, no = F.col("event_type"), F.lit(False)
+    flags = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), idx.alias("at"), "value", (kind == "signup").alias("cue"), no.alias("tail"), no.alias("tadj"), F.lit(True).alias("sub"), kind.isin("signup", "error").alias("bnd"), no.alias("adj"))
+    found = table_functions.Turns(flags.drop("value").asTable().partitionBy("key").orderBy("at")).withColumn("user_id", F.col("key").cast("long")).drop("key")
+    values = flags.select(F.col("key").alias("user_id"), "at", "value")
+    return found.join(values, ["user_id", "at"]).groupBy("user_id", "turn", "cue_at").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, 0 AS pattern, regexp_extract_all(text, '{CUE_PATTERNS[0]}') AS m, regexp_extract_all(text, '{CUE_PATTERNS[0]}', 1) AS n, regexp_split_to_array(text, '{BARE_PATTERNS[0]}') AS s FROM documents
+UNION ALL SELECT doc_id, 1, regexp_extract_all(text, '{CUE_PATTERNS[1]}'), regexp_extract_all(text, '{CUE_PATTERNS[1]}', 1), regexp_split_to_array(text, '{BARE_PATTERNS[1]}') FROM documents),
+k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM d)
+SELECT doc_id, pattern, CAST(list_sum(list_transform(s[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: len(x))), 0) AS INTEGER) AS start,
+CAST(list_sum(list_transform(s[1:k], lambda x: len(x))) + list_sum(list_transform(m[1:k], lambda x: len(x))) AS INTEGER) AS "end", n[k] AS name FROM k""")
+def cue_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of two patterns in whole texts with their places, by the table function ``cues``."""
+    lex = replace(ENGLISH, cues=tuple(p.replace("(", "(?P<name>") for p in CUE_PATTERNS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.lateralJoin(table_functions.cues({"two": lex})(F.col("text").outer(), F.lit("two")))
+    return found.select("doc_id", "pattern", "start", "end", "name")
+
+
 @query("""WITH c AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS starts FROM conversations),
 g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c)
 SELECT conv_id, CAST(island AS BIGINT) AS island, min(role) AS role, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS text FROM g GROUP BY conv_id, island""")
@@ -79,6 +105,20 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("within", within).join(sums, "conv_id").groupBy("conv_id", (F.col("within") + F.col("earlier")).alias("seg")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
 
 
+@query(r"""WITH f AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1), s AS (SELECT conv_id, string_split(text, 'The ') AS p FROM f), x AS (SELECT conv_id, p, unnest(range(1, len(p) + 1)) AS k FROM s),
+y AS (SELECT conv_id, k, k > 1 AS opens, len(p) > 1 AS marked, CASE WHEN k > 1 THEN 'The ' ELSE '' END || p[k] AS text, list_sum(list_transform(p[1:k - 1], lambda q: len(q))) + 4 * (k - 2) AS start FROM x),
+z AS (SELECT *, sum(opens::INT) OVER (ORDER BY conv_id, k ROWS UNBOUNDED PRECEDING) - 1 AS segment FROM y),
+g AS (SELECT segment, max(CASE WHEN opens THEN nullif(regexp_extract(text, '^The ([a-z]{2,3}) ', 1), '') END) AS own, min(CASE WHEN opens THEN start END) AS start, list_sort(list_distinct(list(conv_id))) AS parts, string_agg(text, '' ORDER BY conv_id, k) AS text
+  FROM z WHERE segment >= 0 AND (opens OR NOT marked OR NOT regexp_full_match(text, '\s*')) GROUP BY segment)
+SELECT CAST(segment AS BIGINT) AS segment, last_value(own IGNORE NULLS) OVER (ORDER BY segment ROWS UNBOUNDED PRECEDING) AS date, array_to_string(parts, ',') AS parts, text, CAST(start AS BIGINT) AS start FROM g""")
+def split_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of one stream, cut at each "The "; the word after it, if it is short, stands for a date that is carried on."""
+    rows = table(spark, sf_dir, "conversations")
+    files = rows.groupBy("conv_id").agg(paragraphs.joined("conv_id", "turn", "text", "\n").alias("text")).select(F.col("conv_id").alias("file_no"), F.col("conv_id").cast("string").alias("stem"), "text")
+    found = curation.stream_segments(files, "The ", F.nullif(F.regexp_extract("text", "^The ([a-z]{2,3}) ", 1), F.lit("")))
+    return found.withColumn("parts", F.array_join("parts", ","))
+
+
 @query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) // 2 AS seq FROM orders)
 SELECT o_orderkey, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, min(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY seq RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM s""")
 def asof_window(spark: SparkSession, sf_dir: str) -> DataFrame:

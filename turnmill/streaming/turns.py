@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events by type in windows of an hour; later ones than ``late`` are dropped with their window's state."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
@@ -37,3 +36,75 @@ def open_turns(events: DataFrame, cue: str = "signup", boundary: tuple[str, ...]
 
     keyed = events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
     return keyed.applyInPandasWithState(step, "user_id long, turn long, event_id long", "turns long, is_open boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+class OrderedTurns(StatefulProcessor):
+    """Holds a user's rows until the watermark has passed them, then takes them in order of time.
+
+    A timer stands at the earliest row that waits. When it fires, the rows up to the watermark are put in order and walked
+    through once; those after it go on waiting under a timer of their own. What lasts is the number of turns, whether one
+    is open and its cue. After ``idle_ms`` without a row of a user all state goes, by a timer of its own, and what comes
+    later is numbered from 1 again; that hangs on the rows' times alone, not on when they come.
+    """
+
+    def __init__(self, cue: str, boundary: tuple[str, ...], idle_ms: int | None) -> None:
+        self.cue, self.boundary, self.idle_ms = cue, boundary, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, event_type string")
+        self.known = handle.getValueState("known", "turns long, is_open boolean, cue_id long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(at), int(i), kind) for frame in rows for at, i, kind in zip(frame["at"], frame["event_id"], frame["event_type"], strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(at for at, *_ in new) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] // 1000 <= passed]
+        rest = rows[len(due) :]
+        turns, is_open, cue_id, last = self.known.get() if self.known.exists() else (0, False, None, None)
+        out = []
+        for at, event_id, kind in due:
+            if last is not None and self.idle_ms is not None and at // 1000 - last // 1000 >= self.idle_ms:
+                turns, is_open, cue_id = 0, False, None
+            last = at
+            if kind in self.boundary:
+                is_open = kind == self.cue
+                turns, cue_id = (turns + 1, event_id) if is_open else (turns, None)
+            elif is_open:
+                out.append((key[0], turns, cue_id, event_id))
+        if due:
+            self.known.update((turns, is_open, cue_id, last))
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000)
+            else:
+                self.waiting.clear()
+        if self.idle_ms is not None and last is not None:
+            if last // 1000 + self.idle_ms <= passed:
+                self.known.clear()
+            elif not rest:
+                self.handle.registerTimer(last // 1000 + self.idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "turn", "cue_id", "event_id"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_turns(events: DataFrame, late: str = "1 hour", idle_ms: int | None = None, cue: str = "signup", boundary: tuple[str, ...] = ("signup", "error")) -> DataFrame:
+    """(user_id, turn, cue_id, event_id): each event with the turn that it falls in by its time, whatever the order of arrival.
+
+    A row is given once, when the watermark has passed its time; rows later than ``late`` are dropped, as any stateful
+    operator drops them. ``cue_id``, the event that opened the turn, names it for good; ``turn`` counts on as long as
+    the user's state lasts, which is for ever without ``idle_ms``. Rows without a user, time or id are left out. The
+    state store must be RocksDB's (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).where("user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").withWatermark("ts", late)
+    keyed = rows.select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type").groupBy("user_id")
+    return keyed.transformWithStateInPandas(OrderedTurns(cue, boundary, idle_ms), "user_id long, turn long, cue_id long, event_id long", "append", "eventTime")
