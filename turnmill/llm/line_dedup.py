@@ -36,7 +36,8 @@ def site_spread(lines: DataFrame, min_sites: int, lg_k: int = LG_K, margin: floa
     low, high = min_sites * (1 - margin) - 0.5, min_sites * (1 + margin) + 0.5
     spread = saved(spread.where(F.col("about") >= low), "spread")
     near = spread.where(F.col("about") <= high)
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
+    places = lines.select("h1", "h2", "site").distinct()  # first of all: of a line on very many rows each task passes one row a site on
+    exact = places.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("sites"))
     sure = spread.where(F.col("about") > high).select("h1", "h2", "n", "first")
     return sure.unionByName(near.join(exact.where(F.col("sites") >= min_sites), ["h1", "h2"]).select("h1", "h2", "n", "first"))
 
