@@ -116,27 +116,36 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     tokens = rows.where("low IS NOT NULL").select("uid", F.explode("low").alias("token"))
     marks = rows.select(F.explode("hot").alias("token")).distinct().select(F.lit(None).cast("long").alias("uid"), "token")
 
+    def settled(uid: np.ndarray, key: np.ndarray, is_row: np.ndarray, sure: bool = False) -> pa.RecordBatch:
+        """The rows of whole groups, of which ``sure`` ones are frequent whatever is seen of them here."""
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        often = np.add.reduceat(~is_row, first) > 0 if len(first) else np.zeros(0, bool)
+        at = np.flatnonzero(is_row & np.repeat((count > 1) | sure, count))
+        return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(key[at]), pa.array(np.repeat(often | (count > FREQUENT) | sure, count)[at])], ["uid", "token", "often"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids, keys, known = [], [], []
+        """Of the sorted rows only those of the last token wait for the next batch, and only while it may be rare."""
+        wait, hot = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)), None
         for batch in batches:
-            keys.append(batch.column(1).to_numpy())
-            known.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
-            uids.append(batch.column(0).fill_null(-1).to_numpy())
-        if not keys:
-            return
-        uid, key, is_row = np.concatenate(uids), np.concatenate(keys), np.concatenate(known)
-        order = np.argsort(key, kind="stable")
-        uid, key, is_row = uid[order], key[order], is_row[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.append(first, len(key)))
-        marked = np.add.reduceat(~is_row, first) > 0
-        often = np.repeat(marked | (count > FREQUENT), count)
-        at = np.flatnonzero(is_row & np.repeat(count > 1, count))
-        for i in range(0, len(at), 50_000):
-            some = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(key[some]), pa.array(often[some])], ["uid", "token", "often"])
-
-    return tokens.unionByName(marks).repartition("token").mapInArrow(run, "uid long, token long, often boolean")
+            is_row = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            rows = tuple(np.concatenate(x) for x in zip(wait, (batch.column(0).fill_null(-1).to_numpy(), batch.column(1).to_numpy(), is_row), strict=True))
+            if not len(rows[1]):
+                continue
+            goes_on = np.searchsorted(rows[1], hot, "right") if hot is not None else 0
+            yield settled(*(x[:goes_on] for x in rows), sure=True)
+            rows = tuple(x[goes_on:] for x in rows)
+            if not len(rows[1]):
+                continue
+            cut = np.searchsorted(rows[1], rows[1][-1], "left")
+            yield settled(*(x[:cut] for x in rows))
+            wait, hot = tuple(x[cut:] for x in rows), None
+            if len(wait[1]) > FREQUENT:
+                yield settled(*wait)
+                wait, hot = tuple(x[:0] for x in wait), rows[1][-1]
+        yield settled(*wait)
+
+    return tokens.unionByName(marks).repartition("token").sortWithinPartitions("token").mapInArrow(run, "uid long, token long, often boolean")
 
 
 def survivors(rows: DataFrame) -> DataFrame:
