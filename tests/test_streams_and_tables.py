@@ -14,6 +14,7 @@ from tests.checking import SF
 from turnmill.functions.lexicon import ENGLISH
 from turnmill.operators import curation, paragraphs, statistics, table_functions, turns
 from turnmill.plans.streams import ROCKSDB, settings
+from turnmill.sources import corpus, named_files
 from turnmill.streaming import fill
 from turnmill.streaming import turns as streaming_turns
 
@@ -181,3 +182,32 @@ def test_gamma_tail_is_that_of_tables():
     for df, x, p in ((1, 3.841459, 0.05), (2, 5.991465, 0.05), (10, 18.307038, 0.05), (12, 26.216967, 0.01), (100, 124.342113, 0.05)):
         assert abs(statistics.gamma_tail(df / 2, x / 2) - p) < 1e-6
     assert statistics.gamma_tail(3, 0) == 1 and math.isclose(statistics.gamma_tail(1, 2), math.exp(-2))
+
+
+def test_named_files_are_there_at_once_or_not_at_all(spark, tmp_path):
+    docs = spark.createDataFrame([(f"2015-10-{k:02d}__{k}", f"{k}.pdf", "ocr", None, f"body {k}\né") for k in range(1, 31)], "doc_id string, source_pdf string, engine string, sitting_date string, body string").repartition(4)
+    corpus.write_named_markdown(docs, f"file://{tmp_path}/out")
+    written = {p.name: p.read_text() for p in (tmp_path / "out").iterdir()}
+    assert written == {r.name: r.value for r in corpus.with_header(docs).collect()} and len(written) == 30
+    back = corpus.markdown(spark, f"{tmp_path}/out")
+    assert {r.source_file for r in back.collect()} == {f"{r.doc_id}.md" for r in docs.collect()}
+    rows = spark.createDataFrame([(f"{k}.md", None if k else "x") for k in range(20)], "name string, value string").repartition(4)
+    named_files.write_named(rows, f"file://{tmp_path}/more")
+    assert len(list((tmp_path / "more").iterdir())) == 20
+    for broken in (rows.unionByName(rows.limit(1)), rows.withColumn("name", F.when(F.col("name") == "7.md", "a/b").otherwise(F.col("name"))), rows.withColumn("name", F.when(F.col("name") != "3.md", F.col("name")))):
+        with pytest.raises(Exception, match="names|no name"):
+            named_files.write_named(broken, f"file://{tmp_path}/none")
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["more", "out"]
+    with pytest.raises(Exception, match="there already"):
+        named_files.write_named(rows, f"file://{tmp_path}/out")
+
+
+def test_queues_name_stems(spark):
+    lines = spark.createDataFrame([(x,) for x in ("a/b/one.pdf", "  two ", "# three.pdf", "", "four.v2.md", ".five", None, "one.pdf")], "value string")
+    assert sorted(r.stem for r in corpus.queued_stems(lines).collect()) == [".five", "four.v2", "one", "two"]
+
+
+def test_levels_follow_the_means(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("c", None), ("d", 5.0), (None, 9.0)], "f string, v double")
+    assert {r.f: r.level for r in statistics.levels(df, "f", F.col("v")).collect()} == {"a": 1, "b": 2, "d": 3, "c": 4}
+    assert {r.f: r.level for r in statistics.levels(df, "f", F.col("v"), descending=True).collect()} == {"d": 1, "a": 2, "b": 3, "c": 4}

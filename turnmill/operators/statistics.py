@@ -9,7 +9,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,13 @@ def row_mean(*columns: Column) -> Column:
     return F.when(n > 0, sum((F.coalesce(c, F.lit(0.0)) for c in columns), F.lit(0.0)) / F.nullif(n, F.lit(0))).otherwise(F.lit(float("nan")))
 
 
+def levels(df: DataFrame, factor: str, by: Column, descending: bool = False) -> DataFrame:
+    """(factor, level): the values of ``factor`` numbered from 1 by the mean of ``by``, equal means by value; a value without any comes last. One row a value."""
+    means = df.where(F.col(factor).isNotNull()).groupBy(factor).agg(F.avg(by).alias("mean"))
+    order = F.desc_nulls_last("mean") if descending else F.asc_nulls_last("mean")
+    return means.select(factor, F.row_number().over(Window.orderBy(order, factor)).alias("level"))
+
+
 def with_summary(df: DataFrame, **aggregates: Column) -> DataFrame:
     """``df`` with each aggregate of the whole as a column: one row, broadcast."""
     return df.join(F.broadcast(df.agg(*[v.alias(k) for k, v in aggregates.items()])))

@@ -84,7 +84,8 @@ def with_cues(rows: DataFrame, text: str = "text", lex: Lexicon = ARABIC) -> Dat
         for t in texts.fillna(""):
             c = f.last(t)
             tail = t[c[3]:].strip(lex.strip + "\n") if c else None
-            out.append((dict(zip(("raw", "clean", "start", "end", "method"), c, strict=True)) if c else None, f.last(_SPACES.sub(" ", t).strip()) is not None,
+            even = _SPACES.sub(" ", t).strip()
+            out.append((dict(zip(("raw", "clean", "start", "end", "method"), c, strict=True)) if c else None, (c if even == t else f.last(even)) is not None,
                         f.last(_SPACES.sub(" ", tail).strip()) is not None if tail else False, tail))
         return pd.DataFrame(out, columns=["cue", "inside", "tail_inside", "tail"])
 

@@ -9,6 +9,7 @@ from turnmill.functions import text as T
 from turnmill.functions.lexicon import ENGLISH
 from turnmill.operators import curation, paragraphs, review
 from turnmill.registry import query, table
+from turnmill.sources import corpus
 
 LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
 NOISE = r"(len(trim(regexp_replace(line, '\s+', ' ', 'g'))) < 3 OR regexp_full_match(trim(regexp_replace(line, '\s+', ' ', 'g')), '[\d\s/\x{2011}\x{0640}-]+') OR regexp_matches(trim(line), '^([Pp]age\s+\d+|\d{3,}|##\s+)\s*$'))"
@@ -135,6 +136,15 @@ def exact_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.shuffled(table(spark, sf_dir, "documents").select("doc_id", "source"), [F.col("doc_id")], 20260702)
 
 
+@query("SELECT doc_id, lang FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 7 <> 0)")
+def queue_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose file isn't in a queue, in which some lines are comments and some are blank."""
+    docs = table(spark, sf_dir, "documents").withColumn("stem", F.concat(F.lit("doc.v"), F.col("doc_id").cast("string")))
+    line = F.concat(F.when(F.col("doc_id") % 7 == 0, " # ").otherwise(" todo/"), F.col("stem"), F.lit(".pdf "))
+    queue = docs.where("doc_id % 3 = 0").select(F.explode(F.array(line, F.lit("  "))).alias("value"))
+    return review.pending(docs, corpus.queued_stems(queue), ["stem"]).select("doc_id", "lang")
+
+
 @query("SELECT doc_id, source, CASE WHEN len(text) > 130 THEN left(text, 127) || '...' ELSE text END AS short FROM documents WHERE contains(lower(source), 'rc1')")
 def short_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that hold a string, texts cut with an ellipsis."""

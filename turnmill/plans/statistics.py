@@ -105,6 +105,12 @@ def factor_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, *map(float, row), float(u), n in kept) for n, row, u in zip(names, load, unique, strict=True)], "variable string, f1 double, f2 double, f3 double, uniqueness double, kept boolean")
 
 
+@query("SELECT p_brand, CAST(row_number() OVER (ORDER BY avg(-p_size) DESC, p_brand) AS INTEGER) AS level FROM part GROUP BY p_brand")
+def factor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as levels of a factor, turned round: in falling order of the mean of the negated size."""
+    return S.levels(table(spark, sf_dir, "part"), "p_brand", -F.col("p_size"), descending=True)
+
+
 @query("SELECT 'F' AS model, o_orderstatus AS term, round(avg(o_totalprice), 4) AS estimate FROM orders GROUP BY 2 UNION ALL SELECT 'P', o_orderpriority, round(avg(o_totalprice), 4) FROM orders GROUP BY 2")
 def union_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' rows in one frame."""

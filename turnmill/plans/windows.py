@@ -20,6 +20,12 @@ def islands_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "island").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
+#: A hand-off of each of the sixteen kinds, and names.
+HAND_OFFS = (
+    "الكلمة للسيد {}", "نقطة نظام للسيد {}", "تفضل السيد {}", "السيد {} تفضل", "شكرا، للسيد {}", "يتفضل السيد {}", "نستمع إلى السيد {}", "ننتقل إلى السيد {}", "السيد {} له خمس دقائق", "السؤال من قبل السيد {}",
+    "يدافع عن الفصل السيد {}", "الرأي المخالف للسيد {}", "تفضلوا السيد {}", "سيتولى الدفاع عنه السيد {}", "يتولى السيد {} الدفاع", "؟ السيد {}",
+)
+SPOKEN_OF = ("سامية حمودة", "منير التبيني", "أحمد بن صالح", "نور الدين فرج")
 CUE_PATTERNS = (" the ([a-z]{2,12})", "([a-z]{2,12}) of ")
 BARE_PATTERNS = tuple(p.replace("(", "").replace(")", "") for p in CUE_PATTERNS)
 TURNS = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM events),
@@ -51,6 +57,19 @@ def turns_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(values, ["user_id", "at"]).groupBy("user_id", "turn", "cue_at").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, CAST((conv_id + turn) % 16 AS INTEGER) AS pattern, CAST(least(40, len(text)) + 1 AS INTEGER) AS start, CASE (conv_id + turn * 3) % 4 {} END AS name FROM conversations)
+SELECT * FROM c UNION ALL SELECT conv_id, turn, 2, start + 1, name FROM c WHERE pattern = 5""".format(" ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(SPOKEN_OF))))
+def arabic_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p0 to p15: a hand-off of each kind behind the first words of each turn; all matches of the Arabic lexicon. A verb with a particle holds the bare one."""
+    rows = table(spark, sf_dir, "conversations")
+    kind, who = (F.col("conv_id") + F.col("turn")) % 16, (F.col("conv_id") + F.col("turn") * 3) % 4
+    said = F.element_at(F.array(*map(F.lit, HAND_OFFS)), (kind + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, SPOKEN_OF)), (who + 1).cast("int"))
+    texts = rows.select("conv_id", "turn", F.concat(F.left("text", F.lit(40)), F.lit("\n"), F.replace(said, F.lit("{}"), name)).alias("text"))
+    found = texts.lateralJoin(table_functions.cues()(F.col("text").outer(), F.lit("arabic")))
+    return found.select("conv_id", "turn", "pattern", "start", "name")
+
+
 @query(rf"""WITH d AS (SELECT doc_id, 0 AS pattern, regexp_extract_all(text, '{CUE_PATTERNS[0]}') AS m, regexp_extract_all(text, '{CUE_PATTERNS[0]}', 1) AS n, regexp_split_to_array(text, '{BARE_PATTERNS[0]}') AS s FROM documents
 UNION ALL SELECT doc_id, 1, regexp_extract_all(text, '{CUE_PATTERNS[1]}'), regexp_extract_all(text, '{CUE_PATTERNS[1]}', 1), regexp_split_to_array(text, '{BARE_PATTERNS[1]}') FROM documents),
 k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM d)

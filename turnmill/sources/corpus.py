@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import dates as D
 from turnmill.functions.lexicon import YEARS
+from turnmill.functions.text import stripped
 
 
 def markdown(spark: SparkSession, path: str, years: tuple[int, int] | None = YEARS, pattern: str = "*.md") -> DataFrame:
@@ -57,6 +58,21 @@ def with_header(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat("doc_id", F.lit(".md")).alias("name"), F.concat_ws("\n", line("doc_id"), line("source_pdf"), line("engine"), line("sitting_date"), F.lit(""), "body").alias("value"))
 
 
+def queued_stems(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(stem): the files that a queue names, one a line, without folder and last suffix; blank lines and comments are none."""
+    line = stripped(F.col(value))
+    named = lines.select(line.alias("line")).where("line <> '' AND NOT startswith(line, '#')")
+    base = F.substring_index("line", "/", -1)
+    return named.select(F.regexp_replace(base, r"(?<=[^.])\.[^.]*$", "").alias("stem")).distinct()
+
+
+def write_named_markdown(docs: DataFrame, path: str) -> None:
+    """Each document of ``with_header`` as a file of its name under the URI ``path``, all at once or none."""
+    from turnmill.sources.named_files import write_named
+
+    write_named(with_header(docs), path)
+
+
 def write_markdown(docs: DataFrame, path: str) -> None:
     """Each document of ``with_header`` as a file of its own, in a folder of its name under ``path``."""
     with_header(docs).withColumn("name", F.regexp_replace("name", r"\.md$", "")).write.partitionBy("name").option("lineSep", "\n").text(path)
