@@ -109,8 +109,15 @@ def nnpu(toxic: tuple, other: tuple, n_words: int, prior: float, prior_error: fl
     return best[1], best[2]
 
 
-def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in smaller batches, so that only their words are held at once."""
     for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(batches):
         rows = [sorted(set(WORD.findall(t.as_py().lower()))) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["toxic", "words"])
 
@@ -168,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, seed:
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) < F.lit(int(share * (1 << 52))))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [sorted({number[w] for w in WORD.findall(t.as_py().lower()) if w in number}) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "at"])
 
