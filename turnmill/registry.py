@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-PLANS = ("documents", "windows", "linking", "sittings", "review", "statistics", "streams")
+PLANS = ("documents", "windows", "linking", "sittings", "review", "records", "statistics", "streams")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
