@@ -78,7 +78,9 @@ def stream_turns_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns by the time of events that arrive out of order, file by file: those that the watermark has passed at the end."""
     path = shuffled_arrivals(spark, table(spark, sf_dir, "events"))
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    with settings(spark, ROCKSDB):
+    # each partition of the state is a Python process in each batch: one for each core is enough
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, spark.sparkContext.defaultParallelism))
+    with settings(spark, ROCKSDB | {"spark.sql.shuffle.partitions": str(parts)}):
         return drained(turns.ordered_turns(source, f"{LATE_MS} milliseconds"), "append")
 
 
