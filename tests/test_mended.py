@@ -7,8 +7,9 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from turnmill.functions.lexicon import FUZZY_LEAST
+from turnmill.functions.lexicon import FUZZY_LEAST, FUZZY_RULES
 from turnmill.operators import linking, paragraphs, review, sittings, statistics
+from turnmill.plans import linking as plans
 from turnmill.sources import tables
 
 DAY = datetime.date
@@ -112,3 +113,30 @@ def test_contained_names_are_found_by_their_first_letters(spark):
     cands = spark.createDataFrame([(1, "the name ab cd here", "p"), (2, "xab cdx", "p"), (3, "ab cd", "q"), (4, "z", "p"), (5, "", "p"), (6, "both ab cd and zz", "p")], "cand_id long, cand_norm string, period string")
     dim = spark.createDataFrame([(10, "p", "ab cd"), (11, "p", "zz"), (12, "p", ""), (13, "q", "abcd"), (14, "p", "z the")], "mp_id long, roster_period string, name_norm string")
     assert sorted((r.cand_id, r.mp_id) for r in linking.contained_match(cands, dim, "m", 0.9).collect()) == [(1, 10), (2, 10)]
+
+
+def test_fuzzy_query_is_that_of_all_pairs(spark):
+    """Every row of ``fuzzy_link`` at the smallest scale against all pairs of a brand, and at most a tenth of the pairs of similar length compared."""
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size").collect()
+    dim = {}
+    for r in parts:
+        if r.p_size <= 10:
+            key = (r.p_brand, r.p_name)
+            dim[key] = min(dim.get(key, r.p_partkey), r.p_partkey)
+    want, n_pairs = set(), 0
+    for r in parts:
+        if r.p_size > 10:
+            names = [(n, k) for (b, n), k in dim.items() if b == r.p_brand]
+            n_pairs += sum(2 * min(len(r.p_name), len(n)) >= FUZZY_LEAST * (len(r.p_name) + len(n)) for n, _ in names)
+            scored = sorted(((SequenceMatcher(None, r.p_name, n).ratio(), k) for n, k in names), key=lambda x: (-x[0], x[1]))
+            scored = [x for x in scored if x[0] >= FUZZY_LEAST]
+            if scored:
+                best, second = scored[0][0], scored[1][0] if len(scored) > 1 else 0.0
+                sure = next((c for low, margin, c in FUZZY_RULES if best >= low and best - second >= margin), None)
+                if sure:
+                    want.add((r.p_partkey, scored[0][1], sure))
+    got = {(r.cand_id, r.mp_id, r.confidence) for r in plans.fuzzy_link(spark, sf).collect()}
+    assert got == want and got
+    compared = linking.similar_pairs(plans.candidates(spark, sf), plans.dimension(spark, sf)).count()
+    assert compared * 10 <= n_pairs
