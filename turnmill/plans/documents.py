@@ -10,6 +10,7 @@ from turnmill.functions.lexicon import ENGLISH
 from turnmill.operators import curation, paragraphs, review
 from turnmill.registry import query, table
 from turnmill.sources import corpus
+from turnmill.storage import spread
 
 LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
 NOISE = r"(len(trim(regexp_replace(line, '\s+', ' ', 'g'))) < 3 OR regexp_full_match(trim(regexp_replace(line, '\s+', ' ', 'g')), '[\d\s/\x{2011}\x{0640}-]+') OR regexp_matches(trim(line), '^([Pp]age\s+\d+|\d{3,}|##\s+)\s*$'))"
@@ -17,7 +18,7 @@ WORDS = r"len(regexp_extract_all({}, '\S+'))"
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "lang", "line", (F.col("pos") + 1).alias("line_no"))
 
 
@@ -77,7 +78,7 @@ p AS (SELECT doc_id, island, min(n) AS start_line, max(n) AS end_line, string_ag
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) AS INTEGER) AS par, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, text FROM p""")
 def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs between blank lines, here one after each sentence that ends a line."""
-    docs = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"\.\n", ".\n\n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", F.regexp_replace("text", r"\.\n", ".\n\n"))
     return paragraphs.paragraphs(paragraphs.lines(docs))
 
 
@@ -86,7 +87,7 @@ g AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare, sum(CASE WHE
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) AS INTEGER) AS par, CAST(min(n) AS INTEGER) AS start_line, CAST(max(n) AS INTEGER) AS end_line, string_agg(bare, ' ' ORDER BY n) AS text FROM g WHERE bare <> '' GROUP BY doc_id, island""")
 def spoken_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1, second form: paragraphs as a translation takes them, lines stripped at both ends and joined by a space."""
-    docs = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"\.\n", ".\n \n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", F.regexp_replace("text", r"\.\n", ".\n \n"))
     return paragraphs.paragraphs(paragraphs.lines(docs), sep=" ", strip="both")
 
 

@@ -12,7 +12,7 @@ from turnmill.functions import text as T
 from turnmill.functions.lexicon import ENGLISH, Lexicon
 from turnmill.operators import joins, linking, review, sittings, turns
 from turnmill.registry import query, table
-from turnmill.storage import saved
+from turnmill.storage import saved, spread
 
 DIM = "dim AS (SELECT p_brand AS roster_period, p_name AS name, count(*) AS n, min(p_partkey) AS mp_id FROM part WHERE p_size <= 10 GROUP BY 1, 2)"
 
@@ -86,7 +86,7 @@ def spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """Lines of all documents as paragraphs of dated files, the files, a roster, and a lexicon in which a line's first article hands over to the two words after it."""
     lex = replace(ENGLISH, cues=(r"^(?:The|Der|Le|El) (?P<name>\w+ \w+)",), openers=r"^(?:Of|Is|Et|Des|Las)\b")
     name = F.format_string("%d-03-01__%d.md", (2010 + F.col("doc_id") % 14).cast("int"), "doc_id")
-    rows = table(spark, sf_dir, "documents").select(name.alias("source_file"), "text")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(name.alias("source_file"), "text")
     pars = rows.select("source_file", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("source_file", (F.col("pos") + 1).alias("par"), (F.col("pos") + 1).alias("start_line"), (F.col("pos") + 1).alias("end_line"), "text")
     pars = saved(pars.where(~T.is_noise(F.col("text"), lex)), "paragraphs")
     word = F.regexp_extract("text", r"(?U)^(?:The|Der|Le|El) (\w+ \w+)", 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnmill.functions.lexicon import ENGLISH
 from turnmill.operators import curation, linking, paragraphs, sittings, table_functions, turns
 from turnmill.registry import query, table
+from turnmill.storage import spread
 
 
 @query("""SELECT user_id, CAST(island AS BIGINT) AS island, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
@@ -78,7 +79,7 @@ CAST(list_sum(list_transform(s[1:k], lambda x: len(x))) + list_sum(list_transfor
 def cue_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches of two patterns in whole texts with their places, by the table function ``cues``."""
     lex = replace(ENGLISH, cues=tuple(p.replace("(", "(?P<name>") for p in CUE_PATTERNS))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = docs.lateralJoin(table_functions.cues({"two": lex})(F.col("text").outer(), F.lit("two")))
     return found.select("doc_id", "pattern", "start", "end", "name")
 
