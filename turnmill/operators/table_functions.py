@@ -49,7 +49,7 @@ class Paragraphs:
                 held = []
 
 
-@udtf(returnType="key string, at long, turn long, cue_at long, from_tail boolean", useArrow=True)
+@udtf(returnType="key string, at long, turn long, cue_at long, from_tail boolean", useArrow=False)
 class Turns:
     """``turns(TABLE(flags) PARTITION BY key ORDER BY at)``: the rows that belong to turns, for a table with ``key``, ``at`` and the flags of ``fold_members``.
 
