@@ -30,7 +30,8 @@ def safe_date(y: Column, m: Column, d: Column) -> Column:
 def loose_date(y: Column, m: Column, d: Column) -> Column:
     """An ISO string when month and day are in range at all, even if the month has no such day."""
     ok = m.cast(_INT).between(1, 12) & d.cast(_INT).between(1, 31)
-    return F.when(ok, F.format_string("%04d-%02d-%02d", y.cast(_INT), m.cast(_INT), d.cast(_INT)))
+    year, month, day = (c.cast(_INT).cast("string") for c in (y, m, d))
+    return F.when(ok, F.concat_ws("-", F.lpad(year, F.greatest(F.length(year), F.lit(4)), F.lit("0")), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
 
 
 def hijri_to_gregorian(y: Column, m: Column, d: Column) -> Column:
@@ -130,26 +131,26 @@ def _found(text: Column, pattern: str, *groups: int) -> list[Column]:
 
 def date_in_name(stem: Column) -> Column:
     """The ISO date in a file's name: year first, else day first; null where neither has a month and a day in range."""
-    y, m, d = _found(stem, r"(20\d{2})[-_.](\d{1,2})[-_.](\d{1,2})", 1, 2, 3)
-    d2, m2, y2 = _found(stem, r"(\d{1,2})[-_.](\d{1,2})[-_.](20\d{2})", 1, 2, 3)
-    return F.coalesce(loose_date(y, m, d), loose_date(y2, m2, d2))
+    first, last = (F.split(F.nullif(F.regexp_extract(stem, p, 0), F.lit("")), "[-_.]") for p in (r"20\d{2}[-_.]\d{1,2}[-_.]\d{1,2}", r"\d{1,2}[-_.]\d{1,2}[-_.]20\d{2}"))
+    return F.coalesce(loose_date(F.get(first, 0), F.get(first, 1), F.get(first, 2)), loose_date(F.get(last, 2), F.get(last, 1), F.get(last, 0)))
 
 
 def two_day_sitting(stem: Column) -> Column:
     """(date, session, source) of a name that carries both days of a sitting and its number, dated by the first day; else null."""
-    y, m, a, b, n = _found(stem, r"^(\d{4})-(\d{2})-_?(\d{1,2})[-_]+(\d{1,2})_N[-_]+(\d+)$", 1, 2, 3, 4, 5)
-    a2, b2, m2, y2, n2 = _found(stem, r"^(\d{1,2})[-_]+(\d{1,2})_(\d{2})-(\d{4})_N[-_]+(\d+)$", 1, 2, 3, 4, 5)
-    first = F.least(F.coalesce(a, a2).cast(_INT), F.coalesce(b, b2).cast(_INT))
-    date = F.concat_ws("-", F.coalesce(y, y2), F.coalesce(m, m2), F.lpad(first.cast("string"), 2, "0"))
-    return F.when(F.coalesce(n, n2).isNotNull(), F.struct(date.alias("date"), F.concat(F.lit("N"), F.coalesce(n, n2)).alias("session"), F.lit("multiday_first_day_min").alias("source")))
+    year_first = stem.rlike(r"^\d{4}-\d{2}-_?\d{1,2}[-_]+\d{1,2}_N[-_]+\d+$")
+    year_last = stem.rlike(r"^\d{1,2}[-_]+\d{1,2}_\d{2}-\d{4}_N[-_]+\d+$")
+    part = F.split(stem, "[-_]+")
+    y, m, a, b = (F.when(year_first, F.get(part, i)).otherwise(F.get(part, j)) for i, j in ((0, 3), (1, 2), (2, 0), (3, 1)))
+    first = F.least(a.try_cast(_INT), b.try_cast(_INT))
+    date = F.concat_ws("-", y, m, F.lpad(first.cast("string"), 2, "0"))
+    return F.when(year_first | year_last, F.struct(date.alias("date"), F.concat(F.lit("N"), F.get(part, 5)).alias("session"), F.lit("multiday_first_day_min").alias("source")))
 
 
 def source_tag(stem: Column) -> Column:
     """A file's name without its dates, and without copy marks (N, n or No before a number); words joined by underscores."""
     bare = F.regexp_replace(F.regexp_replace(stem, r"20\d{2}[-_.]\d{1,2}[-_.]\d{1,2}", " "), r"\d{1,2}[-_.]\d{1,2}[-_.]20\d{2}", " ")
-    words = F.filter(F.split(bare, r"[^0-9A-Za-z]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w, i: ~(w.isin("N", "n", "No") & F.coalesce(F.get(words, i + 1).rlike(r"^\d+$"), F.lit(False))))
-    return F.array_join(kept, "_")
+    words = F.btrim(F.regexp_replace(bare, r"[^0-9A-Za-z]+", "_"), F.lit("_"))
+    return F.regexp_replace(words, r"(?<![0-9A-Za-z])(?:N|n|No)_(?=[0-9]+(?:_|$))", "")
 
 
 def banner_date(body: Column) -> Column:

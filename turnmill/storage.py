@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A table over all cores, if its scan has fewer partitions than there are: a file of one row group is read by one task. Larger scans stay as they are."""
+    """A table over all cores, unless its scan's partitions are so many and so even that no core waits for another.
+
+    A row group is read by one task, whatever the number of partitions that a file is cut into, so the rows of each
+    are counted; that reads the files' footers. Large even scans stay as they are.
+    """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    by_part = scan.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    rows, most = by_part.agg(F.sum("n"), F.max("n")).first()
+    return scan.repartition(cores if (rows or 0) < 1_000_000 else 4 * cores) if (most or 0) * cores > 2 * (rows or 1) else scan
