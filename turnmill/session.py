@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: The bytes of a batch that goes to Python, unless the session sets its own: an executor holds some for each core, and keeps
+#: the memory of the largest. Batches of narrow rows end by their number of rows first.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, as ``--py-files`` would."""
+    """Sends this package to the executors, once for each application, as ``--py-files`` would, and bounds its Arrow batches."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
