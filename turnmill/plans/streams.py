@@ -55,20 +55,23 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(turns.hourly_counts(source), "append").select(F.col("hour"), "event_type", "n")
 
 
-#: Milliseconds by which a row may come after later ones, and the number of files that the shuffled rows come in.
-LATE_MS, FILES = 6 * 3_600_000, 4
+#: Milliseconds by which a row may come after later ones, the number of batches that the shuffled rows come in, rows of one
+#: of a batch's files, and users of one bucket of the state.
+LATE_MS, BATCHES, FILE_ROWS, BUCKET_USERS = 6 * 3_600_000, 4, 250_000, 64
 
 
-def shuffled_arrivals(spark: SparkSession, events: DataFrame, files: int = FILES, late_ms: int = LATE_MS) -> str:
-    """A folder with the events in ``files`` files, in order of an arrival that is up to ``late_ms`` after their time."""
+def shuffled_arrivals(spark: SparkSession, events: DataFrame, batches: int = BATCHES, late_ms: int = LATE_MS) -> tuple[str, int]:
+    """A folder with the events in ``batches`` folders, in order of an arrival that is up to ``late_ms`` after their time, and the number of files of each folder."""
     arrival = F.unix_millis(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(late_ms))
     rows = events.withColumn("arrival", arrival)
-    cuts = rows.agg(F.percentile_approx("arrival", [k / files for k in range(1, files)])).first()[0] or []
+    cuts, n = rows.agg(F.percentile_approx("arrival", [k / batches for k in range(1, batches)]), F.count("*")).first()
+    cuts = cuts or []
+    files = max(1, round(n / batches / FILE_ROWS))
     path = fresh_path(spark, "arrivals")
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         part = rows.where((F.lit(True) if low is None else F.col("arrival") > low) & (F.lit(True) if high is None else F.col("arrival") <= high))
-        part.drop("arrival").coalesce(1).write.mode("append").parquet(f"{path}/{k}")
-    return path
+        part.drop("arrival").repartition(files).write.mode("append").parquet(f"{path}/{k}")
+    return path, files
 
 
 @query(f"""WITH o AS (SELECT *, sum(CASE WHEN event_type IN ('signup', 'error') THEN 1 ELSE 0 END) OVER w AS seg, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER w AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
@@ -76,12 +79,14 @@ s AS (SELECT user_id, seg, event_id AS cue_id FROM o WHERE event_type = 'signup'
 WHERE event_type NOT IN ('signup', 'error') AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events) - {LATE_MS}""")
 def stream_turns_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns by the time of events that arrive out of order, file by file: those that the watermark has passed at the end."""
-    path = shuffled_arrivals(spark, table(spark, sf_dir, "events"))
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    events = table(spark, sf_dir, "events")
+    path, files = shuffled_arrivals(spark, events)
+    buckets = -(-(events.agg(F.approx_count_distinct("user_id")).first()[0] or 1) // BUCKET_USERS)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     # each partition of the state is a Python process in each batch: one for each core is enough
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, spark.sparkContext.defaultParallelism))
     with settings(spark, ROCKSDB | {"spark.sql.shuffle.partitions": str(parts)}):
-        return drained(turns.ordered_turns(source, f"{LATE_MS} milliseconds"), "append")
+        return drained(turns.ordered_turns(source, f"{LATE_MS} milliseconds", buckets=max(parts, buckets)), "append")
 
 
 def in_english(rows: list[tuple[int, str]]) -> dict[int, str]:
