@@ -37,9 +37,8 @@ s AS (SELECT user_id, event_id AS span, lo, hi FROM e WHERE event_type = 'signup
 @query(SPANS + " SELECT a.span AS a, b.span AS b FROM s a JOIN s b ON a.user_id <> b.user_id AND a.user_id % 10 = b.user_id % 10 AND b.hi >= a.lo AND b.lo <= a.hi AND a.span < b.span")
 def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-up spans of different users of one group that overlap."""
-    left = spans(spark, sf_dir).withColumn("g", F.col("user_id") % 10)
-    right = left.select("g", F.col("user_id").alias("other"), F.col("span").alias("b"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
-    return joins.overlapping(left.withColumnRenamed("span", "a"), right, ["g"], 86_400).where("user_id <> other AND a < b").select("a", "b")
+    rows = spans(spark, sf_dir).select((F.col("user_id") % 10).alias("g"), F.col("user_id").alias("owner"), "span", "lo", "hi")
+    return joins.overlapping_pairs(rows, ["g"], 86_400)
 
 
 @query(SPANS + " SELECT e.event_id, min(struct_pack(lo := s.lo, span := s.span)).span AS span FROM e JOIN s ON e.user_id = s.user_id AND e.lo BETWEEN s.lo AND s.hi WHERE e.event_type = 'click' GROUP BY 1")
