@@ -93,7 +93,8 @@ def is_noise(text: Column, lex: Lexicon = ARABIC) -> Column:
 
 
 def is_substantive(text: Column, lex: Lexicon = ARABIC) -> Column:
-    return ~is_noise(text, lex) & ((word_count(text) >= 3) | matches(stripped(text), lex.openers, lex))
+    three_words = text.rlike(r"(?U)\S\s+\S+\s+\S")  # ends at the third word, where a count reads the whole text
+    return ~is_noise(text, lex) & (three_words | matches(stripped(text), lex.openers, lex))
 
 
 def is_plain_boundary(text: Column, lex: Lexicon = ARABIC) -> Column:

@@ -14,7 +14,7 @@ from turnmill.sources.tables import TURN_FIELDS
 from turnmill.storage import saved
 
 #: Characters by which contained names and the texts around them meet.
-GRAM = 3
+GRAM = 8
 #: Members linked with less confidence are to be reviewed.
 REVIEW_BELOW = 0.78
 #: Dimensions of at most this many counted bytes are broadcast; larger ones are joined by a shuffle.
@@ -44,13 +44,14 @@ def unique_match(cands: DataFrame, dim: DataFrame, on: Column, method: str, conf
 def subsequence_match(cands: DataFrame, dim: DataFrame, method: str, confidence: float) -> DataFrame:
     """As ``unique_match``, for candidates of two words or more that a name holds in their order.
 
-    A name that holds them has the first of them, so both sides meet by period and word.
+    A name that holds them has the first and, behind it, the last of them, so both sides meet by period and these two.
     """
     words = lambda c: F.split(F.col(c), " ")
-    named = dim.select("*", F.explode(F.array_distinct(words("name_norm"))).alias("name_word"))
+    after = lambda w, i: F.transform(F.slice(words("name_norm"), i + 2, F.size(words("name_norm"))), lambda v: F.concat(w, F.lit(" "), v))
+    named = dim.select("*", F.explode(F.array_distinct(F.flatten(F.transform(words("name_norm"), after)))).alias("name_ends"))
     many = cands.where(F.size(words("cand_norm")) >= 2)
-    first = F.col("name_word") == F.split(F.col("cand_norm"), " ")[0]
-    return unique_match(many, named, first & subsequence(words("cand_norm"), words("name_norm")), method, confidence)
+    ends = F.col("name_ends") == F.concat(words("cand_norm")[0], F.lit(" "), F.element_at(words("cand_norm"), -1))
+    return unique_match(many, named, ends & subsequence(words("cand_norm"), words("name_norm")), method, confidence)
 
 
 def contained_match(cands: DataFrame, dim: DataFrame, method: str, confidence: float) -> DataFrame:
@@ -92,38 +93,44 @@ def ratio(a: str, b: str) -> Column:
     return of(a, b)
 
 
-def letters(text: Column) -> Column:
-    """The characters with their number so far, so that what two arrays have in common is what the texts have in common as bags."""
+def letter_bits(text: Column) -> Column:
+    """64 bits, one set for each character with its number so far: a bit that another text lacks is a character that has no match there."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    numbered = F.transform(chars, lambda c, i: F.struct(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))))
+    return F.aggregate(numbered, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
 
 
 def similar_pairs(cands: DataFrame, dim: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """The pairs of one period whose texts have enough characters in common to reach a ratio of ``least``.
+    """The pairs of one period whose texts are near enough to reach a ratio of ``least``.
 
-    Twice the common characters over both lengths is the most that the ratio can be. Of a text of n characters such a pair
-    shares n * least / (2 - least) at least, so it shares one of the rarest others and one more: pairs meet by period and one
-    of these, at the first that they have in common, and are then decided by the exact bound.
+    Texts of n and m characters reach it with ``both`` matched characters at least, in equal order on both sides, so that
+    at most ``apart`` = n + m - 2 * both of theirs aren't matched. Of as many parts of the name and one more, some part k is
+    in the candidate, with up to k unmatched characters before it and up to apart - k after it, which bounds its place
+    there. Pairs meet by period, both lengths, k and that part, as distinct texts; then their letters and ``apart`` as the
+    most that their distance can be decide.
     """
     share = least / (2 - least)
-    few = dim.withColumn("name_letters", letters(F.col("name_norm")))
-    counts = few.select(F.explode("name_letters").alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
-    counts = sized(counts)  # letters of a script and their numbers
-
-    def with_prefix(rows: DataFrame, bag: str, key: list[str], name: str) -> DataFrame:
-        each = rows.select(*key, F.explode(bag).alias("letter")).join(counts, "letter", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter")))
-        ranked = each.groupBy(*key).agg(F.transform(order, lambda x: x["letter"]).alias(name))
-        size = F.size(name) - F.ceil(F.size(name) * share - 1e-9).cast("int") + 1
-        return rows.join(ranked.withColumn(name, F.slice(name, F.lit(1), size)), key)
-
-    left = with_prefix(cands.withColumn("cand_letters", letters(F.col("cand_norm"))), "cand_letters", ["cand_id"], "cand_rare")
-    names = with_prefix(few.select("name_norm", "name_letters").distinct(), "name_letters", ["name_norm"], "name_rare")
-    right = dim.join(sized(names), "name_norm")
-    met = left.select("*", F.explode("cand_rare").alias("rare")).join(right.select("*", F.explode("name_rare").alias("name_at")), (F.col("period") == F.col("roster_period")) & (F.col("rare") == F.col("name_at")))
-    first = F.filter("cand_rare", lambda x: F.array_contains("name_rare", x))[0] == F.col("rare")
-    most = 2.0 * F.size(F.array_intersect("cand_letters", "name_letters")) / (F.size("cand_letters") + F.size("name_letters"))
-    return met.where(first & (most >= least)).drop("rare", "name_at", "cand_rare", "name_rare", "cand_letters", "name_letters")
+    n, m, both, apart, k, begin, end = map(F.col, ("n", "m", "both", "apart", "k", "begin", "end"))
+
+    def with_parts(rows: DataFrame, period: str, text: str, own: str, other: str) -> DataFrame:
+        """The distinct texts by the lengths of what is similar to them and by the name's parts, which begin and end at these places of the name."""
+        texts = rows.select(period, text).distinct().withColumn(own, F.length(text)).where(F.col(own) > 0).withColumn("bits", letter_bits(F.col(text)))
+        lengths = F.sequence(F.ceil(F.col(own) * share - 1e-9), F.floor(F.col(own) / share + 1e-9)).cast("array<int>")
+        near = texts.select("*", F.explode(lengths).alias(other)).withColumn("both", F.ceil((n + m) * (least / 2) - 1e-9).cast("int"))
+        near = near.where(both <= F.least(n, m)).withColumn("apart", n + m - 2 * both)
+        cut = lambda i: F.floor(m * i / (apart + 1) + 1e-9).cast("int")
+        return near.select("*", F.explode(F.sequence(F.lit(0), apart)).alias("k")).select("*", cut(k).alias("begin"), cut(k + 1).alias("end"))
+
+    part = lambda period, text, at: F.xxhash64(period, n, m, k, F.substring(F.col(text), at + 1, end - begin)).alias("part")
+    names = with_parts(dim, "roster_period", "name_norm", "m", "n").select("roster_period", "name_norm", F.col("bits").alias("name_bits"), part("roster_period", "name_norm", begin))
+    names = names.hint("merge")  # these are more rows than ``dim``, which may have the hint to broadcast it
+    low, high = F.greatest(both - m, -k, n - m + k - apart, -begin), F.least(n - both, k, n - m + apart - k, n - end)
+    texts = with_parts(cands, "period", "cand_norm", "n", "m").where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("shift"))
+    texts = texts.select("period", "cand_norm", "bits", (n - both).alias("over"), (m - both).alias("lacking"), "apart", part("period", "cand_norm", begin + F.col("shift")))
+    alike = F.expr("bit_count(bits & ~name_bits) <= over AND bit_count(name_bits & ~bits) <= lacking AND levenshtein(cand_norm, name_norm, apart) >= 0")
+    pairs = texts.join(names, (texts.period == names.roster_period) & (texts.part == names.part) & alike).select("period", "cand_norm", "name_norm").distinct()
+    found = cands.join(pairs, ["period", "cand_norm"]).withColumn("roster_period", F.col("period"))
+    return found.join(dim, ["roster_period", "name_norm"])
 
 
 def fuzzy_match(cands: DataFrame, dim: DataFrame, rules=FUZZY_RULES, least: float = FUZZY_LEAST) -> DataFrame:

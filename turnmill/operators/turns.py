@@ -60,7 +60,7 @@ class CueFinder:
 
     def last(self, text: str) -> tuple | None:
         """Of the usable matches the one that starts last; of those that start together the lowest pattern."""
-        folded = text.translate(self.spell)
+        folded = text.translate(self.spell) if self.spell else text
         found = [(m.start(), -i, m) for i, p in enumerate(self.cues) for m in p.finditer(folded)]
         for _, i, m in sorted(found, key=lambda x: x[:2], reverse=True):
             raw = text[slice(*m.span("name"))]
@@ -84,9 +84,9 @@ def with_cues(rows: DataFrame, text: str = "text", lex: Lexicon = ARABIC) -> Dat
         for t in texts.fillna(""):
             c = f.last(t)
             tail = t[c[3]:].strip(lex.strip + "\n") if c else None
-            even = _SPACES.sub(" ", t).strip()
+            even = " ".join(t.split())
             out.append((dict(zip(("raw", "clean", "start", "end", "method"), c, strict=True)) if c else None, (c if even == t else f.last(even)) is not None,
-                        f.last(_SPACES.sub(" ", tail).strip()) is not None if tail else False, tail))
+                        f.last(" ".join(tail.split())) is not None if tail else False, tail))
         return pd.DataFrame(out, columns=["cue", "inside", "tail_inside", "tail"])
 
     found = rows.withColumn("found", cues(text))
@@ -187,7 +187,7 @@ def extract_turns(pars: DataFrame, files: DataFrame, lex: Lexicon = ARABIC) -> D
     """
     found = with_cues(pars, lex=lex)
     tail_bnd = T.is_plain_boundary(F.col("tail"), lex) | F.col("tail_inside")
-    adj = F.lit(T.java(lex.adjourn))
+    adj = F.lit(T.java(lex.adjourn.removeprefix(r"\(?\s*")))  # found in the same texts with or without what may come before it, and faster without
     flagged = found.select(
         "source_file", "par", "start_line", "end_line", "text", "tail", F.col("cue").alias("c"), F.col("cue").isNotNull().alias("cue"),
         F.coalesce(F.col("cue").isNotNull() & starts_speech(F.col("tail"), tail_bnd, lex), F.lit(False)).alias("starts"),
@@ -196,14 +196,15 @@ def extract_turns(pars: DataFrame, files: DataFrame, lex: Lexicon = ARABIC) -> D
     )
     flagged = saved(flagged, "cues")  # used four times below; the patterns run once
     rows = members(flagged.withColumn("body_tail", F.col("tail")).withColumn("tail", F.col("starts")), "source_file", "par")
-    body = flagged.select("source_file", "par", "start_line", "end_line", "text", F.col("tail").alias("tail_text"))
-    parts = rows.join(body, ["source_file", "par"]).withColumn("part", T.truncate_at(F.when(F.col("from_tail"), F.col("tail_text")).otherwise(F.col("text")), T.java(lex.adjourn), lex))
+    body = flagged.select("source_file", "par", "start_line", "end_line", "text", F.col("tail").alias("tail_text"), "adj", "tadj")
+    whole, ends = (F.when(F.col("from_tail"), F.col(a)).otherwise(F.col(b)) for a, b in (("tail_text", "text"), ("tadj", "adj")))
+    parts = rows.join(body, ["source_file", "par"]).withColumn("part", F.when(ends, T.truncate_at(whole, T.java(lex.adjourn), lex)).otherwise(whole))
     turns = parts.groupBy("source_file", "turn", "cue_at").agg(
         F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("from_tail").alias("from_tail"), joined("source_file", "par", "part", "\n\n").alias("text")
     )
     cues = flagged.where("cue").select("source_file", F.col("par").alias("cue_at"), F.col("start_line").alias("evidence_line"), F.col("text").alias("evidence_text"), "c")
     meta = files.select("source_file", *[v.alias(k) for k, v in D.file_meta(F.col("source_file")).items()])
-    out = turns.join(cues, ["source_file", "cue_at"]).join(meta, "source_file")
+    out = turns.join(cues.join(meta, "source_file"), ["source_file", "cue_at"])  # the long texts move once
     return out.select(
         F.format_string("%s__win_%04d", "document_id", "turn").alias("speech_id"), "source_file", "document_id", F.col("turn").alias("speech_index"), "year_start", "year_end", "inferred_date",
         D.legislature(F.col("inferred_date"), F.col("year_start")).alias("legislature_period"), "start_line", "end_line", F.col("c.raw").alias("speaker_target_raw"), F.col("c.clean").alias("speaker_target_clean"),

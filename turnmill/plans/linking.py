@@ -82,11 +82,21 @@ def cascade_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link(names, roster(spark, sf_dir), lex=ENGLISH)
 
 
-def spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, Lexicon]:
-    """Lines of all documents as paragraphs of dated files, the files, a roster, and a lexicon in which a line's first article hands over to the two words after it."""
+def spoken(spark: SparkSession, sf_dir: str, cued: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, Lexicon]:
+    """Lines of all documents as paragraphs of dated files, the files, a roster, and a lexicon in which a line's first article hands over to the two words after it.
+
+    With ``cued`` without the documents in which no line begins so: they have no turns and no names. Those that share
+    their id with another are one file, and stay with it.
+    """
     lex = replace(ENGLISH, cues=(r"^(?:The|Der|Le|El) (?P<name>\w+ \w+)",), openers=r"^(?:Of|Is|Et|Des|Las)\b")
     name = F.format_string("%d-03-01__%d.md", (2010 + F.col("doc_id") % 14).cast("int"), "doc_id")
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(name.alias("source_file"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    if cued:
+        marks = F.col("text").rlike(r"(?m)^(?:The|Der|Le|El) [^ \n]+ [^ \n]")
+        ids = table(spark, sf_dir, "documents").where(marks).select(F.col("doc_id").alias("cued_id")).distinct()
+        ids = linking.sized(ids)
+        docs = docs.join(ids, docs.doc_id.eqNullSafe(ids.cued_id), "left_semi")
+    rows = docs.select(name.alias("source_file"), "text")
     pars = rows.select("source_file", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("source_file", (F.col("pos") + 1).alias("par"), (F.col("pos") + 1).alias("start_line"), (F.col("pos") + 1).alias("end_line"), "text")
     pars = saved(pars.where(~T.is_noise(F.col("text"), lex)), "paragraphs")
     word = F.regexp_extract("text", r"(?U)^(?:The|Der|Le|El) (\w+ \w+)", 1)
@@ -99,7 +109,8 @@ def spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 @query()
 def turns_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn table with its speakers, all of its columns."""
-    pars, files, people, lex = spoken(spark, sf_dir)
+    pars, files, people, lex = spoken(spark, sf_dir, cued=True)
+    people = saved(people, "roster")  # used twice
     return linking.linked_turns(turns.extract_turns(pars, files, lex), people, lex=lex)
 
 
