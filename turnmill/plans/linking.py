@@ -86,16 +86,16 @@ def spoken(spark: SparkSession, sf_dir: str, cued: bool = False) -> tuple[DataFr
     """Lines of all documents as paragraphs of dated files, the files, a roster, and a lexicon in which a line's first article hands over to the two words after it.
 
     With ``cued`` without the documents in which no line begins so: they have no turns and no names. Those that share
-    their id with another are one file, and stay with it.
+    their id with another are one file with it, and stay.
     """
     lex = replace(ENGLISH, cues=(r"^(?:The|Der|Le|El) (?P<name>\w+ \w+)",), openers=r"^(?:Of|Is|Et|Des|Las)\b")
     name = F.format_string("%d-03-01__%d.md", (2010 + F.col("doc_id") % 14).cast("int"), "doc_id")
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     if cued:
-        marks = F.col("text").rlike(r"(?m)^(?:The|Der|Le|El) [^ \n]+ [^ \n]")
-        ids = table(spark, sf_dir, "documents").where(marks).select(F.col("doc_id").alias("cued_id")).distinct()
+        ids = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("id")).agg((F.count("*") > 1).alias("shared")).where("shared")
         ids = linking.sized(ids)
-        docs = docs.join(ids, docs.doc_id.eqNullSafe(ids.cued_id), "left_semi")
+        marked = F.col("text").rlike(r"(?m)^(?:The|Der|Le|El) [^ \n]+ [^ \n]")
+        docs = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left").where(marked | F.col("shared"))
     rows = docs.select(name.alias("source_file"), "text")
     pars = rows.select("source_file", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("source_file", (F.col("pos") + 1).alias("par"), (F.col("pos") + 1).alias("start_line"), (F.col("pos") + 1).alias("end_line"), "text")
     pars = saved(pars.where(~T.is_noise(F.col("text"), lex)), "paragraphs")
@@ -103,7 +103,7 @@ def spoken(spark: SparkSession, sf_dir: str, cued: bool = False) -> tuple[DataFr
     meta = D.file_meta(F.col("source_file"))
     people = pars.select(word.alias("name"), D.legislature(meta["inferred_date"], meta["year_start"]).alias("period")).where("name <> ''").distinct()
     people = people.where(F.md5("name") < "c").select(F.xxhash64("name").alias("mp_id"), "name", "period", F.upper("name").alias("name_transliterated"))
-    return pars, rows.select("source_file").distinct(), people, lex
+    return pars, pars.select("source_file").distinct(), people, lex
 
 
 @query()
